@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,13 +57,28 @@ def lgamma(x: str) -> str:
 
 
 def digamma_value(x: float) -> float:
+    return float(digamma_array(np.float64(x)))
+
+
+def digamma_array(x: np.ndarray) -> np.ndarray:
+    """psi for the block kernels."""
     t, y = x * (x + 7.0), x + 8.0
     inv = 1.0 / (y * y)
     acc = DIGAMMA_SERIES[-1]
     for c in reversed(DIGAMMA_SERIES[:-1]):
         acc = c - inv * acc
     pairs = (2.0 * x + 7.0) * (1.0 / t + 1.0 / (t + 6.0) + 1.0 / (t + 10.0) + 1.0 / (t + 12.0))
-    return math.log(y) - 0.5 / y - inv * acc - pairs
+    return np.log(y) - 0.5 / y - inv * acc - pairs
+
+
+def lgamma_array(x: np.ndarray) -> np.ndarray:
+    """ln Gamma for the block kernels."""
+    t, y = x * (x + 7.0), x + 8.0
+    inv = 1.0 / (y * y)
+    acc = LGAMMA_SERIES[-1]
+    for c in reversed(LGAMMA_SERIES[:-1]):
+        acc = c - inv * acc
+    return (y - 0.5) * np.log(y) - y + HALF_LOG_TWO_PI + acc / y - np.log(t * (t + 6.0) * (t + 10.0) * (t + 12.0))
 
 
 def lgamma_value(x: float) -> float:
