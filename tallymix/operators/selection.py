@@ -116,12 +116,12 @@ def exact_quantile(df: DataFrame, value: str, q: float, small: int = 1_000_000)
     raise RuntimeError(f"{n} values are too dense around quantile {q}")
 
 
-def select_stochastic(mass: str, own: str, other: str, prior: float, old: str, step: float) -> str:
+def select_stochastic(mass: str, own: str, other: str, prior: str, old: str, step: float) -> str:
     """Batch update of per-group selection; groups with almost no mass keep their value.
 
     ``own`` and ``other`` are scaled batch log-likelihoods under the group and the background.
     """
-    yes, no = f"({own} + {num(math.log(prior))})", f"({other} + {num(math.log(1.0 - prior))})"
+    yes, no = f"({own} + ln({prior}))", f"({other} + ln(1D - {prior}))"
     p, q = f"exp({yes} - greatest({yes}, {no}))", f"exp({no} - greatest({yes}, {no}))"
     fresh = f"{p} / ({p} + {q} + {num(EPS)})"
     return f"case when {mass} < 0.1D then {old} else {num(1.0 - step)} * {old} + {num(step)} * ({fresh}) end"

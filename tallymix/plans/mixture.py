@@ -616,6 +616,7 @@ class Fit:
     data: CountData
     spec: Spec
     state: State
+    failed: dict[int, str] = field(default_factory=dict)  # models dropped for non-finite numbers
 
     @property
     def models(self) -> dict[int, Model]:
@@ -630,6 +631,11 @@ class Fit:
         return self.data.spark.createDataFrame(rows, "model_id int, iter int, elbo double, k int")
 
 
+def broken(m: Model) -> bool:
+    """Has a model left the range of finite numbers?"""
+    return not all(math.isfinite(v) for v in (*m.mass, *m.lam_sum, m.iota_sum, *m.elog_pi))
+
+
 def _stopped(spec: Spec, m: Model, t: int) -> bool:
     p = m.p
     if spec.stop == "rate" or len(m.history) < 3:
@@ -659,7 +665,7 @@ def fit_conjugate(data: CountData, spec: Spec, resp: DataFrame, params: dict[int
     """
     state = start_state(data, spec, resp, params)
     anchor = state.resp
-    live, done = state, []
+    live, done, failed = state, [], {}
     limit = max(p["max_iter"] for p in params.values())
     for t in range(1, limit + 1):
         p = next(iter(live.models.values())).p
@@ -680,6 +686,12 @@ def fit_conjugate(data: CountData, spec: Spec, resp: DataFrame, params: dict[int
         if old.resp is not anchor:
             data.ws.release(old.resp)
         data.ws.release(old.params, old.cells)
+        lost = [i for i, m in live.models.items() if broken(m)]
+        if lost:
+            failed.update({i: f"non-finite values in round {t}" for i in lost})
+            if len(lost) == len(live.models):
+                break
+            live = live.only([i for i in live.models if i not in lost])
 
         window = t >= prune_start and t % p["prune_every"] == 0
         if spec.selection == "ssl_excess":
@@ -712,7 +724,9 @@ def fit_conjugate(data: CountData, spec: Spec, resp: DataFrame, params: dict[int
             if not left:
                 break
             live = live.only(left)
-    return Fit(data, spec, join_states(done))
+    if not done:
+        raise ArithmeticError(f"every model failed: {failed}")
+    return Fit(data, spec, join_states(done), failed)
 
 
 def _settled(data: CountData, part: State) -> State:

@@ -79,13 +79,14 @@ class BatchFit:
 
 def _table(data: CountData, models: dict[int, BatchModel]) -> DataFrame:
     rows = [
-        (i, m.k, wt.elog(m.rho, m.tau, clipped=True), m.lam_sum, float(m.iota_sum), m.eff_sum, m.mass)
+        (i, m.k, wt.elog(m.rho, m.tau, clipped=True), m.lam_sum, float(m.iota_sum), m.eff_sum, m.mass,
+         float(m.p["f0"]))
         for i, m in models.items()
     ]
-    columns = ["model_id", "k_live", "elog_pi", "lam_sum", "iota_sum", "eff_sum", "mass"]
+    columns = ["model_id", "k_live", "elog_pi", "lam_sum", "iota_sum", "eff_sum", "mass", "f0"]
     schema = (
         "model_id int, k_live int, elog_pi array<double>, lam_sum array<double>, iota_sum double, "
-        "eff_sum array<double>, mass array<double>"
+        "eff_sum array<double>, mass array<double>, f0 double"
     )
     return F.broadcast(data.spark.createDataFrame(pd.DataFrame(rows, columns=columns), schema))
 
@@ -173,11 +174,8 @@ def batch_step(batch: CountData, params: DataFrame, models: dict[int, BatchModel
     sums = sums_by_feature(joined, likes)
     sums = pf.packed_sums(pf.packed_sums(sums, "own", width, "own"), "other", width, "other")
     rows = half.join(sums, ["model_id", "feature_id"], "left").join(table, "model_id")
-    prior = next(iter(models.values())).p["f0"]
-    if any(m.p["f0"] != prior for m in models.values()):
-        raise ValueError("models of one mini-batch job share their selection prior")
     own, other = (f"({num(scale)} * coalesce(get({n}, i), 0D))" for n in ("own", "other"))
-    phi = f"transform(phi, (v, i) -> {sl.select_stochastic('get(mass, i)', own, other, prior, 'v', step)})"
+    phi = f"transform(phi, (v, i) -> {sl.select_stochastic('get(mass, i)', own, other, 'f0', 'v', step)})"
     out = ws.put(rows.selectExpr("model_id", "feature_id", "lam", "iota", f"{phi} as phi"), "batch-params")
     read_totals(batch, out, models)
     ws.release(resp, half)
