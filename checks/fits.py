@@ -1 +1,455 @@
-"""Full runs."""
+"""Prediction, reports, moves, full fits, search and the stream."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from checks import sql as q
+from checks.data import K, prepared, read, start_labels, swept, workspace
+from checks.queries import _sweeps, query, with_sql
+from tallymix.operators import initial, metrics, report
+from tallymix.operators import objective as ob
+from tallymix.plans import base, moves, search, stochastic
+from tallymix.plans.fit import fit
+from tallymix.plans.mixture import Fit, prune
+from tallymix.plans.specs import FITS
+from tallymix.sources import tables as src
+from tallymix.streaming import stream
+
+
+def _fit(spark, d, name: str, n: int = 2, per_sample: bool | None = None) -> Fit:
+    spec = FITS[name] if per_sample is None else FITS[name].per_sample(per_sample)
+    return Fit(prepared(spark, d), spec, swept(spark, d, name, n, per_sample))
+
+
+# --- prediction ---------------------------------------------------------------------------
+
+
+def _next(fit_name: str, per_sample: bool | None = None) -> q.Sweeps:
+    s = _sweeps(fit_name, 2, per_sample)
+    s.expectations()
+    if s.selection == "sample":  # the column mean over all samples, zero cells included
+        s.ctes.append("fm as materialized (select feature_id, (sum(f.f) + (max(n) - max(nnz_j))*max(z.f))/max(n) as f "
+                      "from f2 f join ftr using (feature_id) cross join z2 z cross join dims group by 1)")
+        s.ctes.append("ll2 as materialized (select sample_id, a.k, sum(x*(fm.f*a.e + (1-fm.f)*b.e)) as l from sb "
+                      "join fm using (feature_id) join ea2 a using (feature_id) join eb2 b using (feature_id) group by 1, 2)")
+    else:
+        s.loglik()
+    return s
+
+
+_TOP = ("select sample_id, cast(k as int) as label from (select sample_id, k, row_number() over (partition by sample_id "
+        "order by l + lp.e desc, k) as pos from ll2 join lp2 lp using (k)) where pos = 1")
+
+for _name, _mode in (("dp", None), ("dp_cluster", None), ("ssl", None), ("py", None), ("mfm", None), ("nig", False)):
+    query(f"predict_{_name}{'_shared' if _mode is False else ''}", _next(_name, _mode).select(_TOP))(
+        lambda spark, d, n=_name, m=_mode: report.predict(_fit(spark, d, n, 2, m)).select("sample_id", "label"))
+
+
+@query("membership", _next("dp").select(
+    "select sample_id, round(ln(sum(exp(v - m))) + max(m), 5) as log_norm from (select *, max(v) over (partition by sample_id) as m "
+    "from (select sample_id, l + lp.e as v from ll2 join lp2 lp using (k))) group by 1"))
+def _(spark, d):
+    return report.membership(_fit(spark, d, "dp")).selectExpr("sample_id", "round(log_norm, 5) as log_norm")
+
+
+@query("hard_labels", _sweeps("mfm", 2).select(
+    "select sample_id, cast(k as int) as label from (select sample_id, k, row_number() over (partition by sample_id order by r desc, k) as pos from r2) where pos = 1"))
+def _(spark, d):
+    return report.hard_labels(swept(spark, d, "mfm", 2).resp).select("sample_id", "label")
+
+
+# --- reports ------------------------------------------------------------------------------
+
+_MEAN = _next("mfm").ctes
+
+
+@query("rank_features", with_sql(_MEAN, "select feature_id, round(f, 7) as mean_selection from fm"))
+def _(spark, d):
+    ranked = report.rank_features(report.mean_selection(_fit(spark, d, "mfm")))
+    return ranked.withColumn("mean_selection", F.round("mean_selection", 7))
+
+
+@query("selected_by_sample", _sweeps("mfm", 2).select("select sample_id, feature_id, round(f, 6) as probability from f2 where f > 0.5"))
+def _(spark, d):
+    out = report.selected_by_sample(_fit(spark, d, "mfm"))
+    return out.selectExpr("sample_id", "feature_id", "round(probability, 6) as probability")
+
+
+@query("selected_by_majority", _sweeps("mfm", 2).select(
+    "select feature_id, round((count(*) filter (f.f > 0.5) + (max(n)-max(nnz_j))*max(case when z.f > 0.5 then 1 else 0 end))/max(n), 6) as share "
+    "from f2 f join ftr using (feature_id) cross join z2 z cross join dims group by 1 having "
+    "(count(*) filter (f.f > 0.5) + (max(n)-max(nnz_j))*max(case when z.f > 0.5 then 1 else 0 end))/max(n) > 0.1"))
+def _(spark, d):
+    return report.selected_by_majority(_fit(spark, d, "mfm"), 0.1).selectExpr("feature_id", "round(share, 6) as share")
+
+
+@query("selected_by_cluster", _sweeps("dp_cluster", 1).select(
+    "select cast(k as int) as k, feature_id, round(f, 7) as probability from f1 where f > 0.5"))
+def _(spark, d):
+    out = report.selected_by_cluster(_fit(spark, d, "dp_cluster", 1))
+    return out.selectExpr("k", "feature_id", "round(probability, 7) as probability")
+
+
+def _ssl_selected() -> q.Sweeps:
+    s = _sweeps("ssl", 1)
+    s.expectations()
+    return s
+
+
+@query("selected_ssl", _ssl_selected().select(
+    "select feature_id, round(max(f.f), 7) as inclusion, round(sum(m.r_k/n*abs(a.e-b.e)), 7) as signal from f1 f join ea1 a using (feature_id) "
+    "join eb1 b using (feature_id) join mass1 m using (k) cross join dims where f.f > 0.01 group by 1"))
+def _(spark, d):
+    out = report.selected_ssl(_fit(spark, d, "ssl", 1), 0.01)
+    return out.selectExpr("feature_id", "round(inclusion, 7) as inclusion", "round(signal, 7) as signal")
+
+
+_MEMBERS = "n5 as materialized (select k, count(*) filter (r > 0.5) as n_samples from r{0} group by 1)"
+_SHARE = "pr as materialized (select k, feature_id, v/sum(v) over (partition by k) as profile from lam{0})"
+
+
+@query("signatures_shared", with_sql(_sweeps("py", 2, False).ctes + [_MEMBERS.format(2), _SHARE.format(2)], """
+  select cast(k as int) as k, feature_id, round(f, 6) as selection, round(profile, 8) as profile, n_samples
+  from f2 join pr using (feature_id) join n5 using (k) where f > 0.2 and n_samples > 0"""))
+def _(spark, d):
+    return _rounded_signatures(report.signatures(_fit(spark, d, "py", 2, False), 0.2))
+
+
+def _rounded_signatures(out):
+    return out.selectExpr("k", "feature_id", "round(selection, 6) as selection", "round(profile, 8) as profile", "n_samples")
+
+
+@query("signatures_per_cluster", with_sql(_sweeps("dp_cluster", 1).ctes + [_MEMBERS.format(1), _SHARE.format(1)], """
+  select cast(k as int) as k, feature_id, round(f, 6) as selection, round(profile, 8) as profile, n_samples
+  from f1 join pr using (k, feature_id) join n5 using (k) where f > 0.2"""))
+def _(spark, d):
+    return _rounded_signatures(report.signatures(_fit(spark, d, "dp_cluster", 1), 0.2))
+
+
+@query("signatures_per_sample", with_sql(_sweeps("mfm", 2).ctes + [_MEMBERS.format(2), _SHARE.format(2)], """
+  select cast(k as int) as k, feature_id, round(selection, 6) as selection, round(profile, 8) as profile, n_samples from (
+    select r.k, f.feature_id, (sum(f.f) + (max(n_samples) - count(*))*max(z.f))/max(n_samples) as selection
+    from f2 f join r2 r using (sample_id) join n5 on n5.k = r.k cross join z2 z where r.r > 0.5 group by 1, 2)
+  join pr using (k, feature_id) join n5 using (k) where selection > 0.2"""))
+def _(spark, d):
+    return _rounded_signatures(report.signatures(_fit(spark, d, "mfm"), 0.2))
+
+
+@query("signatures_excess", with_sql(_sweeps("ssl_excess", 2).ctes + [_MEMBERS.format(2)], """
+  select cast(k as int) as k, feature_id, round(f, 6) as selection, round(v/sum(v) over (partition by k), 8) as profile, n_samples
+  from f2 join lam2 using (feature_id) join n5 using (k) where f > 0.0005 and n_samples > 0"""))
+def _(spark, d):
+    return _rounded_signatures(report.signatures(_fit(spark, d, "ssl_excess"), 0.0005))
+
+
+@query("cluster_profiles", with_sql(_sweeps("mfm", 2).ctes + [_SHARE.format(2)], """
+  select cast(k as int) as k, feature_id, round(profile, 8) as profile, round(r_k, 6) as mass, round(a/sum(a) over (partition by feature_id), 8) as weight
+  from pr join mass2 using (k) join w2 using (k)"""))
+def _(spark, d):
+    out = report.profiles(_fit(spark, d, "mfm"))
+    return out.selectExpr("k", "feature_id", "round(profile, 8) as profile", "round(mass, 6) as mass", "round(weight, 8) as weight")
+
+
+@query("mixing_weights", _sweeps("mfm", 2).select("select cast(k as int) as k, round(a/sum(a) over (), 8) as weight from w2"))
+def _(spark, d):
+    return report.mixing_weights(_fit(spark, d, "mfm")).selectExpr("k", "round(weight, 8) as weight")
+
+
+@query("model_summary", _sweeps("ssl", 2).select(
+    "select cast(max(n) as bigint) as n_samples, cast(max(s) as bigint) as n_features, cast(3 as int) as k, "
+    "count(*) filter (f > 0.5) as n_selected, round(1 - count(*) filter (f > 0.5)/max(s), 8) as sparsity, round(max(theta), 9) as rate "
+    "from f2 cross join dims cross join th2"))
+def _(spark, d):
+    out = report.model_summary(_fit(spark, d, "ssl"))
+    return out.selectExpr("n_samples", "n_features", "k", "n_selected", "round(sparsity, 8) as sparsity", "round(rate, 9) as rate")
+
+
+@query("top_features", _sweeps("ssl_excess", 1).select("select feature_id, round(f, 9) as f from f1 order by f1.f desc, feature_id limit 5"))
+def _(spark, d):
+    top = report.top_features(swept(spark, d, "ssl_excess", 1).params.select("feature_id", "f"), 5, "f")
+    return top.withColumn("f", F.round("f", 9))
+
+
+@query("metrics_row")
+def _(spark, d):
+    data, labels = prepared(spark, d, "user_event"), start_labels(prepared(spark, d, "user_event"))
+    other = data.samples.selectExpr("sample_id", "cast(sample_id % 2 as int) as label")
+    row = metrics.metrics_row(
+        metrics.ari(labels, other), metrics.nmi(labels, other), metrics.silhouette_squared(data, labels), 0.0, 3)
+    return row
+
+
+# --- one mini-batch step over the whole table ---------------------------------------------
+
+
+def _step_sql() -> list[str]:
+    s = _sweeps("dp", 0)
+    d, g = q.dg, q.lg
+    step = stochastic.step_size(1)
+    after = "coalesce(sum(r_k) over (order by k rows between 1 following and unbounded following), 0)"
+    return s.ctes + [
+        "tl as materialized (select feature_id, k, greatest(rx/(mass+1e-10) / (w/(mass+1e-10) + 1e-10) * 100 + 1, 1) as lam, "
+        "colsum/n / (total/n + 1e-10) * 100 + 1 as iota from (select k, feature_id, sum(r*x) as rx from r0 join sb using (sample_id) group by 1, 2) "
+        "join (select k, sum(r) as mass, sum(r*n_i) as w from r0 join smp using (sample_id) group by 1) using (k) join ftr using (feature_id) cross join dims)",
+        "ta as materialized (select feature_id, k, lam, iota, lam/sum(lam) over (partition by k) as al, iota/sum(iota) over (partition by k) as be from tl)",
+        "te as materialized (select *, greatest(0.5*al + 0.5*be, 1e-10) as ef from ta)",
+        "ts as materialized (select k, sum(ef) as es from te group by 1)",
+        f"tw as materialized (select k, el + coalesce(sum(er) over (order by k rows between unbounded preceding and 1 preceding), 0) as e from "
+        f"(select k, least(greatest({d('2.0')} - {d('3.0')}, -20), 0) as el, least(greatest({d('1.0')} - {d('3.0')}, -20), 0) as er from ks))",
+        f"tc as materialized (select sample_id, k, sum({g('x + ef')} - {g('ef')}) as l from sb join te using (feature_id) group by 1, 2)",
+        f"tg as materialized (select sample_id, k, l + {g('es')} - {g('n_i + es')} + tw.e as l from tc join ts using (k) join tw using (k) join smp using (sample_id))",
+        "tr as materialized (select sample_id, k, e/sum(e) over (partition by sample_id) as r, ln(sum(e) over (partition by sample_id)) + m as log_norm from "
+        "(select *, exp(l - m) as e from (select *, max(l) over (partition by sample_id) as m from tg)))",
+        "tm as materialized (select k, sum(r) as r_k from tr group by 1)",
+        f"tk as materialized (select k, greatest({1 - step}*2.0 + {step}*(1 + r_k), 0.5) as rho, greatest({1 - step}*1.0 + {step}*(1.0 + {after}), 0.1) as tau from tm)",
+        f"tq as materialized (select feature_id, k, sum(r*({d('(x + al)')} - {d('al')})) as gain from sb join ta using (feature_id) join tr using (sample_id, k) group by 1, 2)",
+        f"tb as materialized (select feature_id, sum({d('(x + be)')} - {d('be')}) as gb from sb join (select * from ta where k = 0) using (feature_id) group by 1)",
+        f"tn as materialized (select feature_id, k, case when r_k < 0.1 then lam else greatest({1 - step}*lam + {step}*(1 + 0.5*gain), 1) end as lam, "
+        f"greatest({1 - step}*iota + {step}*(1 + 0.5*gb/n*n), 1) as iota from ta join tq using (feature_id, k) join tb using (feature_id) join tm using (k) cross join dims)",
+        "tz as materialized (select feature_id, k, lam, iota, lam/sum(lam) over (partition by k) as al, iota/sum(iota) over (partition by k) as be from tn)",
+        f"ty as materialized (select feature_id, k, sum(r*({g('x + al')} - {g('al')})) + ln(0.3) as yes, sum(r*({g('x + be')} - {g('be')})) + ln(0.7) as nope "
+        "from sb join tz using (feature_id) join tr using (sample_id, k) group by 1, 2)",
+        f"tp as materialized (select feature_id, k, case when r_k < 0.1 then 0.5 else {1 - step}*0.5 + {step}*(exp(yes - greatest(yes, nope)) / "
+        "(exp(yes - greatest(yes, nope)) + exp(nope - greatest(yes, nope)) + 1e-10)) end as phi from ty join tm using (k))",
+    ]
+
+
+def _one_step(spark, d):
+    data = prepared(spark, d)
+    p = stochastic.stochastic_params(k_max=K, batch_size=data.n_samples, max_iter=1)
+    fitted = stochastic.start_batch_fit(data, {0: p}, initial.init_from_labels(start_labels(data), K))
+    params, models = stochastic.batch_step(data, fitted.params, fitted.models, data.n_samples, 1)
+    return data, fitted, params, models
+
+
+@query("stochastic_memberships", with_sql(_step_sql(), "select sample_id, k, round(r, 6) as r, round(log_norm, 5) as log_norm from tr"))
+def _(spark, d):
+    data = prepared(spark, d)
+    p = stochastic.stochastic_params(k_max=K)
+    fitted = stochastic.start_batch_fit(data, {0: p}, initial.init_from_labels(start_labels(data), K))
+    rows = stochastic.batch_memberships(data, fitted.params, fitted.models)
+    return rows.selectExpr("sample_id", "posexplode(r) as (k, v)", "log_norm").selectExpr(
+        "sample_id", "k", "round(v, 6) as r", "round(log_norm, 5) as log_norm")
+
+
+@query("stochastic_evidence", with_sql(_step_sql(), "select round(sum(log_norm), 3) as evidence from tr where k = 0"))
+def _(spark, d):
+    data = prepared(spark, d)
+    p = stochastic.stochastic_params(k_max=K)
+    fitted = stochastic.start_batch_fit(data, {0: p}, initial.init_from_labels(start_labels(data), K))
+    rows = stochastic.batch_memberships(data, fitted.params, fitted.models)
+    return ob.evidence(rows, "log_norm").selectExpr("round(evidence, 3) as evidence")
+
+
+@query("stochastic_profiles", with_sql(_step_sql(), """
+  select feature_id, k, round(lam, 6) as lam, round(iota, 6) as iota, round(phi, 6) as phi from tz join tp using (feature_id, k)"""))
+def _(spark, d):
+    _, _, params, _ = _one_step(spark, d)
+    return params.selectExpr("feature_id", "posexplode(arrays_zip(lam, phi)) as (k, v)", "iota").selectExpr(
+        "feature_id", "k", "round(v.lam, 6) as lam", "round(iota, 6) as iota", "round(v.phi, 6) as phi")
+
+
+# --- starts, moves and full fits (no SQL: hashes, k-means, many rounds) --------------------
+
+
+@query("init_kmeans")
+def _(spark, d):
+    data = prepared(spark, d, "user_event")
+    return initial.init_kmeans(data, [initial.Start(0, 3, 42)], n_init=3).selectExpr("sample_id", "array_position(r, 1D) - 1 as label")
+
+
+@query("init_kmeans_raw")
+def _(spark, d):
+    data = prepared(spark, d, "user_event")
+    out = initial.init_kmeans(data, [initial.Start(0, 3, 42)], n_init=1, log1p=False)
+    return out.selectExpr("sample_id", "array_position(r, 1D) - 1 as label")
+
+
+@query("init_random")
+def _(spark, d):
+    return initial.init_random(prepared(spark, d).samples, [initial.Start(0, 3, 1), initial.Start(1, 5, 2)])
+
+
+@query("init_noisy_kmeans")
+def _(spark, d):
+    data = prepared(spark, d, "user_event")
+    return initial.add_noise(initial.init_kmeans(data, [initial.Start(0, 3, 42)], n_init=3), seed=7)
+
+
+def _move(kind: str, label: str):
+    def run(spark, d):
+        fitted = _fit(spark, d, "mfm_moves", 1)
+        for m in fitted.models.values():
+            m.p.update(k_max=K + 1)
+        state, accepted = moves.try_move(fitted.data, fitted.spec, fitted.state, kind, seed=3)
+        return spark.createDataFrame(
+            [(label, i in accepted, m.k) for i, m in state.models.items()], "move string, accepted boolean, k int")
+
+    query(f"move_{label}")(run)
+
+
+_move("merge", "merge")
+_move("merge_gated", "merge_gated")
+_move("delete", "delete")
+_move("split", "split")
+
+
+@query("prune")
+def _(spark, d):
+    fitted = _fit(spark, d, "dp")
+    state, _ = prune(fitted.data, fitted.spec, fitted.state)
+    return report.hard_labels(state.resp).select("sample_id", "label")
+
+
+SHORT = {
+    "dp": dict(k_max=4, max_iter=12), "dp_cluster": dict(k_max=4, max_iter=12), "py": dict(k_max=4, max_iter=10, d=0.2),
+    "mfm": dict(k_max=4, max_iter=10), "nig": dict(k_max=4, max_iter=10), "ssl": dict(k_max=4, max_iter=12),
+    "ssl_excess": dict(k_max=4, max_iter=14, burn_in=2), "dp_thermal": dict(k_max=4, max_iter=12, tau2=8, beta0=0.1),
+    "dp_density": dict(k_max=4, max_iter=12, tau1=3, tau2=6), "py_moves": dict(k_max=3, max_iter=4, anneal_iters=2, merge_every=4),
+    "mfm_moves": dict(k_max=3, max_iter=4, anneal_iters=2, merge_every=4),
+    "nig_moves": dict(k_max=3, max_iter=4, anneal_iters=2, merge_every=4),
+}
+
+
+def _full(name: str):
+    def run(spark, d):
+        out = fit(prepared(spark, d, "user_event"), name, n_init=2, n_restarts=1, kmeans_iter=5, **SHORT[name])
+        return report.hard_labels(out.state.resp).select("sample_id", "label")
+
+    query(f"fit_{name}")(run)
+
+
+for _name in SHORT:
+    _full(_name)
+
+
+@query("fit_restarts")
+def _(spark, d):
+    out = fit(prepared(spark, d, "user_event"), "dp", init="random", n_restarts=3, k_max=4, max_iter=10)
+    return report.hard_labels(out.state.resp)
+
+
+@query("fit_stochastic")
+def _(spark, d):
+    data = prepared(spark, d, "user_event")
+    p = stochastic.stochastic_params(k_max=4, max_iter=4, batch_size=64)
+    return stochastic.predict_stochastic(stochastic.fit_stochastic(data, {0: p}, seed=5)).select("sample_id", "label")
+
+
+@query("fit_base")
+def _(spark, d):
+    out = base.fit_base(prepared(spark, d), k=3, max_iter=2, init="random")
+    return report.hard_labels(out.resp).select("sample_id", "label")
+
+
+@query("base_selection")
+def _(spark, d):
+    data = prepared(spark, d)
+    out = base.fit_base(data, k=3, max_iter=1, init=initial.init_from_labels(start_labels(data), K))
+    return report.rank_features(base.mean_selection(out))
+
+
+@query("fit_stream")
+def _(spark, d):
+    """Events cut into files by time, streamed one file per micro-batch."""
+    ws = workspace(spark)
+    files, state, checkpoint = ws.path("events"), ws.path("state"), ws.path("stream-checkpoint")
+    events = read(spark, d, "events").select("user_id", "event_type", "ts")
+    events.repartitionByRange(3, "ts").write.parquet(files)
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(files)
+    p = stochastic.stochastic_params(k_max=3)
+    stream.fit_stream(source, state, p, checkpoint, sample="user_id", feature="event_type").awaitTermination()
+    last = stream.latest_before(spark, state, 1 << 30)
+    params, _, _ = stream.load_state(spark, state, last)
+    return params.selectExpr("feature_id", "size(lam) as k", "round(iota, 3) as iota")
+
+
+# --- sinks --------------------------------------------------------------------------------
+
+
+@query("save_and_load_model", _next("dp").select(_TOP))
+def _(spark, d):
+    fitted, path = _fit(spark, d, "dp"), workspace(spark).path("model")
+    src.save_model(fitted, path)
+    return report.predict(src.load_model(spark, path, fitted.data)).select("sample_id", "label")
+
+
+@query("save_history")
+def _(spark, d):
+    path = workspace(spark).path("history")
+    fit(prepared(spark, d, "user_event"), "dp", init="random", k_max=3, max_iter=10, history_path=path)
+    return spark.read.parquet(f"{path}/resp").select("iter", "sample_id")
+
+
+# --- search -------------------------------------------------------------------------------
+
+# trials made of the given tables: one per supplier, scores from its lines
+_TRIALS = """trials as materialized (
+  select l_suppkey as trial_id, round(avg(l_discount)*10, 4) as ari, round(avg(l_tax)*10, 4) as nmi, count(*) % 7 as k_est
+  from lineitem group by 1)"""
+
+
+def _trials(spark, d):
+    return read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("trial_id")).agg(
+        F.round(F.avg("l_discount") * 10, 4).alias("ari"), F.round(F.avg("l_tax") * 10, 4).alias("nmi"),
+        (F.count("*") % 7).alias("k_est"))
+
+
+@query("rank_trials", with_sql([_TRIALS], """
+  select trial_id, ari, nmi, k_est, cast(row_number() over (order by ari desc, nmi desc, trial_id) as int) as rank
+  from trials qualify rank <= 10"""))
+def _(spark, d):
+    return search.rank_trials(_trials(spark, d), 10)
+
+
+@query("seed_average", """
+  select l_linenumber as trial_id, round(avg(l_discount), 8) as mean_score, round(avg(l_quantity), 8) as mean_k, count(*) as n_seeds
+  from lineitem group by 1""")
+def _(spark, d):
+    runs = read(spark, d, "lineitem").selectExpr("l_linenumber as trial_id", "l_discount as ari", "l_quantity as k_est")
+    return search.seed_average(runs).selectExpr(
+        "trial_id", "round(mean_score, 8) as mean_score", "round(mean_k, 8) as mean_k", "n_seeds")
+
+
+@query("running_best", with_sql([_TRIALS], """
+  select trial_id, ari, best_before, greatest(best_before, ari) as best, best_before is null or ari > best_before as is_best,
+    round(ari - best_before, 6) as delta from (
+    select *, max(ari) over (order by trial_id rows between unbounded preceding and 1 preceding) as best_before from trials)"""))
+def _(spark, d):
+    out = search.running_best(_trials(spark, d))
+    return out.selectExpr("trial_id", "ari", "best_before", "best", "is_best", "round(delta, 6) as delta")
+
+
+@query("save_trials", with_sql([_TRIALS], "select trial_id, ari, nmi, k_est from trials"))
+def _(spark, d):
+    path = workspace(spark).path("trials")
+    src.save_trials(_trials(spark, d), path)
+    return spark.read.schema("trial_id bigint, ari double, nmi double, k_est bigint").json(path)
+
+
+def _user_truth(spark, d):
+    """The event type each user has most often."""
+    counts = prepared(spark, d, "user_event").cells
+    return counts.groupBy("sample_id").agg(F.max_by("feature_id", F.struct("x", "feature_id")).alias("label"))
+
+
+@query("search")
+def _(spark, d):
+    data = prepared(spark, d, "user_event")
+    out = search.search(data, "dp", 3, seed=1, labels=_user_truth(spark, d), space={"k_max": (3, 5)}, init="random", max_iter=10)
+    return out.trials.select("trial_id", "config", "ari", "nmi", "k_est", "error")
+
+
+@query("search_without_labels")
+def _(spark, d):
+    data = prepared(spark, d, "user_event")
+    configs = search.sample_configs(spark, "py", 3, seed=2, space={"k_max": (3, 4)})
+    return search.run_trials(data, configs, "py", init="random", max_iter=5).select("trial_id", "config", "proxy", "k_est", "error")
+
+
+@query("refit_best")
+def _(spark, d):
+    data = prepared(spark, d, "user_event")
+    runs = search.refit_best(data, "nig", {"k_max": 3, "sigma": 0.4}, 11, _user_truth(spark, d), 2, init="random", max_iter=5)
+    return runs.select("rank", "seed", "ari", "nmi", "k_est")

@@ -67,7 +67,7 @@ def _wide(spark, d, row: str, column: str, sep: str) -> str:
     """The supplier table as a wide text file, zeros included."""
     ws = workspace(spark)
     wide = supplier_brand(spark, d).groupBy(row).pivot(column).agg(F.first("x")).na.fill(0.0)
-    path = f"{ws.root}/wide-{row}-{len(d)}-{abs(hash(d)) % 10**8}"
+    path = ws.path(f"wide-{row}")
     # one file, as a wide table comes; its size is that of the pivoted report
     wide.coalesce(1).write.mode("overwrite").option("header", True).option("sep", sep).csv(path)
     return path
@@ -86,9 +86,7 @@ def _(spark, d):
 
 
 def _csv(spark, df: DataFrame, name: str) -> str:
-    ws = workspace(spark)
-    ws._count += 1
-    path = f"{ws.root}/{ws._count:05d}-{name}-csv"
+    path = workspace(spark).path(f"{name}-csv")
     df.write.option("header", True).csv(path)
     return path
 
@@ -614,7 +612,7 @@ def _(spark, d):
 @query("elbo_fast", _sweeps("dp", 2).select(f"select round({_sweeps('dp', 2).fast_objective()}, 3) as elbo"))
 def _(spark, d):
     """The light objective from per-sample rows; selection of the round is the shared one."""
-    data, spec = prepared(spark, d), FITS["dp"]
+    data = prepared(spark, d)
     before, after = swept(spark, d, "dp", 1), swept(spark, d, "dp", 2)
     logs = lk.elog_profiles(before.params, lk.profile_totals(before.params, K)).join(
         after.params.select("model_id", "feature_id", "f"), ["model_id", "feature_id"])
@@ -623,7 +621,6 @@ def _(spark, d):
     ll = data.with_features(data.cells, scores, K).groupBy("model_id", "sample_id").agg(*lk.weighted_sums(K))
     weights = mx.models_table(data, before.models).select("model_id", "elog_pi")
     rows = ll.join(after.resp, ["model_id", "sample_id"]).join(F.broadcast(weights), "model_id")
-    del spec
     return ob.elbo_fast(rows, K).selectExpr("round(elbo, 3) as elbo")
 
 

@@ -267,28 +267,33 @@ def _sizes(fit: BatchFit) -> dict[int, list[float]]:
     return {r["model_id"]: [v or 0.0 for v in r["mass"][: fit.models[r["model_id"]].k]] for r in rows}
 
 
-def fit_stochastic(data: CountData, params: dict[int, dict], resp: DataFrame | None = None, seed: int = 42) -> BatchFit:
-    """Fit by sampled batches; all models see the same batches."""
+def start_batch_fit(data: CountData, params: dict[int, dict], resp: DataFrame) -> BatchFit:
+    """Profiles, background and sticks from starting memberships."""
     ws = data.ws
     models = {i: BatchModel(i, p, p["k_max"]) for i, p in params.items()}
     width = max(m.k for m in models.values())
-    if resp is None:
-        starts = [Start(i, p["k_max"], seed + i) for i, p in params.items()]
-        resp = add_noise(init_kmeans(data, starts, n_init=3, max_iter=100), seed)
     resp = ws.put(resp.select("model_id", "sample_id", "r"), "resp")
-    sums = pf.member_sums(data, resp, width, "all")
-    totals = pf.membership_totals(data, resp, width)
     plain = data.spark.createDataFrame(
         [(i, m.k, 1.0, 1.0) for i, m in models.items()], "model_id int, k_live int, zeta double, eta double"
     )
     first = pf.starting_profiles(
-        data.features, sorted(models), sums, totals, plain, "scaled", data.n_samples, data.n_features, data.total
+        data.features, sorted(models), pf.member_sums(data, resp, width, "all"), pf.membership_totals(data, resp, width),
+        plain, "scaled", data.n_samples, data.n_features, data.total,
     )
     table = ws.put(first.selectExpr("model_id", "feature_id", "lam", "iota", "transform(lam, v -> 0.5D) as phi"), "params")
     for m in models.values():
         start_sticks(m)
     read_totals(data, table, models)
-    fit = BatchFit(data, models, table, resp.withColumn("log_norm", F.lit(0.0)))
+    return BatchFit(data, models, table, resp.withColumn("log_norm", F.lit(0.0)))
+
+
+def fit_stochastic(data: CountData, params: dict[int, dict], resp: DataFrame | None = None, seed: int = 42) -> BatchFit:
+    """Fit by sampled batches; all models see the same batches."""
+    ws = data.ws
+    if resp is None:
+        starts = [Start(i, p["k_max"], seed + i) for i, p in params.items()]
+        resp = add_noise(init_kmeans(data, starts, n_init=3, max_iter=100), seed)
+    fit = start_batch_fit(data, params, resp)
     size = min(next(iter(params.values()))["batch_size"] or 256, data.n_samples)
     limit = max(p["max_iter"] for p in params.values())
     # models that have converged go on with the others; one job serves all

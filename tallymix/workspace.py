@@ -41,14 +41,18 @@ class Workspace:
         self._count = 0
         self._known: dict[int, tuple[DataFrame, str, str | None]] = {}
 
+    def path(self, name: str) -> str:
+        """A folder of the workspace that nothing else uses."""
+        self._count += 1
+        return f"{self.root}/{self._count:05d}-{name}"
+
     def put(self, df: DataFrame, name: str, bucket_by: list[str] | None = None, buckets: int = 1) -> DataFrame:
         """Write ``df`` and return a frame that reads the written table.
 
         ``bucket_by`` keeps the rows hash-partitioned on disk, so that later joins
         on those columns move only the other side.
         """
-        self._count += 1
-        path = f"{self.root}/{self._count:05d}-{name}"
+        path = self.path(name)
         if bucket_by:
             table = f"tallymix_{uuid.uuid4().hex}"
             (
