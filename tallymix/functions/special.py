@@ -37,22 +37,22 @@ def _alternating(inv: str, coefficients) -> str:
 
 
 def digamma(x: str) -> str:
-    """psi(x) for x > 0: the argument is shifted by 8, the eight terms 1/(x+i) pair up over t = x(x+7)."""
+    """psi(x) for x > 0: the argument is shifted by 8, the eight terms 1/(x+i) pair up over t = x(x+7).
+
+    Equal parts of the text are evaluated once by generated code as long as ``x`` is a
+    column, so stage longer arguments in a select first.
+    """
     x = f"({x})"
-    t = f"({x}*({x}+7D))"
-    pairs = f"(2D*{x}+7D)*(1D/{t} + 1D/({t}+6D) + 1D/({t}+10D) + 1D/({t}+12D))"
-    y = f"({x}+8D)"
-    inv = f"(1D/({y}*{y}))"
-    return f"(ln({y}) - 0.5D/{y} - {inv}*{_alternating(inv, DIGAMMA_SERIES)} - {pairs})"
+    t, w = f"({x}*({x}+7D))", f"(1D/({x}+8D))"
+    pairs = f"(2D*{x}+7D)*((2D*{t}+12D)/({t}*({t}+12D)) + (2D*{t}+16D)/(({t}+6D)*({t}+10D)))"
+    return f"(ln({x}+8D) - 0.5D*{w} - ({w}*{w})*{_alternating(f'({w}*{w})', DIGAMMA_SERIES)} - {pairs})"
 
 
 def lgamma(x: str) -> str:
     """ln Gamma(x) for x > 0."""
     x = f"({x})"
-    t = f"({x}*({x}+7D))"
-    y = f"({x}+8D)"
-    inv = f"(1D/({y}*{y}))"
-    stirling = f"({y}-0.5D)*ln({y}) - {y} + {num(HALF_LOG_TWO_PI)} + {_alternating(inv, LGAMMA_SERIES)}/{y}"
+    t, w = f"({x}*({x}+7D))", f"(1D/({x}+8D))"
+    stirling = f"({x}+7.5D)*ln({x}+8D) - ({x}+8D) + {num(HALF_LOG_TWO_PI)} + {w}*{_alternating(f'({w}*{w})', LGAMMA_SERIES)}"
     return f"({stirling} - ln({t}*({t}+6D)*({t}+10D)*({t}+12D)))"
 
 

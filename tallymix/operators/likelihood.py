@@ -85,8 +85,8 @@ def gated_sums(width: int) -> list[Column]:
 
 
 def dm_sums(width: int) -> list[Column]:
-    """Dirichlet-multinomial part that depends on single cells (columns e0..); zero cells add nothing."""
-    return [F.expr(f"sum({lgamma(f'x + e{k}')} - {lgamma(f'e{k}')}) as ll{k}") for k in range(width)]
+    """Dirichlet-multinomial part of single cells (columns xe0.. = x + e, le0.. = lgamma(e)); zero cells add nothing."""
+    return [F.expr(f"sum({lgamma(f'xe{k}')} - le{k}) as ll{k}") for k in range(width)]
 
 
 def responsibilities(rows: DataFrame, width: int, floor: float | None = EPS, log_norm: str | None = None,

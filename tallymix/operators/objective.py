@@ -95,6 +95,16 @@ def selection_kl(f: str, xi_1: str = "xi_1", xi_2: str = "xi_2", n: str = "1D")
     return beta_kl(f"({xi_1} + {n} * {f})", f"({xi_2} + {n} * (1D - {f}))", xi_1, xi_2)
 
 
+def cell_kl(f: str = "f") -> str:
+    """The same for a single cell, where a + b is fixed: columns ``xa, xb, kl_const``."""
+    return f"(kl_const + {lgamma('xa')} + {lgamma('xb')} + {f} * {digamma('xa')} + (1D - {f}) * {digamma('xb')})"
+
+
+def cell_kl_const(xi_1: float, xi_2: float) -> float:
+    s0 = xi_1 + xi_2
+    return lgamma_value(s0) - lgamma_value(xi_1) - lgamma_value(xi_2) - lgamma_value(s0 + 1.0) - digamma_value(s0 + 1.0)
+
+
 def selection_kl_value(f: float, xi_1: float, xi_2: float) -> float:
     return beta_kl_value(xi_1 + f, xi_2 + 1.0 - f, xi_1, xi_2)
 

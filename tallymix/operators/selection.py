@@ -45,8 +45,16 @@ def select_per_cluster(odds: str = "odds", rx: str = "rx") -> str:
     return f"zip_with({odds}, {gain}, (o, g) -> {sigmoid_clip('o + g')})"
 
 
-def select_per_sample(odds: str, width: int) -> str:
-    """One cell: columns ``r0.., ea0.., eb, x``."""
+def cell_prior(df: DataFrame) -> DataFrame:
+    """Add the Beta parameters ``xa, xb`` of each cell; the plain prior before the first update."""
+    return df.selectExpr("*", "xi_1 + started * f as xa", "xi_2 + started * (1D - f) as xb")
+
+
+CELL_ODDS = f"{digamma('xa')} - {digamma('xb')}"
+
+
+def select_per_sample(width: int, odds: str = CELL_ODDS) -> str:
+    """One cell: columns ``r0.., ea0.., eb, x, xa, xb``."""
     own = " + ".join(f"coalesce(r{k} * ea{k}, 0D)" for k in range(width))
     return sigmoid_clip(f"{odds} + x * ({own} - eb)")
 

@@ -105,7 +105,7 @@ def join_states(parts: list[State]) -> State:
 
 _ARRAYS = ("elog_pi", "psi_lam", "share")
 _NUMBERS = ("psi_iota", "beta", "zeta", "eta", "xi_1", "xi_2", "started", "log_ratio", "slope", "rate_odds", "baseline",
-            "ema")
+            "ema", "kl_const")
 
 
 def models_table(data: CountData, models: dict[int, Model], beta: float = 1.0) -> DataFrame:
@@ -124,6 +124,7 @@ def models_table(data: CountData, models: dict[int, Model], beta: float = 1.0) -
             "xi_1": float(p["xi_1"]), "xi_2": float(p["xi_2"]), "started": float(m.started),
             "log_ratio": math.log(l1 / max(l0, EPS)), "slope": l0 - l1, "rate_odds": math.log(theta / (1.0 - theta)),
             "baseline": m.baseline if m.baseline is not None else 0.0,
+            "kl_const": ob.cell_kl_const(p["xi_1"], p["xi_2"]),
             "ema": 1.0 if m.baseline is not None else min(max(p.get("xi_ema", 1.0), EPS), 1.0),
         })
     schema = "model_id int, k_live int, " + ", ".join(f"{c} array<double>" for c in _ARRAYS) + ", " + ", ".join(
@@ -400,16 +401,17 @@ def _update_per_sample(data: CountData, spec: Spec, state: State, table: DataFra
     """Selection per nonzero cell, then profiles and background."""
     ws, width, n_models = data.ws, state.width, len(state.models)
     logs = lk.elog_profiles(state.params, table.select("model_id", "psi_lam", "psi_iota"), keep=("colsum",))
-    priors = table.select("model_id", "xi_1", "xi_2", "started", "zeta", "eta", "k_live")
+    priors = table.select("model_id", "xi_1", "xi_2", "started", "zeta", "eta", "k_live", "kl_const")
     slim = logs.selectExpr("model_id", "feature_id", *unfold("ea", "ea", width), "eb").join(
         F.broadcast(priors.select("model_id", "xi_1", "xi_2", "started")), "model_id"
     )
     flat = pf.unfolded(resp, width)
     joined = data.with_features(data.with_samples(state.cells, flat, ["model_id"]), slim, width + 4, n_models, ["model_id"])
-    fresh = sl.select_per_sample(sl.prior_odds("f", "xi_1", "xi_2"), width)
+    fresh = sl.select_per_sample(width)
     key = data.sample_key + ["model_id"]
     cells = ws.put(
-        joined.selectExpr("model_id", *data.cell_columns, f"{fresh} as f", "f as f_old").repartition(data.buckets, *key),
+        sl.cell_prior(joined).selectExpr(
+            "model_id", *data.cell_columns, f"{fresh} as f", "f as f_old").repartition(data.buckets, *key),
         "cells-f", bucket_by=key, buckets=data.buckets,
     )
 
@@ -419,8 +421,9 @@ def _update_per_sample(data: CountData, spec: Spec, state: State, table: DataFra
     aggs += [f"sum((1D - {used}) * x) as rest", "sum(f) as f_total", "count_if(f > 0.5D) as n_selected"]
     if want_objective:
         aggs += [f"sum(r{k} * f * x) as gx{k}" for k in range(width)] + ["sum((1D - f) * x) as gr"]
-        moved = moved.join(F.broadcast(priors.select("model_id", "xi_1", "xi_2")), "model_id")
-        aggs.append(f"sum({ob.selection_kl('f')}) as kl")
+        moved = sl.cell_prior(moved.join(F.broadcast(priors.select("model_id", "xi_1", "xi_2", "kl_const")).withColumn(
+            "started", F.lit(1.0)), "model_id"))
+        aggs.append(f"sum({ob.cell_kl()}) as kl")
     sums = sums_by_feature(moved, [F.expr(a) for a in aggs])
     sums = pf.packed_sums(sums, "rx", width, "rx")
     fit = kl = "0D"
@@ -514,8 +517,9 @@ def full_objective(data: CountData, spec: Spec, state: State) -> dict[int, float
     rows = state.params.join(F.broadcast(table), "model_id")
     sums = {r["model_id"]: r for r in ob.profile_kl_parts(rows, width).collect()}
     if spec.selection == "sample":
-        cells = state.cells.join(F.broadcast(table.select("model_id", "xi_1", "xi_2")), "model_id").groupBy("model_id")
-        kls = {r[0]: r[1] for r in cells.agg(F.expr(f"sum({ob.selection_kl('f')}) as kl")).collect()}
+        priors = table.select("model_id", "xi_1", "xi_2", "kl_const").withColumn("started", F.lit(1.0))
+        cells = sl.cell_prior(state.cells.select("model_id", "f").join(F.broadcast(priors), "model_id"))
+        kls = {r[0]: r[1] for r in cells.groupBy("model_id").agg(F.expr(f"sum({ob.cell_kl()}) as kl")).collect()}
     else:
         kls = {i: m.selection_kl for i, m in state.models.items()}
     penalty = {}

@@ -114,8 +114,10 @@ def batch_memberships(data: CountData, params: DataFrame, models: dict[int, Batc
     width = max(m.k for m in models.values())
     table = _table(data, models)
     eff = params.join(table, "model_id").selectExpr("model_id", "feature_id", f"{EFFECTIVE} as eff")
-    eff = eff.selectExpr("model_id", "feature_id", *unfold("eff", "e", width))
-    joined = data.with_features(data.cells, eff, width, len(models))
+    eff = eff.selectExpr("model_id", "feature_id", "eff", f"transform(eff, v -> {lgamma('v')}) as le")
+    eff = eff.selectExpr("model_id", "feature_id", *unfold("eff", "e", width), *unfold("le", "le", width))
+    joined = data.with_features(data.cells, eff, 2 * width, len(models))
+    joined = joined.selectExpr("*", *[f"x + e{k} as xe{k}" for k in range(width)])
     ll = data.add_empty_samples(
         sums_by_sample(joined, lk.dm_sums(width)), sorted(models), [f"ll{k}" for k in range(width)]
     )
@@ -129,6 +131,19 @@ def batch_memberships(data: CountData, params: DataFrame, models: dict[int, Batc
     )
 
 
+def _shifted(batch: CountData, params: DataFrame, table: DataFrame, resp: DataFrame, function, width: int,
+             n_models: int) -> DataFrame:
+    """Batch cells with memberships ``r0..``, shifted counts ``xa0.., xb`` and ``function`` of the shifts alone ``pa0.., pb``."""
+    means = params.join(table, "model_id").selectExpr(
+        "model_id", "feature_id", "transform(lam, (v, i) -> v / get(lam_sum, i)) as a", "iota / iota_sum as b")
+    means = means.selectExpr(
+        "model_id", "feature_id", "a", "b", f"transform(a, v -> {function('v')}) as pa", f"{function('b')} as pb")
+    means = means.selectExpr(
+        "model_id", "feature_id", *unfold("a", "a", width), *unfold("pa", "pa", width), "b", "pb")
+    joined = batch.with_samples(batch.with_features(batch.cells, means, 2 * width + 2, n_models), resp, ["model_id"])
+    return joined.selectExpr("*", *[f"x + a{k} as xa{k}" for k in range(width)], "x + b as xb")
+
+
 def batch_step(batch: CountData, params: DataFrame, models: dict[int, BatchModel], n_total: float, t: int,
                ) -> tuple[DataFrame, dict[int, BatchModel]]:
     """One blended update from the samples of ``batch``; ``n_total`` is the size of the whole table."""
@@ -142,12 +157,9 @@ def batch_step(batch: CountData, params: DataFrame, models: dict[int, BatchModel
     flat = pf.unfolded(resp, width)
 
     # profiles and background, from the profiles of the step's start
-    alphas = params.join(table, "model_id").selectExpr(
-        "model_id", "feature_id", *[f"get(lam, {k}) / get(lam_sum, {k}) as a{k}" for k in range(width)], "iota / iota_sum as b"
-    )
-    joined = batch.with_samples(batch.with_features(batch.cells, alphas, width + 1, len(models)), flat, ["model_id"])
-    gains = [F.expr(f"sum(r{k} * ({digamma(f'x + a{k}')} - {digamma(f'a{k}')})) as g{k}") for k in range(width)]
-    gains.append(F.expr(f"sum({digamma('x + b')} - {digamma('b')}) as gb"))
+    joined = _shifted(batch, params, table, flat, digamma, width, len(models))
+    gains = [F.expr(f"sum(r{k} * ({digamma(f'xa{k}')} - pa{k})) as g{k}") for k in range(width)]
+    gains.append(F.expr(f"sum({digamma('xb')} - pb) as gb"))
     sums = pf.packed_sums(sums_by_feature(joined, gains), "g", width, "g")
     rows = params.join(sums, ["model_id", "feature_id"], "left").join(table, "model_id")
     gradient = f"{num(scale)} * get(phi, i) * coalesce(get(g, i), 0D)"
@@ -165,12 +177,10 @@ def batch_step(batch: CountData, params: DataFrame, models: dict[int, BatchModel
 
     # selection, from the new profiles and background
     table = _table(batch, models)
-    alphas = half.join(table, "model_id").selectExpr(
-        "model_id", "feature_id", *[f"get(lam, {k}) / get(lam_sum, {k}) as a{k}" for k in range(width)], "iota / iota_sum as b"
-    )
-    joined = batch.with_samples(batch.with_features(batch.cells, alphas, width + 1, len(models)), flat, ["model_id"])
-    likes = [F.expr(f"sum(r{k} * ({lgamma(f'x + a{k}')} - {lgamma(f'a{k}')})) as own{k}") for k in range(width)]
-    likes += [F.expr(f"sum(r{k} * ({lgamma('x + b')} - {lgamma('b')})) as other{k}") for k in range(width)]
+    joined = _shifted(batch, half, table, flat, lgamma, width, len(models))
+    likes = [F.expr(f"sum(r{k} * ({lgamma(f'xa{k}')} - pa{k})) as own{k}") for k in range(width)]
+    joined = joined.withColumn("gb", F.expr(f"{lgamma('xb')} - pb"))
+    likes += [F.expr(f"sum(r{k} * gb) as other{k}") for k in range(width)]
     sums = sums_by_feature(joined, likes)
     sums = pf.packed_sums(pf.packed_sums(sums, "own", width, "own"), "other", width, "other")
     rows = half.join(sums, ["model_id", "feature_id"], "left").join(table, "model_id")
