@@ -28,8 +28,9 @@ def supplier_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_token(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("token")
-    return counts_from_events(read(spark, sf_dir, "documents").select("doc_id", words), "doc_id", "token")
+    words = F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("token")
+    tokens = read(spark, sf_dir, "documents").select("doc_id", words).where("token <> ''")
+    return counts_from_events(tokens, "doc_id", "token")
 
 
 def user_event(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -118,9 +118,9 @@ def exact_quantile(df: DataFrame, value: str, q: float, small: int = 1_000_000)
         bracket = rows.where((F.col("v") >= low) & (F.col("v") <= high)).groupBy("v").agg(F.count("*").alias("n"))
         less = rows.where(F.col("v") < low).count()
         distinct, inside = bracket.agg(F.count("*"), F.sum("n")).first()
-        if less <= position and position < less + inside - 0.5 and distinct <= small:
+        if less <= position <= less + inside - 1 and distinct <= small:
             share = (position - less) / max(inside - 1, 1)
-            return bracket.agg(F.percentile("v", min(share, 1.0), "n")).first()[0]
+            return bracket.agg(F.percentile("v", min(share, 1.0), F.col("n"))).first()[0]
     raise RuntimeError(f"{n} values are too dense around quantile {q}")
 
 
