@@ -63,26 +63,25 @@ def _(spark, d):
     return counts.withColumn("x", F.round("x", 4))
 
 
-def _wide(spark, d, row: str, column: str, sep: str) -> str:
-    """The supplier table as a wide text file, zeros included."""
-    ws = workspace(spark)
-    wide = supplier_brand(spark, d).groupBy(row).pivot(column).agg(F.first("x")).na.fill(0.0)
-    path = ws.path(f"wide-{row}")
-    # one file, as a wide table comes; its size is that of the pivoted report
-    wide.coalesce(1).write.mode("overwrite").option("header", True).option("sep", sep).csv(path)
+def _wide(spark, d, row: str, sep: str) -> str:
+    """The supplier table as wide text, zeros included: one column per brand."""
+    wide = supplier_brand(spark, d).withColumnRenamed("sample_id", row).groupBy(row).pivot("feature_id").agg(F.first("x"))
+    path = workspace(spark).path("wide")
+    wide.na.fill(0.0).write.option("header", True).option("sep", sep).csv(path)
     return path
 
 
 @query("read_counts_wide", with_sql([SB], "select * from sb"))
 def _(spark, d):
-    counts = src.read_counts(spark, _wide(spark, d, "sample_id", "feature_id", ","))
+    counts = src.read_counts(spark, _wide(spark, d, "sample_id", ","))
     return counts.withColumn("sample_id", F.col("sample_id").cast("bigint"))
 
 
-@query("read_counts_features_in_rows", with_sql([SB], "select * from sb"))
+@query("read_counts_features_in_rows", with_sql([SB], """
+  select feature_id as sample_id, cast(sample_id as varchar) as feature_id, x from sb"""))
 def _(spark, d):
-    counts = src.read_counts(spark, _wide(spark, d, "feature_id", "sample_id", "\t"), "\t", features_in_rows=True)
-    return counts.withColumn("sample_id", F.col("sample_id").cast("bigint"))
+    """Rows are features (suppliers), the header names the samples (brands)."""
+    return src.read_counts(spark, _wide(spark, d, "feature", "\t"), "\t", features_in_rows=True)
 
 
 def _csv(spark, df: DataFrame, name: str) -> str:
@@ -115,12 +114,12 @@ def _(spark, d):
 
 
 @query("tree_tips", """
-  select c_nationkey as tree, row_number() over (partition by c_nationkey order by c_custkey) as tip_index,
+  select c_custkey // 100 as tree, row_number() over (partition by c_custkey // 100 order by c_custkey) as tip_index,
          'taxon_' || cast(c_custkey as varchar) as tip from customer""")
 def _(spark, d):
-    """Every nation's customers as the leaves of one tree, then the leaf names back from the text."""
+    """Every hundred customers as the leaves of one tree, then the leaf names back from the text."""
     names = F.concat(F.lit("taxon_"), F.col("c_custkey").cast("string"), F.lit(":0.1"))
-    lines = read(spark, d, "customer").groupBy(F.col("c_nationkey").alias("tree")).agg(
+    lines = read(spark, d, "customer").groupBy(F.expr("c_custkey div 100").alias("tree")).agg(
         F.sort_array(F.collect_list(F.struct("c_custkey", names.alias("name")))).alias("leaves")
     )
     lines = lines.select("tree", F.expr("concat('(', array_join(transform(leaves, v -> v.name), ','), ');')").alias("value"))

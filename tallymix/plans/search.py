@@ -151,7 +151,7 @@ def report_plogp(resp: DataFrame, width: int) -> dict[int, float]:
 
 
 def rank_trials(trials: DataFrame, k: int | None = None, by: tuple[str, ...] = ("ari", "nmi")) -> DataFrame:
-    """Trials by score, best first, with their rank; ``k`` keeps the top."""
+    """Trials by score, best first, with their rank; ``k`` keeps the top (always set it for long trial tables)."""
     order = [F.desc(c) for c in by] + [F.asc("trial_id")]
     if k is not None:
         trials = trials.orderBy(*order).limit(k)
@@ -166,13 +166,22 @@ def seed_average(trials: DataFrame, score: str = "ari") -> DataFrame:
     )
 
 
-def running_best(trials: DataFrame, score: str = "ari") -> DataFrame:
-    """Best score so far in trial order, whether the trial is a new best, and by how much."""
-    before = Window.orderBy("trial_id").rowsBetween(Window.unboundedPreceding, -1)
-    staged = trials.withColumn("best_before", F.max(score).over(before))
+def running_best(trials: DataFrame, score: str = "ari", block: int = 10_000) -> DataFrame:
+    """Best score so far in trial order, whether the trial is a new best, and by how much.
+
+    Trials are scanned in blocks of ids: the best of all earlier blocks comes from one
+    row per block, the best inside the block from a window over the block.
+    """
+    cut = trials.withColumn("_block", F.expr(f"trial_id div {block}"))
+    inside = "max({0}) over (partition by _block order by trial_id rows between unbounded preceding and 1 preceding)"
+    tops = cut.groupBy("_block").agg(F.max(score).alias("_top"))
+    earlier = tops.selectExpr(
+        "_block", "max(_top) over (order by _block rows between unbounded preceding and 1 preceding) as _earlier")
+    staged = cut.withColumn("_inside", F.expr(inside.format(score))).join(earlier, "_block")
+    staged = staged.withColumn("best_before", F.expr("greatest(_inside, _earlier)"))
     return staged.selectExpr(
-        "*", f"greatest(best_before, {score}) as best", f"best_before is null or {score} > best_before as is_best",
-        f"{score} - best_before as delta",
+        *trials.columns, "best_before", f"greatest(best_before, {score}) as best",
+        f"best_before is null or {score} > best_before as is_best", f"{score} - best_before as delta",
     )
 
 
