@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from checks import sql as q
 from checks.data import K, prepared, read, start_labels, swept, workspace
-from checks.queries import _sweeps, query, with_sql
+from checks.queries import _ARI, _UE_NORM, _silhouette_ctes, _sweeps, query, with_sql
 from tallymix.operators import initial, metrics, report
 from tallymix.operators import objective as ob
 from tallymix.plans import base, moves, search, stochastic
 from tallymix.plans.fit import fit
 from tallymix.plans.mixture import Fit, prune
-from tallymix.plans.specs import FITS
+from tallymix.plans.specs import FITS, two_phase_anneal
 from tallymix.sources import tables as src
 from tallymix.streaming import stream
 
@@ -171,13 +171,23 @@ def _(spark, d):
     return top.withColumn("f", F.round("f", 9))
 
 
-@query("metrics_row")
+_USERS = _UE_NORM + [
+    "pairs as materialized (select cast(sample_id % 3 as int) as a, cast(sample_id % 2 as int) as b, count(*) as n from sq group by 1, 2)",
+    "tot as (select sum(n) as t from pairs)",
+    "ent as (select (select -sum(n/t*ln(n/t)) from pairs, tot) as hab, (select -sum(n/t*ln(n/t)) from (select sum(n) as n from pairs group by a), tot) as ha, "
+    "(select -sum(n/t*ln(n/t)) from (select sum(n) as n from pairs group by b), tot) as hb)",
+]
+
+
+@query("metrics_row", with_sql(_USERS + _silhouette_ctes("greatest(s.sq + t.sq - 2*coalesce(dot, 0), 0)"), f"""
+  select round(cast({_ARI} as double), 7) as ari, round((select (ha + hb - hab)/((ha + hb)/2) from ent), 7) as nmi,
+    (select round(avg((b - a)/greatest(a, b)), 7) from sil) as silhouette, cast(0 as double) as elapsed, cast(3 as int) as k_estimated"""))
 def _(spark, d):
-    data, labels = prepared(spark, d, "user_event"), start_labels(prepared(spark, d, "user_event"))
-    other = data.samples.selectExpr("sample_id", "cast(sample_id % 2 as int) as label")
+    data = prepared(spark, d, "user_event")
+    labels, other = start_labels(data), start_labels(data, 2)
     row = metrics.metrics_row(
         metrics.ari(labels, other), metrics.nmi(labels, other), metrics.silhouette_squared(data, labels), 0.0, 3)
-    return row
+    return row.selectExpr("round(ari, 7) as ari", "round(nmi, 7) as nmi", "round(silhouette, 7) as silhouette", "elapsed", "k_estimated")
 
 
 # --- one mini-batch step over the whole table ---------------------------------------------
@@ -295,18 +305,60 @@ _move("delete", "delete")
 _move("split", "split")
 
 
-@query("prune")
+def _kept_sql(s: q.Sweeps, p: dict, size: str, version: int) -> list[str]:
+    """Groups that pass the weight and size tests, at least min_clusters of them, renumbered."""
+    v = version
+    before = "coalesce(sum(ln(greatest(1-a/(a+b), 1e-10))) over (order by k rows between unbounded preceding and 1 preceding), 0)"
+    return s.ctes + [
+        f"wt as materialized (select k, r_k, exp(ln(greatest(a/(a+b), 1e-10)) + {before}) as w from w{v} join mass{v} using (k))",
+        f"ok as materialized (select *, w > {p['prune_threshold']} and r_k > {size} as pass, row_number() over (order by w desc, k) as pos from wt cross join dims)",
+        f"kept as materialized (select k, row_number() over (order by k) - 1 as label from ok where "
+        f"case when (select count(*) from ok where pass) < {p['min_clusters']} then pos <= {p['min_clusters']} else pass end)",
+    ]
+
+
+_TOP_R = ("select sample_id, cast(label as int) as label from (select sample_id, label, row_number() over (partition by sample_id "
+          "order by r desc, label) as pos from r{0} join kept using (k)) where pos = 1")
+
+
+@query("prune", with_sql(_kept_sql(_sweeps("dp", 2), FITS["dp"].params(k_max=K), "greatest(1, n/(5.0*3))", 2), _TOP_R.format(2)))
 def _(spark, d):
     fitted = _fit(spark, d, "dp")
     state, _ = prune(fitted.data, fitted.spec, fitted.state)
     return report.hard_labels(state.resp).select("sample_id", "label")
 
 
+# whole fits of three rounds from given labels; the last pruning keeps every group, so the SQL is three sweeps
+ROUNDS = {
+    "dp": {}, "dp_cluster": {}, "py": dict(d=0.2), "mfm": dict(gamma=2.0), "nig": dict(alpha=2.0), "ssl": dict(l0=20.0),
+    "ssl_excess": dict(burn_in=1), "dp_thermal": dict(beta0=0.2, tau2=3),
+}
+
+
+def _rounds(name: str, given: dict):
+    spec = FITS[name]
+    p = spec.params(k_max=K, min_clusters=K, max_iter=3, **given)
+    s = q.Sweeps(p, spec.weights, spec.selection, spec.select_first, spec.start, K)
+    for t in range(3):
+        beta = two_phase_anneal(t, p["beta0"], p["s0"], p["tau1"], p["tau2"])[0] if name == "dp_thermal" else 1.0
+        s.sweep(beta, gated=name != "ssl_excess" or t >= 1)
+
+    def run(spark, d):
+        data = prepared(spark, d)
+        out = fit(data, name, init=start_labels(data), k_max=K, min_clusters=K, max_iter=3, **given)
+        return out.state.resp.selectExpr("sample_id", "posexplode(r) as (k, v)").selectExpr("sample_id", "k", "round(v, 5) as r")
+
+    query(f"fit_{name}", s.select("select sample_id, k, round(r, 5) as r from r3"))(run)
+
+
+for _name, _given in ROUNDS.items():
+    _rounds(_name, _given)
+
+
+# whole fits from k-means, with pruning or moves
 SHORT = {
-    "dp": dict(k_max=4, max_iter=12), "dp_cluster": dict(k_max=4, max_iter=12), "py": dict(k_max=4, max_iter=10, d=0.2),
-    "mfm": dict(k_max=4, max_iter=10), "nig": dict(k_max=4, max_iter=10), "ssl": dict(k_max=4, max_iter=12),
-    "ssl_excess": dict(k_max=4, max_iter=14, burn_in=2), "dp_thermal": dict(k_max=4, max_iter=12, tau2=8, beta0=0.1),
-    "dp_density": dict(k_max=4, max_iter=12, tau1=3, tau2=6), "py_moves": dict(k_max=3, max_iter=4, anneal_iters=2, merge_every=4),
+    "dp": dict(k_max=4, max_iter=12), "mfm": dict(k_max=4, max_iter=10),
+    "dp_density": dict(k_max=4, max_iter=8, tau1=3, tau2=6), "py_moves": dict(k_max=3, max_iter=4, anneal_iters=2, merge_every=4),
     "mfm_moves": dict(k_max=3, max_iter=4, anneal_iters=2, merge_every=4),
     "nig_moves": dict(k_max=3, max_iter=4, anneal_iters=2, merge_every=4),
 }
@@ -317,7 +369,7 @@ def _full(name: str):
         out = fit(prepared(spark, d, "user_event"), name, n_init=2, n_restarts=1, kmeans_iter=5, **SHORT[name])
         return report.hard_labels(out.state.resp).select("sample_id", "label")
 
-    query(f"fit_{name}")(run)
+    query(f"fit_{name}_from_kmeans")(run)
 
 
 for _name in SHORT:

@@ -776,14 +776,18 @@ _UE_NORM = [UE, "l as materialized (select sample_id, feature_id, ln(1+x) as v f
             "sq as materialized (select sample_id, sum(v*v) as sq from l group by 1)"]
 
 
-def _silhouette_sql(distance: str) -> str:
-    return with_sql(_UE_NORM + [
+def _silhouette_ctes(distance: str) -> list[str]:
+    return [
         "dots as materialized (select a.sample_id as i, b.sample_id as j, sum(a.v*b.v) as dot from l a join l b using (feature_id) group by 1, 2)",
         f"dist as materialized (select s.sample_id as i, t.sample_id as j, {distance} as d from sq s cross join sq t "
         "left join dots on dots.i = s.sample_id and dots.j = t.sample_id where s.sample_id <> t.sample_id)",
         "per as materialized (select i, a.g as own, b.g as g, avg(d) as m from dist join lab a on a.sample_id = i join lab b on b.sample_id = j group by 1, 2, 3)",
         "sil as (select i, max(case when own = g then m end) as a, min(case when own <> g then m end) as b from per group by 1)",
-    ], "select round(avg((b - a)/greatest(a, b)), 7) as silhouette from sil")
+    ]
+
+
+def _silhouette_sql(distance: str) -> str:
+    return with_sql(_UE_NORM + _silhouette_ctes(distance), "select round(avg((b - a)/greatest(a, b)), 7) as silhouette from sil")
 
 
 @query("silhouette_exact", _silhouette_sql("sqrt(greatest(s.sq + t.sq - 2*coalesce(dot, 0), 0))"))

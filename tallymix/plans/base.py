@@ -243,7 +243,7 @@ def _weights(resp: DataFrame, models: dict[int, BaseModel]) -> None:
         m.a, m.b = wt.update("dp", mass, {"nu": m.prior})
 
 
-def fit_base(data: CountData, k: int = 10, max_iter: int = 100, init: str | DataFrame = "kmeans", seed: int = 42,
+def fit_base(data: CountData, k: int = 1, max_iter: int = 100, init: str | DataFrame = "kmeans", seed: int = 42,
              n_init: int = 1, weight_prior: float | None = None, select_prior: float = 1.0,
              floor: float | None = 1e-10, tiles: Tiles | None = None) -> BaseFit:
     """Fixed number of rounds of the first-order model; each start is a model of its own.
