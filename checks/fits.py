@@ -328,7 +328,7 @@ def _(spark, d):
     return report.hard_labels(state.resp).select("sample_id", "label")
 
 
-# whole fits of three rounds from given labels; the last pruning keeps every group, so the SQL is three sweeps
+# whole fits of a few rounds from given labels; the last pruning keeps every group, so the SQL is as many sweeps
 ROUNDS = {
     "dp": {}, "dp_cluster": {}, "py": dict(d=0.2), "mfm": dict(gamma=2.0), "nig": dict(alpha=2.0), "ssl": dict(l0=20.0),
     "ssl_excess": dict(burn_in=1), "dp_thermal": dict(beta0=0.2, tau2=3),
@@ -337,18 +337,19 @@ ROUNDS = {
 
 def _rounds(name: str, given: dict):
     spec = FITS[name]
-    p = spec.params(k_max=K, min_clusters=K, max_iter=3, **given)
+    rounds = 2 if spec.selection == "sample" else 3
+    p = spec.params(k_max=K, min_clusters=K, max_iter=rounds, **given)
     s = q.Sweeps(p, spec.weights, spec.selection, spec.select_first, spec.start, K)
-    for t in range(3):
+    for t in range(rounds):
         beta = two_phase_anneal(t, p["beta0"], p["s0"], p["tau1"], p["tau2"])[0] if name == "dp_thermal" else 1.0
         s.sweep(beta, gated=name != "ssl_excess" or t >= 1)
 
     def run(spark, d):
         data = prepared(spark, d)
-        out = fit(data, name, init=start_labels(data), k_max=K, min_clusters=K, max_iter=3, **given)
+        out = fit(data, name, init=start_labels(data), k_max=K, min_clusters=K, max_iter=rounds, **given)
         return out.state.resp.selectExpr("sample_id", "posexplode(r) as (k, v)").selectExpr("sample_id", "k", "round(v, 5) as r")
 
-    query(f"fit_{name}", s.select("select sample_id, k, round(r, 5) as r from r3"))(run)
+    query(f"fit_{name}", s.select(f"select sample_id, k, round(r, 5) as r from r{rounds}"))(run)
 
 
 for _name, _given in ROUNDS.items():
@@ -356,17 +357,16 @@ for _name, _given in ROUNDS.items():
 
 
 # whole fits from k-means, with pruning or moves
+_SHORT_MOVES = dict(k_max=3, max_iter=2, anneal_iters=1, merge_every=2, min_clusters=2)
 SHORT = {
-    "dp": dict(k_max=4, max_iter=12), "mfm": dict(k_max=4, max_iter=10),
-    "dp_density": dict(k_max=4, max_iter=8, tau1=3, tau2=6), "py_moves": dict(k_max=3, max_iter=4, anneal_iters=2, merge_every=4),
-    "mfm_moves": dict(k_max=3, max_iter=4, anneal_iters=2, merge_every=4),
-    "nig_moves": dict(k_max=3, max_iter=4, anneal_iters=2, merge_every=4),
+    "dp": dict(k_max=4, max_iter=10), "mfm": dict(k_max=4, max_iter=5), "dp_density": dict(k_max=4, max_iter=6, tau1=3, tau2=5),
+    "py_moves": _SHORT_MOVES, "mfm_moves": _SHORT_MOVES, "nig_moves": _SHORT_MOVES,
 }
 
 
 def _full(name: str):
     def run(spark, d):
-        out = fit(prepared(spark, d, "user_event"), name, n_init=2, n_restarts=1, kmeans_iter=5, **SHORT[name])
+        out = fit(prepared(spark, d, "user_event"), name, n_init=1, n_restarts=1, kmeans_iter=3, **SHORT[name])
         return report.hard_labels(out.state.resp).select("sample_id", "label")
 
     query(f"fit_{name}_from_kmeans")(run)
@@ -385,8 +385,9 @@ def _(spark, d):
 @query("fit_stochastic")
 def _(spark, d):
     data = prepared(spark, d, "user_event")
-    p = stochastic.stochastic_params(k_max=4, max_iter=4, batch_size=64)
-    return stochastic.predict_stochastic(stochastic.fit_stochastic(data, {0: p}, seed=5)).select("sample_id", "label")
+    p = stochastic.stochastic_params(k_max=4, max_iter=3, batch_size=64)
+    start = initial.add_noise(initial.init_kmeans(data, [initial.Start(0, 4, 5)], n_init=1, max_iter=3), seed=5)
+    return stochastic.predict_stochastic(stochastic.fit_stochastic(data, {0: p}, start, seed=5)).select("sample_id", "label")
 
 
 @query("fit_base")
