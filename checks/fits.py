@@ -12,7 +12,7 @@ from tallymix.operators import objective as ob
 from tallymix.plans import base, moves, search, stochastic
 from tallymix.plans.fit import fit
 from tallymix.plans.mixture import Fit, prune
-from tallymix.plans.specs import FITS, two_phase_anneal
+from tallymix.plans.specs import FITS, linear_anneal, two_phase_anneal
 from tallymix.sources import tables as src
 from tallymix.streaming import stream
 
@@ -332,6 +332,8 @@ def _(spark, d):
 ROUNDS = {
     "dp": {}, "dp_cluster": {}, "py": dict(d=0.2), "mfm": dict(gamma=2.0), "nig": dict(alpha=2.0), "ssl": dict(l0=20.0),
     "ssl_excess": dict(burn_in=1), "dp_thermal": dict(beta0=0.2, tau2=3),
+    # K at both its limits: two annealed rounds in which no move is possible (the moves have queries of their own)
+    **{f: dict(anneal_iters=1, merge_every=2, n_restarts=1) for f in ("py_moves", "mfm_moves", "nig_moves")},
 }
 
 
@@ -341,7 +343,11 @@ def _rounds(name: str, given: dict):
     p = spec.params(k_max=K, min_clusters=K, max_iter=rounds, **given)
     s = q.Sweeps(p, spec.weights, spec.selection, spec.select_first, spec.start, K)
     for t in range(rounds):
-        beta = two_phase_anneal(t, p["beta0"], p["s0"], p["tau1"], p["tau2"])[0] if name == "dp_thermal" else 1.0
+        beta = 1.0
+        if name == "dp_thermal":
+            beta = two_phase_anneal(t, p["beta0"], p["s0"], p["tau1"], p["tau2"])[0]
+        elif spec.moves:
+            beta = linear_anneal(t + 1, p["beta_start"], p["beta_end"], p["anneal_iters"])
         s.sweep(beta, gated=name != "ssl_excess" or t >= 1)
 
     def run(spark, d):
@@ -360,7 +366,7 @@ for _name, _given in ROUNDS.items():
 _SHORT_MOVES = dict(k_max=3, max_iter=2, anneal_iters=1, merge_every=2, min_clusters=2)
 SHORT = {
     "dp": dict(k_max=4, max_iter=10), "mfm": dict(k_max=4, max_iter=5), "dp_density": dict(k_max=4, max_iter=6, tau1=3, tau2=5),
-    "py_moves": _SHORT_MOVES, "mfm_moves": _SHORT_MOVES, "nig_moves": _SHORT_MOVES,
+    "py_moves": _SHORT_MOVES,
 }
 
 
