@@ -21,6 +21,7 @@ def local_session(cores: str | int = "*", app: str = "tallymix", shuffle_partiti
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("TALLYMIX_DRIVER_MEMORY", "12g"))
         .getOrCreate()
     )
