@@ -40,9 +40,14 @@ def user_event(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SOURCES = {"supplier_brand": supplier_brand, "doc_token": doc_token, "user_event": user_event}
 
 
+def _session() -> SparkSession:
+    """The running session, also from a thread in which it is not the active one."""
+    return SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+
+
 @lru_cache(maxsize=None)
 def _workspace(app: str) -> Workspace:
-    return Workspace(SparkSession.getActiveSession())
+    return Workspace(_session())
 
 
 def workspace(spark: SparkSession) -> Workspace:
@@ -51,7 +56,7 @@ def workspace(spark: SparkSession) -> Workspace:
 
 @lru_cache(maxsize=None)
 def _prepared(app: str, sf_dir: str, source: str) -> CountData:
-    spark = SparkSession.getActiveSession()
+    spark = _session()
     return prepare(_SOURCES[source](spark, sf_dir), workspace(spark))
 
 
@@ -66,7 +71,7 @@ def start_labels(data: CountData, k: int = K) -> DataFrame:
 
 @lru_cache(maxsize=None)
 def _swept(app: str, sf_dir: str, fit: str, n: int, per_sample: bool | None, beta: float) -> State:
-    spark = SparkSession.getActiveSession()
+    spark = _session()
     data = prepared(spark, sf_dir)
     spec = FITS[fit] if per_sample is None else FITS[fit].per_sample(per_sample)
     if n == 0:
