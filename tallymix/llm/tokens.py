@@ -12,7 +12,7 @@ from functools import lru_cache
 import numpy as np
 
 TOKENIZER = "word_bpe_49k.json"
-MEMO_WORDS = 400_000  # words kept per worker; the memo starts anew beyond
+MEMO_WORDS = 1_000_000  # words kept per worker; the memo starts anew beyond
 
 
 def public_path(name: str = TOKENIZER) -> str:
@@ -44,26 +44,93 @@ def _drops_blanks(path: str) -> bool:
     )
 
 
+@lru_cache(maxsize=4)
+def _word_ends(path: str) -> np.ndarray | None:
+    """Whether each id ends a run of letters or of signs, where the vocabulary marks that."""
+    tok = _tokenizer(path)
+    suffix = getattr(tok.model, "end_of_word_suffix", None)
+    if not suffix:
+        return None
+    ends = np.zeros(vocabulary(path), bool)
+    for token, i in tok.get_vocab(with_added_tokens=False).items():
+        ends[i] = token.endswith(suffix)
+    return ends
+
+
+_SIGNS = ".,;:!?%$&*#|"
+
+
 class WordMemo(dict):
-    """word -> ids as little-endian 32-bit bytes; with spans, (ids, starts, ends)."""
+    """word -> ids as little-endian 32-bit bytes; with spans, (ids, starts, ends) of that form."""
 
     def __init__(self, path: str, spans: bool = False):
         self.path, self.spans = path, spans
+        self.limit = MEMO_WORDS // 2 if spans else MEMO_WORDS
 
-    def learn(self, texts: list[list[str]]) -> None:
-        if len(self) > MEMO_WORDS:
+    def learn(self, words: set[str]) -> None:
+        """Letters and the signs after them are tokenized apart and letters in lower case, so words that differ only
+        in these are put together from the same parts."""
+        if len(self) > self.limit:
             self.clear()
-        new = list(set().union(*texts).difference(self))
+        words = words.difference(self)
+        joined, plain, single = [], set(), set()
+        marked = _word_ends(self.path) is not None
+        for w in words:
+            core = w.rstrip(_SIGNS)
+            if marked and core.isalpha():
+                tail = w[len(core):]
+                if w.isascii():
+                    core = core.lower()
+                joined.append((w, core, tail))
+                plain.add(core)
+                if tail:
+                    single.add(tail)
+            else:
+                single.add(w)
+        plain = [w for w in plain if w not in self]
+        for i in range(0, len(plain), 500):
+            self._learn_letters(plain[i:i + 500])
+        single = [w for w in single if w not in self]
         tok = _tokenizer(self.path)
-        for i in range(0, len(new), 20_000):
-            part = new[i:i + 20_000]
-            if self.spans:
-                for w, e in zip(part, tok.encode_batch(part, add_special_tokens=False)):
-                    at = np.array(e.offsets, dtype="<i4").reshape(-1, 2)
-                    self[w] = (np.array(e.ids, dtype="<u4").tobytes(), at[:, 0].tobytes(), at[:, 1].tobytes())
+        for i in range(0, len(single), 20_000):
+            part = single[i:i + 20_000]
+            for w, e in zip(part, (tok.encode_batch if self.spans else tok.encode_batch_fast)(part, add_special_tokens=False)):
+                self[w] = self._value(np.array(e.ids, "<u4"), e.offsets if self.spans else None)
+        for w, core, tail in joined:
+            if w in self:
+                continue
+            first = self[core]
+            if not tail:
+                self[w] = first
+            elif not self.spans:
+                self[w] = first + self[tail]
             else:
-                for w, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False)):
-                    self[w] = np.array(e.ids, dtype="<u4").tobytes()
+                last = [first[0] + self[tail][0]]
+                last += [a + (np.frombuffer(b, "<i4") + len(core)).astype("<i4").tobytes()
+                         for a, b in zip(first[1:], self[tail][1:])]
+                self[w] = tuple(last)
+
+    def _value(self, ids, offsets, base: int = 0):
+        if not self.spans:
+            return ids.tobytes()
+        at = np.array(offsets, "<i4").reshape(-1, 2) - base
+        return ids.tobytes(), at[:, 0].astype("<i4").tobytes(), at[:, 1].astype("<i4").tobytes()
+
+    def _learn_letters(self, part: list[str]) -> None:
+        """Words of letters only are one unit each: encoded in one go, parted after each token that ends a unit."""
+        tok, text = _tokenizer(self.path), " ".join(part)
+        e = (tok.encode_batch if self.spans else tok.encode_batch_fast)([text], add_special_tokens=False)[0]
+        ids = np.array(e.ids, "<u4")
+        ends = np.flatnonzero(_word_ends(self.path)[ids]) + 1
+        if len(ends) != len(part):
+            for w in part:
+                one = tok.encode(w, add_special_tokens=False)
+                self[w] = self._value(np.array(one.ids, "<u4"), one.offsets)
+            return
+        offsets, low, base = (e.offsets if self.spans else None), 0, 0
+        for w, high in zip(part, ends.tolist()):
+            self[w] = self._value(ids[low:high], offsets[low:high] if offsets else None, base)
+            low, base = high, base + len(w) + 1
 
 
 @lru_cache(maxsize=4)
@@ -75,6 +142,14 @@ def _split(text: str | None) -> list[str]:
     return text.replace("\n", " ").split(" ") if text else []
 
 
+def _look_up(memo: WordMemo, texts: list[str | None]):
+    """Yields (words, their values) of each text; words not known yet are learnt together."""
+    split = [_split(t) for t in texts]
+    memo.learn(set().union(*split))
+    for ws in split:
+        yield ws, map(memo.__getitem__, ws)
+
+
 def _groups(texts, chars: int = 4_000_000):
     """Lists of texts of about that many characters, so that the words of one list fit in memory."""
     part, size = [], 0
@@ -99,10 +174,8 @@ def encode(texts, path: str, end_id: int | None = None):
         return
     memo = _memo(path, False)
     for part in _groups(texts):
-        split = [_split(t) for t in part]
-        memo.learn(split)
-        for ws in split:
-            yield b"".join(map(memo.__getitem__, ws)) + end
+        for ws, known in _look_up(memo, part):
+            yield b"".join(known) + end
 
 
 def encode_spans(texts, path: str):
@@ -116,13 +189,11 @@ def encode_spans(texts, path: str):
         return
     memo = _memo(path, True)
     for part in _groups(texts):
-        split = [_split(t) for t in part]
-        memo.learn(split)
-        for ws in split:
+        for ws, found in _look_up(memo, part):
             if not ws:
                 yield np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
                 continue
-            found = [memo[w] for w in ws]
+            found = list(found)
             ids, starts, ends = (b"".join(x) for x in zip(*found))
             at = np.zeros(len(ws), np.int64)
             np.cumsum([len(w) + 1 for w in ws[:-1]], out=at[1:])
