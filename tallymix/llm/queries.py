@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymix.llm import bitpack, exact_dedup, mixing, packing, tokens
+from tallymix.llm import bitpack, exact_dedup, mixing, ngram_join, packing, tokens
 from tallymix.llm.common import documents
 from tallymix.workspace import Workspace
 
@@ -20,6 +20,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_groups(documents(spark, sf_dir), n=4, num=85, den=100)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
@@ -33,6 +37,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_packing": op2_packing,
+    "op6_ngram_join": op6_ngram_join,
     "op7_mixing": op7_mixing,
     "op9_token_files": op9_token_files,
 }
