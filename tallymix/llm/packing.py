@@ -117,22 +117,32 @@ def pack(docs: DataFrame, length: int = 2048, segment: int = 512, targets: Mappi
     ws = ws or Workspace(docs.sparkSession)
     wide = "<u2" if max(tokens.vocabulary(tokenizer), end_id + 1) <= 1 << 16 else "<u4"
     table = token_table(docs, ws, tokenizer, end_id)
-    pieces = schedule(queue_positions(table, seed, targets), length, segment)
-    by_row = pieces.groupBy("key").agg(F.collect_list(F.struct("start", "size", "sequence_id", "offset")).alias("p"))
-    joined = table.join(by_row, "key").select("doc_id", "source", "n", "ids", F.array_sort("p").alias("p"))
+    queues = ws.put(queue_positions(table, seed, targets), "queues")
+    pieces = schedule(queues, length, segment)
+    by_row = pieces.groupBy("key").agg(
+        F.array_sort(F.collect_list(F.struct("start", "size", "sequence_id", "offset"))).alias("p"))
+    joined = table.join(by_row, "key").select(
+        "doc_id", "source", "n", "ids", *[F.col(f"p.{c}").alias(c) for c in ("start", "size", "sequence_id", "offset")])
+    schema = PIECES + ", ids array<bigint>" * with_ids
 
     def digests(batches):
         for batch in batches:
             for at in range(0, len(batch), 2000):
-                out = []
-                for doc, source, n, raw, cuts in batch.iloc[at:at + 2000].itertuples(index=False):
-                    ids = np.frombuffer(raw, wide).astype("<u4")
-                    for c in cuts:
-                        own = ids[c["start"]:c["start"] + c["size"]]
-                        out.append((doc, c["start"], c["size"], zlib.crc32(own.tobytes()), n, c["sequence_id"],
-                                    c["offset"], source, *([own.tolist()] if with_ids else [])))
-                names = [x.split()[0] for x in schema.split(", ")]
-                yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
+                part = batch.iloc[at:at + 2000]
+                crcs, own = [], []
+                for raw, starts, sizes in zip(part["ids"], part["start"], part["size"]):
+                    ids = memoryview(np.frombuffer(raw, wide).astype("<u4")).cast("B")
+                    for a, n in zip(starts.tolist(), sizes.tolist()):
+                        crcs.append(zlib.crc32(ids[4 * a:4 * (a + n)]))
+                        if with_ids:
+                            own.append(np.frombuffer(ids[4 * a:4 * (a + n)], "<u4"))
+                times = part["start"].map(len).to_numpy()
+                out = pd.DataFrame({
+                    "doc_id": part["doc_id"].astype("Int64").repeat(times).array, "start": np.concatenate(part["start"].array),
+                    "length": np.concatenate(part["size"].array), "ids_crc32": np.array(crcs, np.int64),
+                    "doc_tokens": part["n"].repeat(times).array, "sequence_id": np.concatenate(part["sequence_id"].array),
+                    "offset": np.concatenate(part["offset"].array), "source": part["source"].repeat(times).array,
+                })
+                yield out.assign(ids=own) if with_ids else out
 
-    schema = PIECES + ", ids array<bigint>" * with_ids
     return joined.mapInPandas(digests, schema)
