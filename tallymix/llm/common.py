@@ -14,9 +14,9 @@ _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 # White space to str.split() but not to WORD.
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 KEY_BITS = 60
+BITMAP = 1 << 26  # bits of the maps that keep rows without a partner out of a shuffle; 8 MB, fixed
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_TO_LOWER = str.maketrans(UPPER, LOWER)
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -31,7 +31,7 @@ def words(text: str | None) -> list[str]:
 
 
 def ascii_lower(text: str) -> str:
-    return text.lower() if text.isascii() else text.translate(_TO_LOWER)
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")  # bytes: A-Z only
 
 
 def ascii_lower_column(text: Column) -> Column:
@@ -85,3 +85,57 @@ def running_totals(rows: DataFrame, group: list[str], key: str, ties: list[str],
     inside = Window.partitionBy(*group, "__part").orderBy(key, *ties).rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("__base") + F.coalesce(F.sum(value).over(inside), F.lit(0))
     return rows.join(bases, [*group, "__part"]).withColumn("before", before).drop("__part", "__base")
+
+
+def summed_arrays(partials: DataFrame, kind: str) -> np.ndarray:
+    """Adds up (or joins, for bits) one fixed-size array per task, on the executors first."""
+
+    def add(batches):
+        total = None
+        for batch in batches:
+            for raw in batch["v"]:
+                x = np.frombuffer(raw, kind)
+                total = x.copy() if total is None else (total | x if kind == "u1" else total + x)
+        if total is not None:
+            yield pd.DataFrame({"v": [total.tobytes()]})
+
+    found = partials.repartition(16).mapInPandas(add, "v binary").coalesce(1).mapInPandas(add, "v binary").collect()
+    return np.frombuffer(found[0].v, kind) if found else np.zeros(0, kind)
+
+
+def _slots(keys: np.ndarray) -> np.ndarray:
+    return (mix64(keys.astype(np.int64).view(np.uint64)) >> np.uint64(38)).astype(np.int64)  # 26 bits
+
+
+def bitmap(keys: DataFrame) -> np.ndarray:
+    """A map with the bits of all keys (one column of longs or strings) set; unset bits surely have no key."""
+
+    def mark(batches):
+        bits, found = np.zeros(BITMAP // 8, np.uint8), False
+        for batch in batches:
+            k = batch.iloc[:, 0]
+            at = _slots(word_hashes(k.tolist()).view(np.int64) if k.dtype == object else k.fillna(0).to_numpy())
+            np.bitwise_or.at(bits, at >> 3, (128 >> (at & 7)).astype(np.uint8))
+            found |= len(at) > 0
+        if found:
+            yield pd.DataFrame({"v": [bits.tobytes()]})
+
+    found = summed_arrays(keys.mapInPandas(mark, "v binary"), "u1")
+    return found if len(found) else np.zeros(BITMAP // 8, np.uint8)
+
+
+def marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = _slots(keys)
+    return bits[at >> 3] & (128 >> (at & 7)).astype(np.uint8) > 0
+
+
+def chosen_rows(docs: DataFrame, keys: DataFrame, digest: Column) -> DataFrame:
+    """The rows of ``docs``, with their columns, whose (doc_id, digest) are in ``keys`` (doc_id, digest, every): all of
+    them where ``every`` is set, else one of each, the least by a hash of all columns."""
+    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), digest.alias("digest"))
+    keys = keys.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), "digest", "every").distinct()
+    inner = inner.join(keys, ["id", "digest"])
+    order = Window.partitionBy("id", "digest").orderBy(F.xxhash64("row"))
+    inner = inner.withColumn("nth", F.row_number().over(order)).where("every or nth = 1")
+    return inner.select("row.*")

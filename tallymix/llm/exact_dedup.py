@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymix.llm.common import ascii_lower_column
+from tallymix.llm.common import ascii_lower_column, chosen_rows
 from tallymix.workspace import Workspace
 
 # At least 512 characters, then up to a vowel, a blank and a letter from f to k; 8192 at most.
@@ -60,3 +60,9 @@ def exact_groups(docs: DataFrame, identifiers: Sequence[Callable[[Column], Colum
         "doc_id", "keep_id", "group_size",
         (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("i") == 1)).alias("kept"), "text_sha256",
     )
+
+
+def keep(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay by ``exact_groups``, with all their columns."""
+    stays = exact_groups(docs).where("kept").select("doc_id", F.col("text_sha256").alias("digest"), F.lit(False).alias("every"))
+    return chosen_rows(docs, stays, F.sha2(ascii_lower_column(F.coalesce("text", F.lit(""))), 256))

@@ -67,3 +67,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_epochs: float
         "doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"),
         *(["row"] if carry else []),
     )
+
+
+def mixture(docs: DataFrame, **how) -> DataFrame:
+    """The rows of ``docs``, with all their columns, each as often as ``mix`` takes it."""
+    taken = mix(docs, carry=True, **how).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymix.llm import bitpack, exact_dedup, mixing, ngram_join, packing, tokens
+from tallymix.llm import (
+    attribution, bitpack, exact_dedup, line_crf, mixing, ngram_join, packing, resampling, sanitise, secrets, tokens,
+)
 from tallymix.llm.common import documents
 from tallymix.workspace import Workspace
 
@@ -20,6 +22,19 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op3_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return line_crf.judge(docs, line_crf.train(docs, documents(spark, sf_dir, "labels")))
+
+
+def op4_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitise.find(documents(spark, sf_dir)).drop("found", "digest")
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find(documents(spark, sf_dir)).drop("found")
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_groups(documents(spark, sf_dir), n=4, num=85, den=100)
 
@@ -28,18 +43,32 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+def op8_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attribution.attribute(documents(spark, sf_dir), attribution.title_lead_body(F.col("text")))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Workspace(spark).path("token-files")
     bitpack.write_tokens(documents(spark, sf_dir), path, tokens.public_path())
     return bitpack.read_digests(spark, path)
 
 
+def op10_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), documents(spark, sf_dir, "labels")
+    return resampling.resample(docs, resampling.fit(docs, labels), resampling.good_share(labels))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_packing": op2_packing,
+    "op3_line_crf": op3_line_crf,
+    "op4_sanitise": op4_sanitise,
+    "op5_secrets": op5_secrets,
     "op6_ngram_join": op6_ngram_join,
     "op7_mixing": op7_mixing,
+    "op8_attribution": op8_attribution,
     "op9_token_files": op9_token_files,
+    "op10_resampling": op10_resampling,
 }
 
 SQL: dict[str, str] = {
