@@ -95,6 +95,7 @@ def contexts(text: str, spans: list[tuple[int, int, int]], window: int) -> list[
         near = [t for _, _, t in terms[max(0, i - window):i + window]]
         mark = int.from_bytes(hashlib.blake2b(" ".join(near).encode("utf-8", "replace"), digest_size=8).digest(), "big") >> 1
         name = entity(text, kind, a, b)
+        out.append((name, "", mark, []))  # counts the entity, also where it stands alone
         out += [(name, t, mark, places[t]) for t in sorted(set(near))]
     return out
 
@@ -158,10 +159,11 @@ def revealing(docs: DataFrame, scanned: DataFrame, threshold: float, contexts_ne
     near = scanned.where("spans is null")
     total = scanned.where("spans is not null").count()
     # Rows of (entity, term, mark) first, so that a context copied into many documents is one row per task.
+    entities = near.where("term = ''").groupBy("entity").agg(F.countDistinct("row").alias("n_entity"))
+    near = near.where("term <> ''")
     seen = near.groupBy("entity", "term", "mark").agg(F.count("*").alias("c"))
     pairs = seen.groupBy("entity", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= contexts_needed)
     both = near.select("entity", "term", "row").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-    entities = near.select("entity", "row").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     pairs = ws.put(pairs.join(both, ["entity", "term"]).join(entities, "entity"), "pairs")
     pairs = pairs.join(term_counts(docs, pairs.select("term").distinct()), "term").where(F.col("n_entity") < total)
     pmi = F.log(total * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
