@@ -134,21 +134,27 @@ def fit(features: list[np.ndarray], labels: list[np.ndarray], rounds: int = 150,
     flat = np.vstack(features)
     mean, scale = flat.mean(axis=0), flat.std(axis=0)
     mean[0], scale[scale == 0] = 0.0, 1.0
-    lengths = np.array([len(f) for f in features])
-    d, t = len(features), lengths.max()
-    x, y = np.zeros((d, t, N_FEATURES)), np.zeros((d, t, 2))
-    observed = np.zeros((2, 2))
-    for i, (f, l) in enumerate(zip(features, labels)):
-        x[i, :len(f)] = (f - mean) / scale
-        y[i, np.arange(len(l)), l] = 1.0
-        np.add.at(observed, (l[:-1], l[1:]), 1.0)
+    observed, groups = np.zeros((2, 2)), []
+    order = sorted(range(len(features)), key=lambda i: len(features[i]))
+    for at in range(0, len(order), 250):  # sequences of like lengths are padded together
+        own = order[at:at + 250]
+        lengths = np.array([len(features[i]) for i in own])
+        x, y = np.zeros((len(own), lengths.max(), N_FEATURES)), np.zeros((len(own), lengths.max(), 2))
+        for row, i in enumerate(own):
+            x[row, :len(features[i])] = (features[i] - mean) / scale
+            y[row, np.arange(len(labels[i])), labels[i]] = 1.0
+            np.add.at(observed, (labels[i][:-1], labels[i][1:]), 1.0)
+        groups.append((x, y, lengths))
     w = np.zeros(N_FEATURES * 2 + 4)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for k in range(1, rounds + 1):
         emit, step = w[:-4].reshape(N_FEATURES, 2), w[-4:].reshape(2, 2)
-        _, single, pairs = _sequence_sums(x @ emit, step, lengths)
-        slope = np.concatenate([np.einsum("dtf,dtk->fk", x, y - single).ravel(), (observed - pairs).ravel()])
-        slope = (slope - penalty * w) / len(flat)
+        slope = np.concatenate([np.zeros(N_FEATURES * 2), observed.ravel()]) - penalty * w
+        for x, y, lengths in groups:
+            _, single, pairs = _sequence_sums(x @ emit, step, lengths)
+            slope[:-4] += np.einsum("dtf,dtk->fk", x, y - single).ravel()
+            slope[-4:] -= pairs.ravel()
+        slope /= len(flat)
         m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
         w = w + 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-9)
     return LineModel(w[:-4].reshape(N_FEATURES, 2), w[-4:].reshape(2, 2), mean, scale)
