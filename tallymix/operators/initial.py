@@ -94,7 +94,9 @@ def kmeans(
         return sums_by_sample(joined, [F.expr(f"sum(v * c{i}) as {prefix}{i}") for i in range(k)])
 
     # --- seeds -------------------------------------------------------------------------
-    first = points.groupBy("model_id").agg(F.min_by("sample_id", F.xxhash64("sample_id", "model_id")).alias("seed"))
+    # Draws depend on the start's seed, not on its model's number: a trial alone starts as it does among others.
+    seed_of = f"cast({per_model({m: tries[m].seed for m in ids})} as bigint)"
+    first = points.groupBy("model_id").agg(F.expr(f"min_by(sample_id, xxhash64(sample_id, {seed_of}))").alias("seed"))
     chosen = [{r["model_id"]: r["seed"] for r in first.collect()}]
     nearest = points.withColumn("d2", F.lit(float("inf")))
     base_cells = data.cells.withColumn("v", value).select("sample_id", "feature_id", "v")
@@ -115,7 +117,7 @@ def kmeans(
             ), "nearest")
         ws.release(previous)
         previous = nearest
-        u = hash_uniform("sample_id", str(step), "model_id", seed=17)
+        u = hash_uniform("sample_id", str(step), seed_of, seed=17)
         key = f"ln(greatest({u}, 1e-300D)) / greatest(d2, 1e-12D)"
         picked = nearest.groupBy("model_id").agg(F.expr(f"max_by(sample_id, {key}) as seed"))
         chosen.append({r["model_id"]: r["seed"] for r in picked.collect()})
