@@ -99,7 +99,7 @@ def summed_arrays(partials: DataFrame, kind: str) -> np.ndarray:
         if total is not None:
             yield pd.DataFrame({"v": [total.tobytes()]})
 
-    found = partials.repartition(16).mapInPandas(add, "v binary").coalesce(1).mapInPandas(add, "v binary").collect()
+    found = partials.repartition(16).mapInPandas(add, "v binary").repartition(1).mapInPandas(add, "v binary").collect()
     return np.frombuffer(found[0].v, kind) if found else np.zeros(0, kind)
 
 

@@ -12,7 +12,7 @@ from functools import lru_cache
 import numpy as np
 
 TOKENIZER = "word_bpe_49k.json"
-MEMO_WORDS = 1_000_000  # words kept per worker; the memo starts anew beyond
+MEMO_WORDS = 700_000  # words kept per worker; the memo starts anew beyond
 
 
 def public_path(name: str = TOKENIZER) -> str:
