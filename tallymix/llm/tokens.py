@@ -65,7 +65,7 @@ class WordMemo(dict):
 
     def __init__(self, path: str, spans: bool = False):
         self.path, self.spans = path, spans
-        self.limit = MEMO_WORDS // 2 if spans else MEMO_WORDS
+        self.limit = MEMO_WORDS
 
     def learn(self, words: set[str]) -> None:
         """Letters and the signs after them are tokenized apart and letters in lower case, so words that differ only
