@@ -20,7 +20,8 @@ PIECES = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tok
           "offset bigint, source string")
 
 
-def token_table(docs: DataFrame, ws: Workspace, tokenizer: str, end_id: int) -> DataFrame:
+def token_table(docs: DataFrame, ws: Workspace, tokenizer: str, end_id: int,
+                memo_words: int = tokens.MEMO_WORDS) -> DataFrame:
     """Every row encoded once and written: a key of its own, doc_id, source, number of ids and the ids in two bytes
     each if the vocabulary allows, else four."""
     wide = "<u2" if max(tokens.vocabulary(tokenizer), end_id + 1) <= 1 << 16 else "<u4"
@@ -30,7 +31,7 @@ def token_table(docs: DataFrame, ws: Workspace, tokenizer: str, end_id: int) ->
         for batch in batches:
             for at in range(0, len(batch), 1000):
                 part = batch.iloc[at:at + 1000]
-                ids = [np.frombuffer(b, "<u4") for b in tokens.encode(part["text"], tokenizer, end_id)]
+                ids = [np.frombuffer(b, "<u4") for b in tokens.encode(part["text"], tokenizer, end_id, memo_words)]
                 yield pd.DataFrame({
                     "key": np.arange(row, row + len(part)) + (number << 40), "doc_id": part["doc_id"].astype("Int64").values,
                     "source": part["source"].values, "n": [len(x) for x in ids],
@@ -102,7 +103,7 @@ def schedule(queues: DataFrame, length: int, segment: int) -> DataFrame:
 
 def pack(docs: DataFrame, length: int = 2048, segment: int = 512, targets: Mapping[str, float] | None = None,
          seed: int = 11, tokenizer: str | None = None, end_id: int = 1, with_ids: bool = False,
-         ws: Workspace | None = None) -> DataFrame:
+         memo_words: int = tokens.MEMO_WORDS, ws: Workspace | None = None) -> DataFrame:
     """Packs ``docs`` (doc_id, text, source) into sequences of ``length`` ids, each filled to the sources' shares.
 
     One row per piece: doc_id, start (its document's ids before it), length, ids_crc32 (of its ids as little-endian
@@ -111,12 +112,13 @@ def pack(docs: DataFrame, length: int = 2048, segment: int = 512, targets: Mappi
 
     ``targets``: relative amounts by source, filled while their queues last; None: the sources' own shares. Null and
     '' are sources of their own. Repeated rows are packed each on its own. An empty table gives no pieces. Other
-    columns are ignored. The encoded ids are written to the workspace once.
+    columns are ignored. The encoded ids are written to the workspace once; ``memo_words`` bounds
+    the words that a Python worker remembers.
     """
     tokenizer = tokenizer or tokens.public_path()
     ws = ws or Workspace(docs.sparkSession)
     wide = "<u2" if max(tokens.vocabulary(tokenizer), end_id + 1) <= 1 << 16 else "<u4"
-    table = token_table(docs, ws, tokenizer, end_id)
+    table = token_table(docs, ws, tokenizer, end_id, memo_words)
     queues = ws.put(queue_positions(table, seed, targets), "queues")
     pieces = schedule(queues, length, segment)
     by_row = pieces.groupBy("key").agg(

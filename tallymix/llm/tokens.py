@@ -12,7 +12,8 @@ from functools import lru_cache
 import numpy as np
 
 TOKENIZER = "word_bpe_49k.json"
-MEMO_WORDS = 700_000  # words kept per worker; the memo starts anew beyond
+MEMO_WORDS = 1_000_000  # words kept per worker; the memo starts anew beyond
+SPAN_WORDS = 700_000  # the same where spans are kept too
 
 
 def public_path(name: str = TOKENIZER) -> str:
@@ -65,7 +66,7 @@ class WordMemo(dict):
 
     def __init__(self, path: str, spans: bool = False):
         self.path, self.spans = path, spans
-        self.limit = MEMO_WORDS
+        self.limit = SPAN_WORDS if spans else MEMO_WORDS
 
     def learn(self, words: set[str]) -> None:
         """Letters and the signs after them are tokenized apart and letters in lower case, so words that differ only
@@ -163,7 +164,7 @@ def _groups(texts, chars: int = 4_000_000):
         yield part
 
 
-def encode(texts, path: str, end_id: int | None = None):
+def encode(texts, path: str, end_id: int | None = None, memo_words: int = MEMO_WORDS):
     """Yields the ids of each text (null: empty) as little-endian unsigned 32-bit bytes, ``end_id`` after them."""
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
     if not _drops_blanks(path):
@@ -173,6 +174,7 @@ def encode(texts, path: str, end_id: int | None = None):
                 yield np.array(e.ids, "<u4").tobytes() + end
         return
     memo = _memo(path, False)
+    memo.limit = memo_words
     for part in _groups(texts):
         for ws, known in _look_up(memo, part):
             yield b"".join(known) + end
