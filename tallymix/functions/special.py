@@ -133,10 +133,6 @@ def normalised(df: DataFrame, a: str, out: str) -> DataFrame:
     return df.withColumn(out, F.expr(f"transform({a}, v -> v / _n)")).drop(a, "_n")
 
 
-def log_softmax(a: str) -> str:
-    return f"transform({a}, v -> v - {log_sum_exp(a)})"
-
-
 def hash_uniform(*cols: str, seed: int = 0) -> str:
     """A repeatable draw from [0, 1) per row: same keys and seed, same number."""
     return f"((xxhash64({', '.join(cols)}, {int(seed)}L) & {(1 << 53) - 1}L) / {num(1 << 53)})"

@@ -110,15 +110,16 @@ def prepare(
     """Lay out ``counts(sample_id, feature_id, x)`` for repeated passes.
 
     ``samples`` / ``features`` list ids that must count even without any cell.
-    Raises on negative or non-finite counts.
+    Raises on missing, negative or non-finite counts.
     """
-    cells = counts.select("sample_id", "feature_id", F.col("x").cast("double").alias("x")).where("x != 0")
+    cells = counts.select("sample_id", "feature_id", F.col("x").cast("double").alias("x")).where("x is null or x != 0")
     both = ws.put(
         cells.groupingSets([["sample_id"], ["feature_id"]], "sample_id", "feature_id").agg(
             F.grouping("sample_id").alias("by_feature"),
             F.sum("x").alias("total"),
             F.count("x").alias("nnz"),
             F.min("x").alias("low"),
+            F.count_if(F.col("x").isNull()).alias("missing"),
         ),
         "margins",
     )
@@ -145,10 +146,10 @@ def prepare(
 
     size = sample_stats.agg(F.count("*"), F.sum("nnz"), F.sum("n_i"), F.max("nnz")).first()
     width = feature_stats.agg(F.count("*"), F.max("nnz")).first()
-    low = both.agg(F.min("low")).first()[0]
+    low, missing = both.agg(F.min("low"), F.max("missing")).first()
     n_samples, nnz, total = size[0], size[1] or 0, size[2] or 0.0
-    if low is not None and low < 0 or not math.isfinite(total):
-        raise ValueError("counts must be finite and not negative")
+    if missing or low is not None and low < 0 or not math.isfinite(total):
+        raise ValueError("counts must be given, finite and not negative")
 
     limit = max(slice_rows, math.ceil(nnz / MAX_HEAVY))  # keeps the list of hot keys within MAX_HEAVY
     heavy_s = _heavy(sample_stats, "sample_id", limit) if (size[3] or 0) > limit else None

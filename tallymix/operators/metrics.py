@@ -84,8 +84,8 @@ def size_comparison(a: DataFrame, b: DataFrame) -> DataFrame:
     """Sizes of both labelings by label id from 0 to the largest; missing ids count 0."""
     sa = a.groupBy("label").agg(F.count("*").alias("n_true"))
     sb = b.groupBy("label").agg(F.count("*").alias("n_predicted"))
-    top = a.agg(F.max("label").alias("m")).unionAll(b.agg(F.max("label").alias("m"))).agg(F.max("m").alias("m"))
-    ids = top.selectExpr("explode(sequence(0, cast(m as int))) as label")
+    top = a.select("label").unionAll(b.select("label")).agg(F.max("label")).first()[0]
+    ids = a.sparkSession.range(0, 0 if top is None else int(top) + 1).selectExpr("cast(id as int) as label")
     sized = ids.join(sa, "label", "left").join(sb, "label", "left")
     return sized.selectExpr("label", "coalesce(n_true, 0L) as n_true", "coalesce(n_predicted, 0L) as n_predicted")
 
@@ -155,7 +155,7 @@ def label_agreement(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def silhouette_squared(data: CountData, labels: DataFrame, log1p: bool = True) -> DataFrame:
-    """Mean silhouette under squared Euclidean distance, in time linear in the cells.
+    """Mean silhouette under squared Euclidean distance, in time linear in the cells; 0 for fewer than two groups.
 
     The mean squared distance to a group follows from its size, its sum vector and its
     sum of squared norms, so no pair of samples is formed.
@@ -163,7 +163,7 @@ def silhouette_squared(data: CountData, labels: DataFrame, log1p: bool = True) -
     value = "log1p(x)" if log1p else "x"
     ids = [r[0] for r in labels.select("label").distinct().orderBy("label").collect()]  # one row per group
     if len(ids) < 2:
-        raise ValueError("a silhouette needs at least two groups")
+        return data.spark.range(1).selectExpr("0D as silhouette")
     coded = labels.selectExpr("sample_id", _code("label", ids) + " as g")
     cells = data.cells.withColumn("v", F.expr(value))
     width = len(ids)
@@ -207,7 +207,7 @@ def _silhouette(rows: DataFrame) -> DataFrame:
 
 
 def silhouette(data: CountData, labels: DataFrame, log1p: bool = True, block: int = 2048) -> DataFrame:
-    """Exact mean silhouette under Euclidean distance.
+    """Exact mean silhouette under Euclidean distance; 0 for fewer than two groups. Samples without cells count as zeros.
 
     Euclidean distances need every pair of samples, so the work grows with N squared;
     ``silhouette_squared`` is the linear-time number for large tables. Samples are
@@ -217,14 +217,16 @@ def silhouette(data: CountData, labels: DataFrame, log1p: bool = True, block: in
     value = "log1p(x)" if log1p else "x"
     ids = [r[0] for r in labels.select("label").distinct().orderBy("label").collect()]
     if len(ids) < 2:
-        raise ValueError("a silhouette needs at least two groups")
+        return data.spark.range(1).selectExpr("0D as silhouette")
     width, blocks = len(ids), max(1, math.ceil(data.n_samples / block))
     coded = labels.selectExpr("sample_id", _code("label", ids) + " as g", f"pmod(xxhash64(sample_id), {blocks}) as block")
     sizes = {r["g"]: r["n"] for r in coded.groupBy("g").agg(F.count("*").alias("n")).collect()}
     # one row per (sample, other block) holds a sample's cells as arrays
-    vectors = data.with_samples(data.cells, coded).groupBy("block", "sample_id", "g").agg(
+    vectors = data.cells.groupBy("sample_id").agg(
         F.collect_list(F.struct(F.xxhash64("feature_id").alias("f"), F.expr(value).alias("v"))).alias("cells")
     )
+    vectors = coded.join(vectors, "sample_id", "left").selectExpr(
+        "block", "sample_id", "g", "coalesce(cells, array()) as cells")
     vectors = data.ws.put(vectors, "silhouette-vectors")
     left = vectors.selectExpr("block as bi", f"explode(sequence(0, {blocks - 1})) as bj", "true as own", "*")
     right = vectors.selectExpr(f"explode(sequence(0, {blocks - 1})) as bi", "block as bj", "false as own", "*")

@@ -115,12 +115,6 @@ def entropy(xi: str) -> str:
     return f"(-({p}) * ln({p}) - (1D - {p}) * ln(1D - {p}))"
 
 
-def ssl_terms(xi: str, theta: str) -> str:
-    """Bernoulli prior plus entropy of one inclusion probability."""
-    t = clip(theta, EPS, 1.0 - EPS)
-    return f"({xi} * ln({t}) + (1D - {xi}) * ln(1D - {t}) + {entropy(xi)})"
-
-
 def profile_kl_parts(rows: DataFrame, width: int) -> DataFrame:
     """Per model, the sums from which the KL terms of profiles and background follow.
 

@@ -23,22 +23,20 @@ def align(counts: DataFrame, labels: DataFrame) -> DataFrame:
     return labels.join(counts.select("sample_id").distinct(), "sample_id", "left_semi").select(*labels.columns)
 
 
-def encode_labels(labels: DataFrame, order: str, small: int = 100_000) -> DataFrame:
+def encode_labels(labels: DataFrame, order: str) -> DataFrame:
     """Add ``label_id``: 0, 1, .. in order of first appearance along the numeric column ``order``."""
     first = labels.groupBy("label").agg(F.min(order).alias("first_seen"))
-    return labels.join(dense_codes(first, "label", "first_seen", small), "label").select(*labels.columns, "label_id")
+    return labels.join(dense_codes(first, "label", "first_seen"), "label").select(*labels.columns, "label_id")
 
 
-def dense_codes(rows: DataFrame, key: str, order: str, small: int = 100_000, parts: int = 200) -> DataFrame:
+def dense_codes(rows: DataFrame, key: str, order: str, parts: int = 200) -> DataFrame:
     """Dense ranks from 0 along ``order``: ``key, label_id``.
 
-    Up to ``small`` rows one window does it. Beyond that rows are cut at approximate
-    quantiles, ranked inside their part and shifted by the number of values before it.
+    Rows are cut at approximate quantiles, ranked inside their part and shifted by the
+    number of values before it.
     """
-    if rows.count() <= small:
-        return rows.select(key, (F.dense_rank().over(Window.orderBy(order)) - 1).alias("label_id"))
     cuts = sorted(set(rows.approxQuantile(order, [i / parts for i in range(1, parts)], 0.5 / parts)))
-    part = " + ".join(f"cast({order} > {num(c)} as int)" for c in cuts)
+    part = " + ".join(["0", *(f"cast({order} > {num(c)} as int)" for c in cuts)])
     cut = rows.selectExpr(key, order, f"{part} as _part")
     sizes = {r["_part"]: r["n"] for r in cut.groupBy("_part").agg(F.countDistinct(order).alias("n")).collect()}
     before, total = [], 0

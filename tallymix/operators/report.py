@@ -81,15 +81,26 @@ def rank_features(selection: DataFrame, value: str = "selection") -> DataFrame:
 def selected_by_sample(fit: Fit, threshold: float = 0.5) -> DataFrame:
     """Features above the threshold for each sample: ``model_id, sample_id, feature_id, probability``.
 
-    With shared selection the list is the same for every sample and kept once per
-    feature; with per-sample selection it lists the nonzero cells (zero cells share one
-    value, see ``Model.zero_f``).
+    A row without ``sample_id`` stands for all samples that have no row of their own for
+    its feature. With shared selection these are all rows; with per-sample selection the
+    nonzero cells have rows of their own, and the zero cells of a feature share one
+    value, so they share one row.
     """
-    if fit.spec.selection == "sample":
-        return fit.state.cells.where(F.col("f") > threshold).selectExpr(
-            "model_id", "sample_id", "feature_id", "f as probability"
+    sample_type = fit.data.samples.schema["sample_id"].dataType.simpleString()
+    anyone = f"cast(null as {sample_type}) as sample_id"
+    if fit.spec.selection != "sample":
+        return fit.state.params.where(F.col("f") > threshold).selectExpr(
+            "model_id", anyone, "feature_id", "f as probability"
         )
-    return fit.state.params.where(F.col("f") > threshold).selectExpr("model_id", "feature_id", "f as probability")
+    own = fit.state.cells.where(F.col("f") > threshold).selectExpr(
+        "model_id", "sample_id", "feature_id", "f as probability"
+    )
+    zero = per_model({i: float(m.zero_f) for i, m in fit.models.items()})
+    sparse = fit.data.features.where(f"nnz < {num(fit.data.n_samples)}").select("feature_id")
+    rest = fit.state.params.select("model_id", "feature_id").join(sparse, "feature_id").selectExpr(
+        "model_id", anyone, "feature_id", f"{zero} as probability"
+    )
+    return own.unionByName(rest.where(F.col("probability") > threshold))
 
 
 def selected_by_majority(fit: Fit, threshold: float = 0.5) -> DataFrame:

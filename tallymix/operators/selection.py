@@ -98,30 +98,52 @@ def null_quantile(theta: float) -> float:
     return min(max(1.0 - share, 0.50), 0.90)
 
 
-def exact_quantile(df: DataFrame, value: str, q: float, small: int = 1_000_000) -> float:
-    """Exact interpolated quantile without collecting the whole column into one task.
+def exact_quantile(df: DataFrame, value: str, q: float, slots: int = 4096) -> float:
+    """Exact interpolated quantile of one column."""
+    return exact_quantiles(df.selectExpr("0 as k", f"{value} as v"), "k", "v", {0: q}, slots)[0]
 
-    Up to ``small`` rows one aggregate does it. Beyond that, approximate quantiles give
-    a bracket around the wanted ranks, and only the rows inside the bracket are ranked.
+
+def exact_quantiles(df: DataFrame, key: str, value: str, q: dict[int, float], slots: int = 4096) -> dict[int, float]:
+    """Exact interpolated quantile of each key's values, at a share of its own.
+
+    Each round counts the values of the range that holds the wanted rank in ``slots``
+    equal slots and goes on with one of them, until one value is left. All keys share
+    the rounds; a task or the driver holds at most ``slots`` numbers per key.
     """
-    rows = df.selectExpr(f"{value} as v").where("v is not null")
-    n = rows.count()
-    if n == 0:
+    rows = df.selectExpr(f"{key} as k", f"{value} as v").where("v is not null")
+    ranges = {r["k"]: r for r in rows.groupBy("k").agg(
+        F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect()}
+    if any(k not in ranges for k in q):
         raise ValueError("no rows")
-    if n <= small:
-        return rows.agg(F.percentile("v", q)).first()[0]
-    position = (n - 1) * q
-    for accuracy in (10_000, 100_000, 1_000_000):
-        margin = 2.0 / accuracy
-        bounds = [max(q - margin, 0.0), min(q + margin, 1.0)]
-        low, high = rows.agg(F.percentile_approx("v", bounds, accuracy)).first()[0]
-        bracket = rows.where((F.col("v") >= low) & (F.col("v") <= high)).groupBy("v").agg(F.count("*").alias("n"))
-        less = rows.where(F.col("v") < low).count()
-        distinct, inside = bracket.agg(F.count("*"), F.sum("n")).first()
-        if less <= position <= less + inside - 1 and distinct <= small:
-            share = (position - less) / max(inside - 1, 1)
-            return bracket.agg(F.percentile("v", min(share, 1.0), F.col("n"))).first()[0]
-    raise RuntimeError(f"{n} values are too dense around quantile {q}")
+    place = {k: (ranges[k]["n"] - 1) * share for k, share in q.items()}
+    low, high = ({k: ranges[k][side] for k in q} for side in ("low", "high"))
+    rank = {k: math.floor(p) for k, p in place.items()}
+    spark = df.sparkSession
+    while wide := [k for k in q if low[k] < high[k]]:
+        bounds = spark.createDataFrame([(k, low[k], high[k]) for k in wide], "k int, low double, high double")
+        inside = rows.join(F.broadcast(bounds), "k").where("v between low and high")  # one row per key
+        slot = f"cast(least(floor((v - low) / (high - low) * {slots}), {slots - 1}) as int)"
+        counted = inside.withColumn("slot", F.expr(slot)).groupBy("k", "slot").agg(
+            F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        done = set()
+        for r in sorted(counted.collect(), key=lambda r: (r["k"], r["slot"])):
+            k = r["k"]
+            if k in done:
+                continue
+            if rank[k] < r["n"]:
+                low[k], high[k] = r["low"], r["high"]
+                done.add(k)
+            else:
+                rank[k] -= r["n"]
+    bounds = spark.createDataFrame([(k, low[k]) for k in q], "k int, at double")
+    after = rows.join(F.broadcast(bounds), "k").groupBy("k").agg(
+        F.count_if(F.col("v") <= F.col("at")).alias("n"), F.min(F.when(F.col("v") > F.col("at"), F.col("v"))).alias("v"))
+    out = {}
+    for r in after.collect():
+        k = r["k"]
+        follows = low[k] if r["v"] is None or r["n"] > math.floor(place[k]) + 1 else r["v"]
+        out[k] = low[k] + (follows - low[k]) * (place[k] - math.floor(place[k]))
+    return out
 
 
 def select_stochastic(mass: str, own: str, other: str, prior: str, old: str, step: float) -> str:

@@ -30,7 +30,7 @@ from tallymix.operators import weights as wt
 from tallymix.operators.cells import CountData, sums_by_feature, sums_by_sample
 from tallymix.operators.likelihood import unfold
 from tallymix.operators.profiles import per_model
-from tallymix.plans.specs import Spec, linear_anneal, relative_changes, two_phase_anneal
+from tallymix.plans.specs import Spec, relative_changes, two_phase_anneal
 
 
 @dataclass
@@ -372,10 +372,7 @@ def _signal(state: State, table: DataFrame) -> DataFrame:
 def null_levels(state: State, table: DataFrame) -> dict[int, float]:
     """Exact quantile of the signal per model, at the level its inclusion rate asks for."""
     signal = _signal(state, table)
-    return {
-        i: sl.exact_quantile(signal.where(F.col("model_id") == i), "g", sl.null_quantile(m.theta_ssl))
-        for i, m in state.models.items()
-    }
+    return sl.exact_quantiles(signal, "model_id", "g", {i: sl.null_quantile(m.theta_ssl) for i, m in state.models.items()})
 
 
 def _baselines(state: State, table: DataFrame) -> str:
@@ -766,9 +763,3 @@ def save_round(state: State, path: str, t: int) -> None:
     if state.cells is not None:
         cells = state.cells.select("model_id", "sample_id", "feature_id", "f")
         cells.withColumn("iter", F.lit(t)).write.mode("append").partitionBy("iter").parquet(f"{path}/cell_selection")
-
-
-def beta_at(spec: Spec, p: dict, t: int) -> float:
-    if spec.anneal == "linear":
-        return linear_anneal(t, p["beta_start"], p["beta_end"], p["anneal_iters"])
-    return 1.0

@@ -234,6 +234,29 @@ def test_silhouettes_against_brute_force(spark):
         assert got.first()[0] == pytest.approx(np.mean(scores), abs=1e-9)
 
 
+def test_silhouettes_of_empty_samples_and_of_one_group(spark):
+    x, labels = planted(n=20, s=8, draws=40)
+    x[3] = 0
+    samples = spark.range(20).withColumnRenamed("id", "sample_id")
+    data = prepare(as_counts(spark, x), Workspace(spark), samples=samples)
+    v = np.log1p(x)
+    dist = np.sqrt(((v[:, None] - v[None]) ** 2).sum(2))
+    scores = []
+    for i, g in enumerate(labels):
+        a = dist[i, (labels == g) & (np.arange(20) != i)].mean()
+        b = min(dist[i, labels == h].mean() for h in set(labels) - {g})
+        scores.append((b - a) / max(a, b))
+    assert mt.silhouette(data, as_labels(spark, labels), block=8).first()[0] == pytest.approx(np.mean(scores), abs=1e-9)
+    one = as_labels(spark, np.zeros(20, int))
+    assert mt.silhouette(data, one).first()[0] == 0.0 and mt.silhouette_squared(data, one).first()[0] == 0.0
+
+
+def test_missing_counts_are_refused(spark):
+    counts = spark.createDataFrame([(0, "a", 1.0), (1, "a", None)], "sample_id bigint, feature_id string, x double")
+    with pytest.raises(ValueError):
+        prepare(counts, Workspace(spark))
+
+
 def test_projection_finds_the_principal_plane(spark):
     x, _ = planted(n=50, s=15, draws=200)
     data = prepare(as_counts(spark, x), Workspace(spark))

@@ -55,13 +55,23 @@ def test_hash_uniform_is_repeatable_and_spread(spark):
 
 
 @pytest.mark.parametrize("q", [0.0, 0.5, 0.731, 0.9, 1.0])
-def test_exact_quantile_by_bracket(spark, q):
+def test_exact_quantile(spark, q):
     rng = np.random.default_rng(1)
     values = np.concatenate([rng.normal(size=3000), np.full(500, 0.25)])
     df = spark.createDataFrame([(float(v),) for v in values], "v double")
     want = np.quantile(values, q)
     assert sl.exact_quantile(df, "v", q) == pytest.approx(want, abs=1e-12)
-    assert sl.exact_quantile(df, "v", q, small=50) == pytest.approx(want, abs=1e-12)
+    assert sl.exact_quantile(df, "v", q, slots=3) == pytest.approx(want, abs=1e-12)
+
+
+def test_quantiles_of_several_keys(spark):
+    rng = np.random.default_rng(2)
+    values = {0: rng.normal(size=400), 1: np.repeat(2.5, 30), 5: np.array([7.0])}
+    df = spark.createDataFrame([(k, float(v)) for k, vs in values.items() for v in vs], "model_id int, g double")
+    got = sl.exact_quantiles(df, "model_id", "g", {0: 0.83, 1: 0.5, 5: 0.9}, slots=16)
+    assert got == pytest.approx({k: np.quantile(values[k], q) for k, q in ((0, 0.83), (1, 0.5), (5, 0.9))}, abs=1e-12)
+    with pytest.raises(ValueError):
+        sl.exact_quantiles(df, "model_id", "g", {3: 0.5})
 
 
 @pytest.mark.parametrize("kind,p", [("dp", {"nu": 0.3}), ("py", {"d": 0.2, "theta": 0.7}), ("nig", {"sigma": 0.5, "alpha": 1.0}),

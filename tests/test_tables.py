@@ -98,9 +98,12 @@ def test_a_pass_moves_no_cells(spark, small):
 
 def test_codes_of_many_labels(spark):
     labels = spark.createDataFrame([(i, f"l{(i * 7919) % 997}") for i in range(2000)], "sample_id bigint, label string")
-    plain = prep.encode_labels(labels, "sample_id").orderBy("sample_id").collect()
-    cut = prep.encode_labels(labels, "sample_id", small=10).orderBy("sample_id").collect()
-    assert plain == cut and max(r["label_id"] for r in cut) == 996
+    codes = {}
+    for i in range(2000):
+        codes.setdefault(f"l{(i * 7919) % 997}", len(codes))
+    rows = prep.encode_labels(labels, "sample_id").collect()
+    assert all(r["label_id"] == codes[r["label"]] for r in rows) and len(rows) == 2000
+    assert prep.encode_labels(labels.limit(0), "sample_id").count() == 0
 
 
 def test_masks_and_batches_are_repeatable(spark):
