@@ -104,12 +104,6 @@ def array_sum(a: str) -> str:
     return f"aggregate({a}, 0D, (acc, v) -> acc + coalesce(v, 0D))"
 
 
-def log_sum_exp(a: str) -> str:
-    """ln of the sum of exponentials of an array."""
-    top = f"array_max({a})"
-    return f"({top} + ln(aggregate({a}, 0D, (acc, v) -> acc + exp(v - {top}))))"
-
-
 def with_softmax(df: DataFrame, logits: str, out: str, floor: float | None = EPS, log_norm: str | None = None) -> DataFrame:
     """Add memberships ``out`` from an array of logits, max-shifted.
 

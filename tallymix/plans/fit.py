@@ -50,17 +50,20 @@ def fit(counts: DataFrame | CountData, model: str = "dp", init="kmeans", seed: i
 
     ``model`` is a key of ``FITS``; ``given`` overrides its defaults. ``per_sample``
     switches selection between one value per cell and one per feature where the fit has both.
+    ``history_path`` keeps memberships and selection of every tenth round; fits with moves refuse it.
     """
     spec = FITS[model]
     if per_sample is not None:
         if spec.weights == "dp" or spec.moves:
             raise ValueError(f"{model} has one selection mode")
         spec = spec.per_sample(per_sample)
+    if history_path and spec.moves:
+        raise ValueError(f"{model} keeps no tables per round")
     data = as_data(counts)
     p = spec.params(**given)
     restarts = n_restarts or p.get("n_restarts", 1)
     params = {i: dict(p) for i in range(restarts)}
-    options = {"history_path": history_path} if history_path and not spec.moves else {}
+    options = {"history_path": history_path} if history_path else {}
     out = fit_models(data, spec, params, {i: seed + 1000 * i for i in params}, init, n_init, kmeans_iter, **options)
     if restarts == 1:
         return out

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
+# The defaults of all fits.
 COMMON = dict(
     k_max=10, zeta=1.0, eta=1.0, xi_1=1.0, xi_2=1.0, f0=0.3, tol=1e-4, max_iter=500,
     prune_threshold=0.02, min_clusters=None, prune_start=10, prune_every=5,
@@ -48,6 +49,7 @@ class Spec:
         return replace(self, selection="sample" if on else "shared")
 
 
+# Defaults of the fits with moves and of the spike-and-slab fits.
 _MOVES = dict(
     k_max=15, f0=0.3, max_iter=400, beta_start=0.2, beta_end=1.0, anneal_iters=60, merge_every=15, n_restarts=3
 )

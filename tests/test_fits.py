@@ -178,3 +178,8 @@ def test_kmeans_memberships_are_one_hot(spark, small):
     _, _, data = small
     rows = init_kmeans(data, [Start(0, 3, 1)], n_init=1, max_iter=3).collect()
     assert all(sorted(r["r"]) == [0.0, 0.0, 1.0] for r in rows)
+
+
+def test_history_of_moves_is_refused():
+    with pytest.raises(ValueError):
+        fit(None, "py_moves", history_path="unused")
