@@ -183,3 +183,13 @@ def test_kmeans_memberships_are_one_hot(spark, small):
 def test_history_of_moves_is_refused():
     with pytest.raises(ValueError):
         fit(None, "py_moves", history_path="unused")
+
+
+def test_selected_by_sample_covers_zero_cells(spark):
+    x, labels = planted(n=20, s=12, draws=15)
+    fitted = fit(as_counts(spark, x), "mfm", init=as_labels(spark, labels), k_max=3, max_iter=1)
+    zero = fitted.models[0].zero_f
+    rows = report.selected_by_sample(fitted, zero / 2).where("sample_id is null").collect()
+    seen = x[:, x.sum(0) > 0]
+    assert len(rows) == (seen == 0).any(0).sum() > 0 and all(r["probability"] == pytest.approx(zero) for r in rows)
+    assert report.selected_by_sample(fitted, zero).where("sample_id is null").count() == 0
