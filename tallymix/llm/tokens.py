@@ -7,10 +7,13 @@ blank-separated words in order. So each distinct word is encoded once per worker
 from __future__ import annotations
 
 import os
+import struct
 from functools import lru_cache
 
 import numpy as np
 
+from tallymix.llm.common import LOWER
+
 TOKENIZER = "word_bpe_49k.json"
 MEMO_WORDS = 1_000_000  # words kept per worker; the memo starts anew beyond
 SPAN_WORDS = 700_000  # the same where spans are kept too
@@ -58,6 +61,19 @@ def _word_ends(path: str) -> np.ndarray | None:
     return ends
 
 
+@lru_cache(maxsize=4)
+def _letters_reach_model(path: str) -> bool:
+    """Whether words of a-z come to the tokenizer's model whole and unchanged; probed with all pairs of letters."""
+    tok = _tokenizer(path)
+    pairs = "".join(a + b for a in LOWER for b in LOWER)
+    same = tok.normalizer is None or tok.normalizer.normalize_str(pairs) == pairs
+    parts = tok.pre_tokenizer.pre_tokenize_str(pairs) if tok.pre_tokenizer else [(pairs, (0, len(pairs)))]
+    added = any(t.content.isalpha() for t in tok.get_added_tokens_decoder().values())
+    ids = [t.id for t in tok.model.tokenize(pairs)]
+    return same and [w for w, _ in parts] == [pairs] and not added and (
+        ids == tok.encode(pairs, add_special_tokens=False).ids)
+
+
 _SIGNS = ".,;:!?%$&*#|"
 
 
@@ -73,7 +89,6 @@ class WordMemo(dict):
         in these are put together from the same parts."""
         if len(self) > self.limit:
             self.clear()
-        words = words.difference(self)
         joined, plain, single = [], set(), set()
         marked = _word_ends(self.path) is not None
         for w in words:
@@ -89,6 +104,13 @@ class WordMemo(dict):
             else:
                 single.add(w)
         plain = [w for w in plain if w not in self]
+        if _letters_reach_model(self.path):
+            model = _tokenizer(self.path).model
+            for w in filter(str.isascii, plain):
+                found = model.tokenize(w)
+                ids = struct.pack(f"<{len(found)}I", *[t.id for t in found])
+                self[w] = self._value(ids, [t.offsets for t in found] if self.spans else None)
+            plain = [w for w in plain if not w.isascii()]
         for i in range(0, len(plain), 500):
             self._learn_letters(plain[i:i + 500])
         single = [w for w in single if w not in self]
@@ -96,7 +118,7 @@ class WordMemo(dict):
         for i in range(0, len(single), 20_000):
             part = single[i:i + 20_000]
             for w, e in zip(part, (tok.encode_batch if self.spans else tok.encode_batch_fast)(part, add_special_tokens=False)):
-                self[w] = self._value(np.array(e.ids, "<u4"), e.offsets if self.spans else None)
+                self[w] = self._value(np.array(e.ids, "<u4").tobytes(), e.offsets if self.spans else None)
         for w, core, tail in joined:
             if w in self:
                 continue
@@ -111,11 +133,11 @@ class WordMemo(dict):
                          for a, b in zip(first[1:], self[tail][1:])]
                 self[w] = tuple(last)
 
-    def _value(self, ids, offsets, base: int = 0):
+    def _value(self, ids: bytes, offsets, base: int = 0):
         if not self.spans:
-            return ids.tobytes()
+            return ids
         at = np.array(offsets, "<i4").reshape(-1, 2) - base
-        return ids.tobytes(), at[:, 0].astype("<i4").tobytes(), at[:, 1].astype("<i4").tobytes()
+        return ids, at[:, 0].astype("<i4").tobytes(), at[:, 1].astype("<i4").tobytes()
 
     def _learn_letters(self, part: list[str]) -> None:
         """Words of letters only are one unit each: encoded in one go, parted after each token that ends a unit."""
@@ -126,11 +148,11 @@ class WordMemo(dict):
         if len(ends) != len(part):
             for w in part:
                 one = tok.encode(w, add_special_tokens=False)
-                self[w] = self._value(np.array(one.ids, "<u4"), one.offsets)
+                self[w] = self._value(np.array(one.ids, "<u4").tobytes(), one.offsets)
             return
         offsets, low, base = (e.offsets if self.spans else None), 0, 0
         for w, high in zip(part, ends.tolist()):
-            self[w] = self._value(ids[low:high], offsets[low:high] if offsets else None, base)
+            self[w] = self._value(ids[low:high].tobytes(), offsets[low:high] if offsets else None, base)
             low, base = high, base + len(w) + 1
 
 
@@ -146,9 +168,13 @@ def _split(text: str | None) -> list[str]:
 def _look_up(memo: WordMemo, texts: list[str | None]):
     """Yields (words, their values) of each text; words not known yet are learnt together."""
     split = [_split(t) for t in texts]
-    memo.learn(set().union(*split))
-    for ws in split:
-        yield ws, map(memo.__getitem__, ws)
+    known = [list(map(memo.get, ws)) for ws in split]
+    gaps = [[i for i, v in enumerate(values) if v is None] for values in known]
+    memo.learn({ws[i] for ws, at in zip(split, gaps) for i in at})
+    for ws, values, at in zip(split, known, gaps):
+        for i in at:
+            values[i] = memo[ws[i]]
+        yield ws, values
 
 
 def _groups(texts, chars: int = 4_000_000):
@@ -195,7 +221,6 @@ def encode_spans(texts, path: str):
             if not ws:
                 yield np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
                 continue
-            found = list(found)
             ids, starts, ends = (b"".join(x) for x in zip(*found))
             at = np.zeros(len(ws), np.int64)
             np.cumsum([len(w) + 1 for w in ws[:-1]], out=at[1:])
