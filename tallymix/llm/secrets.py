@@ -13,9 +13,10 @@ ASSIGN = (r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][
 VALUE = r"[A-Za-z0-9+/_.=-]+"
 ACCESS = r"AKIA[A-Z0-9]{12,}+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}+"
-_IN = "A-Za-z0-9+/_=-"
-CANDIDATE = rf"(?<![{_IN}])[{_IN}]{{20,}}+"
-ORDINARY = r"(?<![A-Za-z0-9+/_=-])(?:[A-Z]?[a-z]{15,}+|[A-Z]{16,}+)(?![A-Za-z0-9+/_=-])"
+_IN = "A-Za-z0-9+/_-"
+# '=' is padding at the end only; what stands after it, as in name=value, is a candidate of its own.
+CANDIDATE = rf"(?<![{_IN}])[{_IN}]{{20,}}+(?:={{1,2}}+(?![{_IN}]))?"
+ORDINARY = rf"(?<![{_IN}])(?:[A-Z]?[a-z]{{15,}}+|[A-Z]{{16,}}+)(?![{_IN}])"
 
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ALPHABETS = {  # in order of inference; '-' and '_' are read as '+' and '/'

@@ -269,6 +269,24 @@ def test_random_tokens_among_words(spark):
     assert found >= 0.85 * len(planted) and false <= 2
 
 
+def test_random_values_of_names(spark):
+    """The value after an inner '=' is found by itself; padding belongs to it."""
+    rng = random.Random(21)
+    syllables = ["ta", "ren", "po", "lis", "mo", "car", "ne", "vi", "do", "sul"]
+    names = ["AUTH_KEY=", "sig=", "&access_key=", "A_RATHER_LONG_NAME_OF_A_KEY="]
+    planted, rows = {}, []
+    for i in range(400):
+        ws = ["".join(rng.choices(syllables, k=36))[:rng.choice([6, 17, 22, 26, 36])] for _ in range(30)]
+        if i % 10 == 0:
+            planted[i] = "".join(rng.choices(string.ascii_letters + string.digits, k=rng.choice([32, 40, 64]))) + "=" * (i % 3)
+            ws.insert(15, names[i // 10 % 4] + planted[i])
+        rows.append((i, " ".join(ws)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    hits = {r.doc_id: [rows[r.doc_id][1][s.start:s.end] for s in r.found if s.kind == "random"] for r in secrets.find(docs).collect()}
+    assert sum(planted[i] in hits[i] for i in planted) >= 0.85 * len(planted)
+    assert sum(len(h) - (planted.get(i) in h) for i, h in hits.items()) <= 2
+
+
 def test_battery_accepts_uniform_tokens_at_its_level(spark):
     rng = random.Random(3)
     rows = [("".join(rng.choices(secrets.ALPHABETS["base64"], k=64)), "base64") for _ in range(500)]
