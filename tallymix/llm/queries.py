@@ -28,7 +28,7 @@ def op3_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sanitise.find(documents(spark, sf_dir)).drop("found", "digest")
+    return sanitise.find(documents(spark, sf_dir), everywhere=True).drop("found", "digest")
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,12 +79,17 @@ def spelled(spans: list[tuple[int, str, int]]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for a, kind, b in spans)
 
 
+def _terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, str]]:
+    """(start, end, term) of the words of letters and digits, in lower case, that lie in no protected span."""
+    lows, highs = sorted(a for a, _, _ in spans), sorted(b for _, _, b in spans)
+    return [(m.start(), m.end(), m[0].lower()) for m in _TERM.finditer(text)
+            if bisect_left(lows, m.end()) == bisect_right(highs, m.start())]  # no span begins before and ends after
+
+
 def contexts(text: str, spans: list[tuple[int, int, int]], window: int) -> list[tuple[str, str, int, list[tuple[int, int]]]]:
     """(entity, term, hash of the context, spans of the term in the text) for the terms within ``window`` terms of an
-    entity on either side. Terms are words of letters and digits in lower case that lie in no protected span."""
-    lows, highs = sorted(a for a, _, _ in spans), sorted(b for _, _, b in spans)
-    terms = [(m.start(), m.end(), m[0].lower()) for m in _TERM.finditer(text)
-             if bisect_left(lows, m.end()) == bisect_right(highs, m.start())]  # no span begins before and ends after
+    entity on either side."""
+    terms = _terms(text, spans)
     places: dict[str, list[tuple[int, int]]] = {}
     for a, b, t in terms:
         places.setdefault(t, []).append((a, b))
@@ -171,31 +176,74 @@ def revealing(docs: DataFrame, scanned: DataFrame, threshold: float, contexts_ne
     return ws.put(pairs.where(F.col("disclosure") >= threshold).select("entity", "term", "disclosure"), "revealing")
 
 
+_PLACES = "doc_id string, digest bigint, entity string, term string, places array<struct<a:bigint,b:bigint>>"
+
+
+def held(docs: DataFrame, shown: DataFrame) -> DataFrame:
+    """(id, digest, entity, term, places): the places of the terms of ``shown`` (entity, term) in the whole text of every
+    document that holds the entity. Fixed-size maps keep most others out; a few pass and need a join with ``shown``."""
+    sc = docs.sparkSession.sparkContext
+    terms = sc.broadcast(bitmap(shown.select("term").distinct()))
+    pairs = sc.broadcast(bitmap(shown.select(F.concat_ws("|", "entity", "term"))))
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, len(batch), 2000):
+                out = []
+                for doc, text, digest in zip(*(batch[c].iloc[at:at + 2000] for c in ("doc_id", "text", "digest"))):
+                    spans = base_spans(text)
+                    if not spans:
+                        continue
+                    places: dict[str, list[dict[str, int]]] = {}
+                    for a, b, t in _terms(text, spans):
+                        places.setdefault(t, []).append({"a": a, "b": b})
+                    own = list(places)
+                    own = list(itertools.compress(own, marked(terms.value, word_hashes(own).view(np.int64))))
+                    for e in sorted({entity(text, k, a, b) for a, k, b in spans}):
+                        fits = marked(pairs.value, word_hashes([f"{e}|{t}" for t in own]).view(np.int64))
+                        out += [(doc, digest, e, t, places[t]) for t in itertools.compress(own, fits)]
+                yield pd.DataFrame(out, columns=["doc_id", "digest", "entity", "term", "places"]).astype({"digest": "int64"})
+
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")).alias("doc_id"),
+                       F.col("text").cast("string").alias("text"))
+    found = rows.withColumn("digest", F.xxhash64("text")).mapInPandas(run, _PLACES)
+    return found.withColumnRenamed("doc_id", "id")
+
+
 def _number(spans: str, kind: int) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
 
 def find(docs: DataFrame, window: int = 5, threshold: float = 0.8, contexts_needed: int = 2, removal: float = 0.95,
-         ws: Workspace | None = None) -> DataFrame:
+         ws: Workspace | None = None, everywhere: bool = False) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, found, digest
     (xxhash64 of the text).
 
     ``found`` lists (start, kind, end) of the base patterns and of the revealing terms, in code points. A term near a
     protected entity of a document is marked wherever it stands in that document: as 'term' (to be generalised) from
-    ``threshold`` of disclosure on, as 'remove' from ``removal`` on. ``spans`` spells all out, base_sha256 is the
+    ``threshold`` of disclosure on, as 'remove' from ``removal`` on. With ``everywhere`` (as in ``sanitise`` and the
+    registered query) a term that reveals an entity, judged by the windows of the corpus, is marked in every document
+    that holds the entity, however far apart they stand. ``spans`` spells all out, base_sha256 is the
     digest of the base part. A null or empty text has no spans. Counts cover all documents; repeated rows count
     each. An empty table gives an empty result. Other columns are ignored, whatever their names.
     """
     ws = ws or Workspace(docs.sparkSession)
     scanned = scan(docs, window, ws)
     shown = revealing(docs, scanned, threshold, contexts_needed, ws)
-    near = scanned.where("spans is null").join(shown, ["entity", "term"])
-    marks = near.select("row", "disclosure", F.explode("places").alias("p")).groupBy("row", "p").agg(
+    rows = scanned.where("spans is not null").select("doc_id", "row", "digest", "spans")
+    if everywhere:  # another pass may number rows differently
+        key = ["id", "digest"]
+        rows = rows.withColumn("id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+        near = held(docs, shown).join(shown, ["entity", "term"])
+    else:
+        key = ["row"]
+        near = scanned.where("spans is null").join(shown, ["entity", "term"])
+    marks = near.select(*key, "disclosure", F.explode("places").alias("p")).groupBy(*key, "p").agg(
         F.max("disclosure").alias("d"))
-    marks = marks.groupBy("row").agg(F.collect_list(F.struct(
+    marks = marks.groupBy(*key).agg(F.collect_list(F.struct(
         F.col("p.a").alias("a"), F.when(F.col("d") >= removal, 5).otherwise(4).alias("kind"),
         F.col("p.b").alias("b"))).alias("more"))  # one list per document, no longer than its text
-    rows = scanned.where("spans is not null").select("doc_id", "row", "digest", "spans").join(marks, "row", "left")
+    rows = rows.join(marks, key, "left")
     names = F.array(*[F.lit(k) for k in (*KINDS, "term", "remove")])
 
     def spell(spans):
@@ -231,7 +279,7 @@ def sanitise(docs: DataFrame, **how) -> DataFrame:
     """(doc_id, text), one row per row of ``docs``: the texts as ``rewritten`` by what ``find`` finds. Rows are matched
     by doc_id and text digest, so repeated rows come back as often as they were; a null text stays null."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = find(rows, **how).where("spans <> ''").dropDuplicates(["doc_id", "digest"])
+    found = find(rows, **{"everywhere": True} | how).where("spans <> ''").dropDuplicates(["doc_id", "digest"])
     clean = F.udf(lambda text, spans: rewritten(text, [tuple(s) for s in spans]) if text and spans else text, "string")
     rows = rows.withColumn("digest", F.xxhash64("text"))
     same = rows["doc_id"].eqNullSafe(found["doc_id"]) & (rows["digest"] == found["digest"])

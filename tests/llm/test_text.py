@@ -214,6 +214,26 @@ def test_sanitised_texts(people):
     assert "Quentin" not in texts[101] and "<EMAIL>" in texts[101] and "<PHONE>" in texts[103]
 
 
+def test_revealing_terms_far_from_their_entity(spark, people, corpus, odd, empty):
+    filler = " ".join(["the weather and trade"] * 10)
+    far = spark.createDataFrame([(200, f"Quentin {filler} q.marsh@example.org {filler} Quentin"), (201, f"Quentin {filler}"),
+                                 (None, f"{filler} q.marsh@example.org {filler} captain Quentin")], people.schema)
+    docs = people.union(far)
+    rows = docs.collect()
+    got = {r.doc_id: {(s.start, s.end) for s in r.found if s.kind in ("term", "remove")}
+           for r in sanitise.find(docs, threshold=0.5, everywhere=True).collect()}
+    for r in rows:
+        if r.doc_id in (200, 201, None):
+            at = {m.span() for m in re.finditer("Quentin", r.text)}
+            assert got[r.doc_id] & at == (set() if r.doc_id == 201 else at)
+    clean = {r.doc_id: r.text for r in sanitise.sanitise(docs, threshold=0.5).collect()}
+    assert "Quentin" not in clean[200] + clean[None] and "Quentin" in clean[201]
+    for docs in (corpus, odd, empty):  # nothing that the windows show is lost
+        near, whole = (sorted(((r.doc_id or -1, r.digest or 0, {tuple(s) for s in r.found}) for r in sanitise.find(
+            docs, threshold=0.5, everywhere=e).collect()), key=lambda x: x[:2]) for e in (False, True))
+        assert len(near) == len(whole) and all(x[:2] == y[:2] and x[2] <= y[2] for x, y in zip(near, whole))
+
+
 # Secrets
 
 def brute_secrets(text):
