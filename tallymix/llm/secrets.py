@@ -15,15 +15,18 @@ ACCESS = r"AKIA[A-Z0-9]{12,}+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}+"
 _IN = "A-Za-z0-9+/_-"
 # '=' is padding at the end only; what stands after it, as in name=value, is a candidate of its own.
-CANDIDATE = rf"(?<![{_IN}])[{_IN}]{{20,}}+(?:={{1,2}}+(?![{_IN}]))?"
-ORDINARY = rf"(?<![{_IN}])(?:[A-Z]?[a-z]{{15,}}+|[A-Z]{{16,}}+)(?![{_IN}])"
+_PLAIN = r"(?:[A-Z]?[a-z]++|[A-Z]++|[0-9]++|[+/_-]++)"
+# Eight characters are the least that the battery tests. Tokens of one class, like words, are no candidates.
+CANDIDATE = rf"(?<![{_IN}])(?!{_PLAIN}(?![={_IN}]))[{_IN}]{{8,}}+(?:={{1,2}}+(?![{_IN}]))?"
+ORDINARY = rf"(?<![{_IN}])(?:[A-Z]?[a-z]{{7,}}+|[A-Z]{{8,}}+)(?![{_IN}])"
 
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ALPHABETS = {  # in order of inference; '-' and '_' are read as '+' and '/'
     "base16": _DIGITS + "abcdef", "base32": _UPPER + "234567", "base36": _DIGITS + _LOWER,
     "base64": _UPPER + _LOWER + _DIGITS + "+/",
 }
-STRATA = (20, 24, 32, 48, 96)  # least lengths; each stratum has its own control of false discoveries
+STRATA = (8, 10, 12, 14, 16, 18, 20, 24, 32, 48, 96)  # least lengths; each stratum has its own control of false discoveries
+LONG = 15
 BINS = 1000
 
 
@@ -121,15 +124,16 @@ def thresholds(tested: DataFrame, ordinary: DataFrame, q: float) -> DataFrame:
 
     ``ordinary`` (length, encoding, bin) are words of the same texts under the same alphabets. A token's p-value is
     the share of ordinary words that look at least as random: twice the lesser of the share in its stratum and the
-    share in its stratum and all shorter ones, which are more in number and look more random. In each stratum of ``tested`` (stratum, encoding, bin) the
+    share in its stratum and all shorter ones of LONG letters, which are more in number and look more random. In each stratum of ``tested`` (stratum, encoding, bin) the
     Benjamini-Hochberg rule at ``q`` picks the discoveries. All is done on counts by bin, a table of fixed size.
     """
-    # A word counts in its own stratum and all longer ones.
+    # A word counts in its own stratum and, from LONG letters on, in all longer ones; shorter words look too random.
     reach = F.array(*[F.lit(s) for s in STRATA])
     tops = [*STRATA[1:], 1 << 30]
     top = F.create_map(*[F.lit(x) for s, t in zip(STRATA, tops) for x in (s, t)])
     words = ordinary.groupBy("length", "encoding", "bin").agg(F.count("*").alias("c"))
-    words = words.select("*", F.explode(reach).alias("stratum")).where(F.col("length") < top[F.col("stratum")])
+    words = words.select("*", F.explode(reach).alias("stratum")).where(
+        (F.col("length") < top[F.col("stratum")]) & (F.col("length") >= F.least("stratum", F.lit(LONG))))
     own = F.sum(F.when(F.col("length") >= F.col("stratum"), F.col("c")).otherwise(0)).alias("own")
     words = words.groupBy("stratum", "encoding", "bin").agg(F.sum("c").alias("ordinary"), own)
     found = tested.groupBy("stratum", "encoding", "bin").agg(F.count("*").alias("tested"))
@@ -163,12 +167,12 @@ def find(docs: DataFrame, q: float = 0.05, alpha: float = 0.01, ws: Workspace |
     scanned = scanned.select(
         "doc_id", F.monotonically_increasing_id().alias("row"), base_spans(F.col("text")).alias("spans"),
         _found(F.col("text"), CANDIDATE).alias("tokens"),
-        F.regexp_extract_all("text", F.lit(ORDINARY), F.lit(0)).alias("words"))
+        F.array_distinct(F.regexp_extract_all("text", F.lit(ORDINARY), F.lit(0))).alias("words"))
     scanned = ws.put(scanned, "scanned")
     tokens = scanned.select("row", F.explode("tokens").alias("t"), "spans").where(
         ~F.exists("spans", lambda s: (s["a"] < F.col("t.b")) & (F.col("t.a") < s["b"])))
     tokens = tokens.select("row", F.col("t.a").alias("a"), F.col("t.b").alias("b"), F.col("t.hit").alias("token"))
-    plain = F.col("token").rlike(r"^(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+|[+/_=-]+)$")
+    plain = F.col("token").rlike(rf"^{_PLAIN}$|^[+/_=-]+$")
     tokens = tokens.where(~plain).withColumn("encoding", inferred(F.col("token")))
     stratum = F.greatest(*[F.when(F.length("token") >= s, F.lit(s)) for s in STRATA], F.lit(STRATA[0]))
     grade = F.floor(F.col("p_random") * BINS).cast("int").alias("bin")

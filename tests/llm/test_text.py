@@ -307,6 +307,25 @@ def test_random_values_of_names(spark):
     assert sum(len(h) - (planted.get(i) in h) for i, h in hits.items()) <= 2
 
 
+def test_short_random_tokens(spark):
+    """Random tokens of 16 to 24 characters are found, words of these lengths and short words are not."""
+    rng = random.Random(33)
+    syllables = ["ta", "ren", "po", "lis", "mo", "car", "ne", "vi", "do", "sul"]
+    planted, rows = {}, []
+    for i in range(400):
+        ws = ["".join(rng.choices(syllables, k=26))[:rng.choice([6, 9, 13, 17, 20, 23])] for _ in range(30)]
+        if i % 5 == 0:
+            planted[i] = "".join(rng.choices(string.ascii_letters + string.digits, k=16 + i // 5 % 9))
+            ws.insert(15, planted[i])
+        rows.append((i, " ".join(ws)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    hits = {r.doc_id: [rows[r.doc_id][1][s.start:s.end] for s in r.found if s.kind == "random"] for r in secrets.find(docs).collect()}
+    short = [i for i in planted if len(planted[i]) < 20]
+    assert sum(planted[i] in hits[i] for i in short) >= 0.5 * len(short)  # the tests have less power on few characters
+    assert sum(planted[i] in hits[i] for i in planted) >= 0.5 * len(planted)
+    assert sum(len(h) - (planted.get(i) in h) for i, h in hits.items()) <= 2
+
+
 def test_battery_accepts_uniform_tokens_at_its_level(spark):
     rng = random.Random(3)
     rows = [("".join(rng.choices(secrets.ALPHABETS["base64"], k=64)), "base64") for _ in range(500)]
