@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymix.llm import tokens
+from tallymix.llm.common import id_long, id_text
 
 RULES = ("first", "last", "most")
 
@@ -75,7 +76,7 @@ def attribute(docs: DataFrame, sections: Column, rule: str = "most", tokenizer:
                     rest = len(ids) - int(own.sum())
                     out += [(doc, name, low, high, n, c, len(ids), rest)
                             for name, low, high, n, c in zip(names, lows, highs, own, over)]
-                yield pd.DataFrame(out, columns=columns).astype({"doc_id": "Int64"})
+                yield pd.DataFrame(out, columns=columns)
 
     columns = ["doc_id", "section", "low", "high", "n_tokens", "n_crossing", "doc_tokens", "rest_tokens"]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
@@ -83,5 +84,5 @@ def attribute(docs: DataFrame, sections: Column, rule: str = "most", tokenizer:
     rows = rows.withColumn("sections", sections).where(F.size("sections") > 0)
     rows = rows.select("doc_id", "text", F.col("sections.name").alias("names"), F.col("sections.low").alias("lows"),
                        F.col("sections.high").alias("highs"))
-    return rows.mapInPandas(run, "doc_id bigint, section string, low bigint, high bigint, n_tokens bigint, "
-                                 "n_crossing bigint, doc_tokens bigint, rest_tokens bigint")
+    return id_long(id_text(rows).mapInPandas(run, "doc_id string, section string, low bigint, high bigint, n_tokens bigint, "
+                                 "n_crossing bigint, doc_tokens bigint, rest_tokens bigint"))

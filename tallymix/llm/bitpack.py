@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallymix.llm import tokens
+from tallymix.llm.common import id_long, id_text
 
 BLOCK_IDS = 65_536
 BLOCKS = ("shard int, block int, start bigint, n_ids bigint, bits int, doc_ids array<bigint>, n_tokens array<bigint>, "
@@ -69,10 +70,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
                                  "payload": [pack_ids(ids, bits)]})
 
         for batch in batches:
-            named = zip(batch["doc_id"].astype("Int64"), tokens.encode(batch["text"], tokenizer, end_id))
+            named = zip(batch["doc_id"], tokens.encode(batch["text"], tokenizer, end_id))
             for doc, ids in named:
                 held.append(ids)
-                names.append(None if doc is pd.NA else int(doc))
+                names.append(None if pd.isna(doc) else int(doc))
                 sizes.append(len(ids) // 4)
                 total += sizes[-1]
                 if total >= block_ids:
@@ -85,7 +86,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     spark = docs.sparkSession
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInPandas(shard, BLOCKS).write.mode("overwrite").parquet(f"{path}/blocks")
+    id_text(ordered).mapInPandas(shard, BLOCKS).write.mode("overwrite").parquet(f"{path}/blocks")
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
     shards = blocks.groupBy("shard").agg(
         F.sum("n_ids").alias("n_ids"), F.min(F.array_min("doc_ids")).alias("first_doc"),
@@ -113,10 +114,10 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
                     n = int(n)
                     out.append((doc, b.base + b.start + at, n, zlib.crc32(ids[at:at + n].tobytes())))
                     at += n
-            yield pd.DataFrame(out, columns=["doc_id", "start", "n_tokens", "ids_crc32"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return _blocks(spark, path).mapInPandas(
-        digests, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    rows = _blocks(spark, path).withColumn("doc_ids", F.col("doc_ids").cast("array<string>"))
+    return id_long(rows.mapInPandas(digests, "doc_id string, start bigint, n_tokens bigint, ids_crc32 bigint"))
 
 
 def read_documents(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
@@ -143,4 +144,5 @@ def read_documents(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFr
         near = []
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").where(F.col("shard").isin(near))
     blocks = blocks.where(F.arrays_overlap("doc_ids", F.array(*[F.lit(d).cast("long") for d in wanted])))
+    blocks = blocks.withColumn("doc_ids", F.col("doc_ids").cast("array<string>"))
     return blocks.mapInPandas(pick, "doc_id bigint, ids array<bigint>")

@@ -65,6 +65,15 @@ def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def id_text(docs: DataFrame) -> DataFrame:
+    """``doc_id`` as text, for Python: pandas holds a long column with a null as doubles, which rounds above 2**53."""
+    return docs.withColumn("doc_id", F.col("doc_id").cast("string"))
+
+
+def id_long(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 def order_key(seed: int, *cols: str) -> Column:
     """A seeded uniform integer below 2**KEY_BITS from the text of the columns; SQL engines with md5 repeat it."""
     text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols])

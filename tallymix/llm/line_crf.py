@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymix.llm.common import gram_hashes, order_key, words
+from tallymix.llm.common import id_long, id_text, gram_hashes, order_key, words
 
 SYMBOLS = b"#*$%&|<>"
 _UPPER, _DIGITS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789"
@@ -213,12 +213,12 @@ def judge(docs: DataFrame, model: LineModel, share: float = 0.5) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]):
         for batch in batches:
             out = pd.DataFrame([_verdict(t, model, share) for t in batch["text"]], columns=names)
-            out.insert(0, "doc_id", batch["doc_id"].astype("Int64").values)
+            out.insert(0, "doc_id", batch["doc_id"].values)
             yield out
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInPandas(run, "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, "
-                                 "n_repeat_words bigint, base_failed boolean, kept boolean, content_share double")
+    return id_long(id_text(rows).mapInPandas(run, "doc_id string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, "
+                                 "n_repeat_words bigint, base_failed boolean, kept boolean, content_share double"))
 
 
 def keep(docs: DataFrame, model: LineModel, share: float = 0.5) -> DataFrame:

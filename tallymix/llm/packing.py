@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymix.llm import tokens
-from tallymix.llm.common import KEY_BITS, order_key
+from tallymix.llm.common import id_long, id_text, KEY_BITS, order_key
 from tallymix.workspace import Workspace
 
 TOKENS = "key bigint, doc_id bigint, source string, n bigint, ids binary"
@@ -33,7 +33,7 @@ def token_table(docs: DataFrame, ws: Workspace, tokenizer: str, end_id: int,
                 part = batch.iloc[at:at + 1000]
                 ids = [np.frombuffer(b, "<u4") for b in tokens.encode(part["text"], tokenizer, end_id, memo_words)]
                 yield pd.DataFrame({
-                    "key": np.arange(row, row + len(part)) + (number << 40), "doc_id": part["doc_id"].astype("Int64").values,
+                    "key": np.arange(row, row + len(part)) + (number << 40), "doc_id": part["doc_id"].values,
                     "source": part["source"].values, "n": [len(x) for x in ids],
                     "ids": [x.astype(wide).tobytes() for x in ids],
                 })
@@ -41,7 +41,7 @@ def token_table(docs: DataFrame, ws: Workspace, tokenizer: str, end_id: int,
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                        F.col("source").cast("string").alias("source"))
-    return ws.put(rows.mapInPandas(run, TOKENS), "tokens")
+    return ws.put(id_long(id_text(rows).mapInPandas(run, TOKENS.replace("doc_id bigint", "doc_id string"))), "tokens")
 
 
 def queue_positions(rows: DataFrame, seed: int, targets: Mapping[str, float] | None, bits: int = 12) -> DataFrame:
@@ -140,11 +140,11 @@ def pack(docs: DataFrame, length: int = 2048, segment: int = 512, targets: Mappi
                             own.append(np.frombuffer(ids[4 * a:4 * (a + n)], "<u4"))
                 times = part["start"].map(len).to_numpy()
                 out = pd.DataFrame({
-                    "doc_id": part["doc_id"].astype("Int64").repeat(times).array, "start": np.concatenate(part["start"].array),
+                    "doc_id": part["doc_id"].repeat(times).array, "start": np.concatenate(part["start"].array),
                     "length": np.concatenate(part["size"].array), "ids_crc32": np.array(crcs, np.int64),
                     "doc_tokens": part["n"].repeat(times).array, "sequence_id": np.concatenate(part["sequence_id"].array),
                     "offset": np.concatenate(part["offset"].array), "source": part["source"].repeat(times).array,
                 })
                 yield out.assign(ids=own) if with_ids else out
 
-    return joined.mapInPandas(digests, schema)
+    return id_long(id_text(joined).mapInPandas(digests, schema.replace("doc_id bigint", "doc_id string")))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallymix.llm.common import KEY_BITS, gram_hashes, order_key, summed_arrays, word_hashes
+from tallymix.llm.common import id_long, id_text, KEY_BITS, gram_hashes, order_key, summed_arrays, word_hashes
 from tallymix.workspace import Workspace
 
 BUCKETS = 10_000
@@ -66,11 +66,11 @@ def resample(docs: DataFrame, log_ratio: np.ndarray, share: float, seed: int = 1
     def score(batches):
         for batch in batches:
             found = [buckets(t, len(weights)) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_grams": [len(b) for b in found],
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_grams": [len(b) for b in found],
                                 "log_ratio": [float(weights[b].sum()) for b in found]})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.mapInPandas(score, "doc_id bigint, n_grams bigint, log_ratio double")
+    rows = id_long(id_text(rows).mapInPandas(score, "doc_id string, n_grams bigint, log_ratio double"))
     uniform = (order_key(seed, "doc_id") + 0.5) / float(1 << KEY_BITS)
     rows = rows.withColumn("key", F.col("log_ratio") - F.log(-F.log(uniform)))
     rows = ws.put(rows, "keys").withColumn("whole", F.floor("key")).withColumn("part", F.floor(F.col("key") * 1024))

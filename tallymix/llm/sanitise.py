@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymix.llm.common import bitmap, marked, word_hashes
+from tallymix.llm.common import id_long, id_text, bitmap, marked, word_hashes
 from tallymix.workspace import Workspace
 
 KINDS = ("email", "ip", "card", "phone")
@@ -105,7 +105,7 @@ def contexts(text: str, spans: list[tuple[int, int, int]], window: int) -> list[
     return out
 
 
-_SCAN = ("doc_id bigint, row bigint, digest bigint, spans array<struct<a:bigint,kind:int,b:bigint>>, entity string, "
+_SCAN = ("doc_id string, row bigint, digest bigint, spans array<struct<a:bigint,kind:int,b:bigint>>, entity string, "
          "term string, mark bigint, places array<struct<a:bigint,b:bigint>>")
 
 
@@ -116,24 +116,24 @@ def scan(docs: DataFrame, window: int, ws: Workspace) -> DataFrame:
     def run(batches):
         number, row = TaskContext.get().partitionId() << 40, 0
         for batch in batches:
-            ids = batch["doc_id"].astype("Int64").tolist()
+            ids = batch["doc_id"].tolist()
             for at in range(0, len(batch), 2000):
                 out = []
                 for doc, text, digest in zip(ids[at:at + 2000], batch["text"].iloc[at:at + 2000],
                                              batch["digest"].iloc[at:at + 2000]):
                     spans = base_spans(text)
-                    doc, key = None if doc is pd.NA else doc, number + row
+                    key = number + row
                     row += 1
                     listed = [{"a": a, "kind": k, "b": b} for a, k, b in spans]
                     out.append((doc, key, digest, listed, None, None, None, None))
                     if spans:
                         out += [(doc, key, digest, None, e, t, m, [{"a": a, "b": b} for a, b in p])
                                 for e, t, m, p in contexts(text, spans, window)]
-                yield pd.DataFrame(out, columns=columns).astype({"doc_id": "Int64", "mark": "Int64"})
+                yield pd.DataFrame(out, columns=columns).astype({"mark": "Int64"})
 
     columns = ["doc_id", "row", "digest", "spans", "entity", "term", "mark", "places"]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return ws.put(rows.withColumn("digest", F.xxhash64("text")).mapInPandas(run, _SCAN), "scan")
+    return ws.put(id_long(id_text(rows.withColumn("digest", F.xxhash64("text"))).mapInPandas(run, _SCAN)), "scan")
 
 
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
