@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from dense import lgam, psi
 
-from conftest import as_counts, as_labels, planted
+from planted import as_counts, as_labels, planted
 from tallymix.functions.special import digamma_value
 from tallymix.operators import metrics as mt
 from tallymix.operators.cells import prepare

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from dense import Dense
 
-from conftest import as_counts, as_labels, planted
+from planted import as_counts, as_labels, planted
 from tallymix.operators import metrics as mt
 from tallymix.operators import report
 from tallymix.operators.cells import prepare

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from dense import Dense, floored_softmax
 
-from conftest import as_counts, as_labels, planted
+from planted import as_counts, as_labels, planted
 from tallymix.operators import likelihood as lk
 from tallymix.operators.cells import prepare
 from tallymix.operators.initial import init_from_labels

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from checks.compare import difference, oracle
-from conftest import as_counts, as_labels, planted
+from planted import as_counts, as_labels, planted
 from tallymix.operators import prep
 from tallymix.operators.cells import prepare
 from tallymix.operators.profiles import cluster_sums
