@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymix.llm import (
-    attribution, bitpack, exact_dedup, line_crf, mixing, ngram_join, packing, resampling, sanitise, secrets, tokens,
+    attribution, bitpack, byte_bpe, exact_dedup, hard_negatives, line_crf, merkle, mixing, ngram_join, packing,
+    resampling, sanitise, secrets, tokens,
 )
 from tallymix.llm.common import documents
 from tallymix.workspace import Workspace
@@ -58,6 +59,23 @@ def op10_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(docs, resampling.fit(docs, labels), resampling.good_share(labels))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of the documents, verified against rows of which some have one character more."""
+    altered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    n_chars = F.col("n_chars") + F.when(altered, 1).otherwise(0)
+    rows = merkle.verify(merkle.manifest(documents(spark, sf_dir), {"n_chars": n_chars}))
+    return rows.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digests(documents(spark, sf_dir))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(documents(spark, sf_dir, "embeddings"), label, F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_packing": op2_packing,
@@ -69,6 +87,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_attribution": op8_attribution,
     "op9_token_files": op9_token_files,
     "op10_resampling": op10_resampling,
+    "op11_merkle": op11_merkle,
+    "op12_byte_bpe": op12_byte_bpe,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 SQL: dict[str, str] = {
@@ -112,4 +133,72 @@ SQL: dict[str, str] = {
                                       then 1 else 0 end)::bigint as copies,
                (size * copies)::bigint as taken
         from r""",
+    "op11_merkle": r"""
+        with recursive t as (
+            select doc_id, lang, source, n_chars, text, coalesce('=' || lang, '') as tree,
+                   list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)) as codes
+            from documents
+        ), crc as (
+            select *, xor(list_reduce([4294967295::bigint] || flatten(list_transform(codes, lambda b: list_transform(range(8),
+                      lambda i: ((b >> i) & 1)::bigint))), lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295) as crc
+            from t
+        ), l as (
+            select doc_id, tree, a || (case when n_chars is null then '-' else strlen(n_chars::varchar) || ':' || n_chars end) || b as whole,
+                   a || (case when n_chars is null then '-' else strlen((n_chars + d)::varchar) || ':' || (n_chars + d) end) || b as claim
+            from (select *, case when crc % 7 = 0 then 1 else 0 end as d,
+                         coalesce(strlen(doc_id::varchar) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+                         || coalesce(strlen(lang) || ':' || lang, '-') as a,
+                         coalesce(strlen(text) || ':' || text, '-') as b from crc)
+        ), leaves as (
+            select doc_id, tree, sha256(whole) as leaf, sha256(claim) as claimed,
+                   row_number() over (partition by tree order by doc_id nulls first, sha256(whole)) - 1 as pos from l
+        ), levels as (
+            select tree, 0 as level, list(leaf order by pos) as nodes from leaves group by tree
+            union all
+            select tree, level + 1, list_transform(range(1, len(nodes) + 1, 2), lambda i: sha256(nodes[i] || coalesce(nodes[i + 1], '')))
+            from levels where len(nodes) > 1
+        ), subroots as (
+            select tree, nodes[1] as subroot, level as height, row_number() over (order by tree) - 1 as place
+            from levels where len(nodes) = 1
+        ), tops as (
+            select 0 as level, list(subroot order by place) as nodes from subroots
+            union all
+            select level + 1, list_transform(range(1, len(nodes) + 1, 2), lambda i: sha256(nodes[i] || coalesce(nodes[i + 1], '')))
+            from tops where len(nodes) > 1
+        ), folded as (
+            select doc_id, leaf, l.tree, pos, 0 as level, claimed as own, '' as proof from leaves l
+            union all
+            select f.doc_id, f.leaf, f.tree, f.pos, f.level + 1,
+                   sha256(case when n % 2 = 1 then nodes[n] || own else own || coalesce(nodes[n + 2], '') end),
+                   proof || case when n % 2 = 1 then nodes[n] else coalesce(nodes[n + 2], '') end
+            from (
+                select f.*, coalesce(a.nodes, b.nodes) as nodes,
+                       (case when a.nodes is not null then pos >> f.level else place >> (f.level - height) end) as n
+                from folded f join subroots s using (tree)
+                left join levels a on a.tree = f.tree and a.level = f.level and f.level < height
+                left join tops b on b.level = f.level - height and f.level >= height and len(b.nodes) > 1
+            ) f where nodes is not null
+        )
+        select doc_id, leaf, subroot, root, sha256(proof) as proof_sha256, own as folded_root, own = root as verified
+        from folded join subroots using (tree), (select nodes[1] as root, level as top from tops where len(nodes) = 1)
+        where level = height + top""",
+    "op13_hard_negatives": r"""
+        with v as (
+            select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+                   list_transform(embedding, lambda x: floor(256 * x::double)::double) as z
+            from embeddings
+            where label is not null and embedding is not null
+              and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        ), s as (
+            select a.vec_id as anchor_id, o.vec_id, a.label = o.label as same, list_inner_product(a.z, o.z)::bigint as score
+            from v a join v o on a.vec_id <> o.vec_id where a.vec_id % 100 = 0
+        ), p as (
+            select anchor_id, vec_id as positive_id, score as positive_score from s where same
+            qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+        ), n as (
+            select anchor_id, positive_id, vec_id as negative_id, positive_score, score as negative_score,
+                   row_number() over (partition by anchor_id, positive_id order by score desc, vec_id)::int as rank
+            from p join s using (anchor_id) where not same and 80 * positive_score <= 100 * score and score <= positive_score
+        )
+        select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from n where rank <= 5""",
 }

@@ -177,7 +177,7 @@ def _look_up(memo: WordMemo, texts: list[str | None]):
         yield ws, values
 
 
-def _groups(texts, chars: int = 4_000_000):
+def groups(texts, chars: int = 4_000_000):
     """Lists of texts of about that many characters, so that the words of one list fit in memory."""
     part, size = [], 0
     for t in texts:
@@ -195,13 +195,13 @@ def encode(texts, path: str, end_id: int | None = None, memo_words: int = MEMO_W
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
     if not _drops_blanks(path):
         tok = _tokenizer(path)
-        for part in _groups(texts):
+        for part in groups(texts):
             for e in tok.encode_batch_fast([t or "" for t in part], add_special_tokens=False):
                 yield np.array(e.ids, "<u4").tobytes() + end
         return
     memo = _memo(path, False)
     memo.limit = memo_words
-    for part in _groups(texts):
+    for part in groups(texts):
         for ws, known in _look_up(memo, part):
             yield b"".join(known) + end
 
@@ -210,13 +210,13 @@ def encode_spans(texts, path: str):
     """Yields (ids, starts, ends) of each text: character spans [start, end) of the tokens in the text as given."""
     if not _drops_blanks(path):
         tok = _tokenizer(path)
-        for part in _groups(texts):
+        for part in groups(texts):
             for e in tok.encode_batch([t or "" for t in part], add_special_tokens=False):
                 at = np.array(e.offsets, np.int64).reshape(-1, 2)
                 yield np.array(e.ids, np.uint32), at[:, 0], at[:, 1]
         return
     memo = _memo(path, True)
-    for part in _groups(texts):
+    for part in groups(texts):
         for ws, found in _look_up(memo, part):
             if not ws:
                 yield np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
