@@ -14,7 +14,7 @@ _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 # White space to str.split() but not to WORD.
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 KEY_BITS = 60
-BITMAP = 1 << 26  # bits of the maps that keep rows without a partner out of a shuffle; 8 MB, fixed
+MAP_BITS = 1 << 29  # of the maps that keep rows without a partner out of a shuffle, at most: 64 MB
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -112,29 +112,32 @@ def summed_arrays(partials: DataFrame, kind: str) -> np.ndarray:
     return np.frombuffer(found[0].v, kind) if found else np.zeros(0, kind)
 
 
-def _slots(keys: np.ndarray) -> np.ndarray:
-    return (mix64(keys.astype(np.int64).view(np.uint64)) >> np.uint64(38)).astype(np.int64)  # 26 bits
+def _slots(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (mix64(keys.astype(np.int64).view(np.uint64)) >> np.uint64(65 - bits.bit_length())).astype(np.int64)
 
 
 def bitmap(keys: DataFrame) -> np.ndarray:
-    """A map with the bits of all keys (one column of longs or strings) set; unset bits surely have no key."""
+    """A map with the bits of all keys (one column of longs or strings) set; unset bits surely have no key.
+
+    It has some 16 to 32 bits a key, MAP_BITS at most; with more keys than that suits, fewer rows are kept out."""
+    size = min(MAP_BITS, max(1 << 16, 1 << (16 * keys.count()).bit_length()))
 
     def mark(batches):
-        bits, found = np.zeros(BITMAP // 8, np.uint8), False
+        bits, found = np.zeros(size // 8, np.uint8), False
         for batch in batches:
             k = batch.iloc[:, 0]
-            at = _slots(word_hashes(k.tolist()).view(np.int64) if k.dtype == object else k.fillna(0).to_numpy())
+            at = _slots(word_hashes(k.tolist()).view(np.int64) if k.dtype == object else k.fillna(0).to_numpy(), size)
             np.bitwise_or.at(bits, at >> 3, (128 >> (at & 7)).astype(np.uint8))
             found |= len(at) > 0
         if found:
             yield pd.DataFrame({"v": [bits.tobytes()]})
 
     found = summed_arrays(keys.mapInPandas(mark, "v binary"), "u1")
-    return found if len(found) else np.zeros(BITMAP // 8, np.uint8)
+    return found if len(found) else np.zeros(size // 8, np.uint8)
 
 
 def marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = _slots(keys)
+    at = _slots(keys, 8 * len(bits))
     return bits[at >> 3] & (128 >> (at & 7)).astype(np.uint8) > 0
 
 

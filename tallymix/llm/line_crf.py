@@ -182,14 +182,14 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_DOCS, max_l
             for doc, text, quality in zip(batch["doc_id"], batch["text"], batch["quality"]):
                 f, _ = line_features(text)
                 if 0 < len(f) <= max_lines:
-                    out.append((doc, f.ravel().tolist(), quality))
+                    out.append((doc, f.astype("<f8").tobytes(), quality))
             yield pd.DataFrame(out, columns=["doc_id", "f", "quality"])
 
-    found = rows.mapInPandas(features, "doc_id bigint, f array<double>, quality int").collect()
-    found.sort(key=lambda r: (r.doc_id, r.quality, r.f))
+    found = rows.mapInPandas(features, "doc_id bigint, f binary, quality int").collect()
+    found.sort(key=lambda r: (r.doc_id, r.quality, bytes(r.f)))
     if len({r.quality for r in found}) < 2:
         return LineModel()
-    x = [np.array(r.f).reshape(-1, N_FEATURES) for r in found]
+    x = [np.frombuffer(r.f, "<f8").reshape(-1, N_FEATURES) for r in found]
     return fit(x, [np.full(len(f), r.quality) for f, r in zip(x, found)])
 
 

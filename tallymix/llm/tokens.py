@@ -6,6 +6,7 @@ blank-separated words in order. So each distinct word is encoded once per worker
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 from functools import lru_cache
@@ -33,9 +34,14 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@lru_cache(maxsize=4)
 def vocabulary(path: str) -> int:
-    """Ids lie below this number."""
-    return max(_tokenizer(path).get_vocab().values()) + 1
+    """Ids lie below this number. Read from the file: the driver needs no tokenizer in memory."""
+    with open(path, encoding="utf-8") as f:
+        held = json.load(f)
+    known = held["model"]["vocab"]
+    last = max(known.values(), default=-1) if isinstance(known, dict) else len(known) - 1
+    return max([last, *(t["id"] for t in held.get("added_tokens") or [])]) + 1
 
 
 @lru_cache(maxsize=4)
