@@ -37,7 +37,16 @@ def user_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts_from_events(read(spark, sf_dir, "events"), "user_id", "event_type")
 
 
-_SOURCES = {"supplier_brand": supplier_brand, "doc_token": doc_token, "user_event": user_event}
+def doc_letter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the words of each document begin with each letter: clustered by language, short documents sparse."""
+    words = F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("token")
+    letters = read(spark, sf_dir, "documents").select("doc_id", words).where("token <> ''")
+    return counts_from_events(letters.select("doc_id", F.substring("token", 1, 1).alias("letter")), "doc_id", "letter")
+
+
+_SOURCES = {
+    "supplier_brand": supplier_brand, "doc_token": doc_token, "user_event": user_event, "doc_letter": doc_letter,
+}
 
 
 def _session() -> SparkSession:

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from checks import sql as q
 from checks.data import K, prepared, read, start_labels, swept, workspace
 from checks.queries import _ARI, _UE_NORM, _silhouette_ctes, _sweeps, query, with_sql
+from checks.recursive import WholeFit
 from tallymix.operators import initial, metrics, report
 from tallymix.operators import objective as ob
 from tallymix.plans import base, moves, search, stochastic
 from tallymix.plans.fit import fit
 from tallymix.plans.mixture import Fit, prune
-from tallymix.plans.specs import FITS, linear_anneal, two_phase_anneal
+from tallymix.plans.specs import FITS, linear_anneal
 from tallymix.sources import tables as src
 from tallymix.streaming import stream
 
@@ -328,27 +329,43 @@ def _(spark, d):
     return report.hard_labels(state.resp).select("sample_id", "label")
 
 
-# whole fits of a few rounds from given labels; the last pruning keeps every group, so the SQL is as many sweeps
-ROUNDS = {
-    "dp": {}, "dp_cluster": {}, "py": dict(d=0.2), "mfm": dict(gamma=2.0), "nig": dict(alpha=2.0), "ssl": dict(l0=20.0),
-    "ssl_excess": dict(burn_in=1), "dp_thermal": dict(beta0=0.2, tau2=3),
-    # K at both its limits: two annealed rounds in which no move is possible (the moves have queries of their own)
-    **{f: dict(anneal_iters=1, merge_every=2, n_restarts=1) for f in ("py_moves", "mfm_moves", "nig_moves")},
-}
+# whole fits at their own default limits, to their own stop: pruning, freezing and averaging on the way
+def _whole(name: str):
+    spec = FITS[name]
+    p = spec.params()
+    sql = WholeFit(spec, p).select(
+        "select sample_id, label, round(r, 4) as r, groups, rounds, converged, level from (select sample_id, cast(k as int) as label, r, "
+        "row_number() over (partition by sample_id order by r desc, k) as pos from r) cross join (select count(*) as groups from kept) "
+        "cross join (select cast(max(a) filter (where id = 'iter') as int) as rounds, max(a) filter (where id = 'done') = 1 as converged, "
+        "case when max(a) filter (where id = 'frozen') = 1 then round(max(a) filter (where id = 'level'), 5) end as level from fin) where pos = 1")
+
+    def run(spark, d):
+        data = prepared(spark, d, "doc_letter")
+        out = fit(data, name, init=start_labels(data, p["k_max"]))
+        m = out.models[0]
+        level = "cast(null as double)" if m.baseline is None else f"round({m.baseline!r}D, 5)"
+        labels = report.hard_labels(out.state.resp).select("sample_id", "label")
+        return labels.join(out.state.resp, "sample_id").selectExpr(
+            "sample_id", "cast(label as int) as label", "round(array_max(r), 4) as r", f"{m.k}L as groups", f"{m.n_iter} as rounds",
+            f"{str(m.converged).lower()} as converged", f"{level} as level")
+
+    query(f"fit_{name}", sql)(run)
+
+
+for _name in ("dp", "dp_cluster", "py", "mfm", "nig", "ssl", "ssl_excess", "dp_thermal"):
+    _whole(_name)
+
+
+# fits with moves: two annealed rounds in which no move is possible (the moves have queries of their own)
+ROUNDS = {f: dict(anneal_iters=1, merge_every=2, n_restarts=1) for f in ("py_moves", "mfm_moves", "nig_moves")}
 
 
 def _rounds(name: str, given: dict):
-    spec = FITS[name]
-    rounds = 2 if spec.selection == "sample" else 3
+    spec, rounds = FITS[name], 2
     p = spec.params(k_max=K, min_clusters=K, max_iter=rounds, **given)
     s = q.Sweeps(p, spec.weights, spec.selection, spec.select_first, spec.start, K)
     for t in range(rounds):
-        beta = 1.0
-        if name == "dp_thermal":
-            beta = two_phase_anneal(t, p["beta0"], p["s0"], p["tau1"], p["tau2"])[0]
-        elif spec.moves:
-            beta = linear_anneal(t + 1, p["beta_start"], p["beta_end"], p["anneal_iters"])
-        s.sweep(beta, gated=name != "ssl_excess" or t >= 1)
+        s.sweep(linear_anneal(t + 1, p["beta_start"], p["beta_end"], p["anneal_iters"]))
 
     def run(spark, d):
         data = prepared(spark, d)
