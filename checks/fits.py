@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from checks import sql as q
@@ -180,15 +182,17 @@ _USERS = _UE_NORM + [
 ]
 
 
-@query("metrics_row", with_sql(_USERS + _silhouette_ctes("greatest(s.sq + t.sq - 2*coalesce(dot, 0), 0)"), f"""
+@query("metrics_row", with_sql(_USERS + _silhouette_ctes("sqrt(greatest(s.sq + t.sq - 2*coalesce(dot, 0), 0))"), f"""
   select round(cast({_ARI} as double), 7) as ari, round((select (ha + hb - hab)/((ha + hb)/2) from ent), 7) as nmi,
-    (select round(avg((b - a)/greatest(a, b)), 7) from sil) as silhouette, cast(0 as double) as elapsed, cast(3 as int) as k_estimated"""))
+    (select round(avg((b - a)/greatest(a, b)), 7) from sil) as silhouette, true as timed, cast(3 as int) as k_estimated"""))
 def _(spark, d):
     data = prepared(spark, d, "user_event")
-    labels, other = start_labels(data), start_labels(data, 2)
+    started = time.time()
+    labels, other = workspace(spark).put(start_labels(data), "labels"), start_labels(data, 2)
     row = metrics.metrics_row(
-        metrics.ari(labels, other), metrics.nmi(labels, other), metrics.silhouette_squared(data, labels), 0.0, 3)
-    return row.selectExpr("round(ari, 7) as ari", "round(nmi, 7) as nmi", "round(silhouette, 7) as silhouette", "elapsed", "k_estimated")
+        metrics.ari(labels, other), metrics.nmi(labels, other), metrics.silhouette(data, labels), time.time() - started, 3)
+    return row.selectExpr("round(ari, 7) as ari", "round(nmi, 7) as nmi", "round(silhouette, 7) as silhouette",
+                          "elapsed > 0 as timed", "k_estimated")
 
 
 # --- one mini-batch step over the whole table ---------------------------------------------
