@@ -338,10 +338,11 @@ def _whole(name: str):
     spec = FITS[name]
     p = spec.params()
     sql = WholeFit(spec, p).select(
-        "select sample_id, label, round(r, 4) as r, groups, rounds, converged, level from (select sample_id, cast(k as int) as label, r, "
+        "select sample_id, label, round(r, 4) as r, groups, rounds, converged, level, objective from (select sample_id, cast(k as int) as label, r, "
         "row_number() over (partition by sample_id order by r desc, k) as pos from r) cross join (select count(*) as groups from kept) "
         "cross join (select cast(max(a) filter (where id = 'iter') as int) as rounds, max(a) filter (where id = 'done') = 1 as converged, "
-        "case when max(a) filter (where id = 'frozen') = 1 then round(max(a) filter (where id = 'level'), 5) end as level from fin) where pos = 1")
+        "case when max(a) filter (where id = 'frozen') = 1 then round(max(a) filter (where id = 'level'), 5) end as level, "
+        "round(arg_max(a, k) filter (where kind = 'his'), 1) as objective from fin) where pos = 1")
 
     def run(spark, d):
         data = prepared(spark, d, "doc_letter")
@@ -351,7 +352,8 @@ def _whole(name: str):
         labels = report.hard_labels(out.state.resp).select("sample_id", "label")
         return labels.join(out.state.resp, "sample_id").selectExpr(
             "sample_id", "cast(label as int) as label", "round(array_max(r), 4) as r", f"{m.k}L as groups", f"{m.n_iter} as rounds",
-            f"{str(m.converged).lower()} as converged", f"{level} as level")
+            f"{str(m.converged).lower()} as converged", f"{level} as level",
+            f"round({m.history[-1][1]!r}D, 1) as objective")
 
     query(f"fit_{name}", sql)(run)
 
