@@ -86,27 +86,25 @@ def _terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int,
             if bisect_left(lows, m.end()) == bisect_right(highs, m.start())]  # no span begins before and ends after
 
 
-def contexts(text: str, spans: list[tuple[int, int, int]], window: int) -> list[tuple[str, str, int, list[tuple[int, int]]]]:
-    """(entity, term, hash of the context, spans of the term in the text) for the terms within ``window`` terms of an
-    entity on either side."""
+def contexts(text: str, spans: list[tuple[int, int, int]], window: int) -> list[tuple[str, str, int]]:
+    """(entity, term, hash of the context) for the terms within ``window`` terms of an entity on either side; linear in
+    the text and its entities."""
     terms = _terms(text, spans)
-    places: dict[str, list[tuple[int, int]]] = {}
-    for a, b, t in terms:
-        places.setdefault(t, []).append((a, b))
     starts = [a for a, _, _ in terms]
     out = []
     for a, kind, b in spans:
-        i = int(np.searchsorted(starts, a))
+        i = bisect_left(starts, a)
         near = [t for _, _, t in terms[max(0, i - window):i + window]]
         mark = int.from_bytes(hashlib.blake2b(" ".join(near).encode("utf-8", "replace"), digest_size=8).digest(), "big") >> 1
         name = entity(text, kind, a, b)
-        out.append((name, "", mark, []))  # counts the entity, also where it stands alone
-        out += [(name, t, mark, places[t]) for t in sorted(set(near))]
+        out.append((name, "", mark))  # counts the entity, also where it stands alone
+        out += [(name, t, mark) for t in sorted(set(near))]
     return out
 
 
 _SCAN = ("doc_id string, row bigint, digest bigint, spans array<struct<a:bigint,kind:int,b:bigint>>, entity string, "
-         "term string, mark bigint, places array<struct<a:bigint,b:bigint>>")
+         "term string, mark bigint")
+_ROWS = 50_000  # of a batch that goes back to Spark, and one document's more
 
 
 def scan(docs: DataFrame, window: int, ws: Workspace) -> DataFrame:
@@ -116,22 +114,21 @@ def scan(docs: DataFrame, window: int, ws: Workspace) -> DataFrame:
     def run(batches):
         number, row = TaskContext.get().partitionId() << 40, 0
         for batch in batches:
-            ids = batch["doc_id"].tolist()
-            for at in range(0, len(batch), 2000):
-                out = []
-                for doc, text, digest in zip(ids[at:at + 2000], batch["text"].iloc[at:at + 2000],
-                                             batch["digest"].iloc[at:at + 2000]):
-                    spans = base_spans(text)
-                    key = number + row
-                    row += 1
-                    listed = [{"a": a, "kind": k, "b": b} for a, k, b in spans]
-                    out.append((doc, key, digest, listed, None, None, None, None))
-                    if spans:
-                        out += [(doc, key, digest, None, e, t, m, [{"a": a, "b": b} for a, b in p])
-                                for e, t, m, p in contexts(text, spans, window)]
-                yield pd.DataFrame(out, columns=columns).astype({"mark": "Int64"})
-
-    columns = ["doc_id", "row", "digest", "spans", "entity", "term", "mark", "places"]
+            out = []
+            for doc, text, digest in zip(batch["doc_id"].tolist(), batch["text"], batch["digest"]):
+                spans = base_spans(text)
+                key = number + row
+                row += 1
+                listed = [{"a": a, "kind": k, "b": b} for a, k, b in spans]
+                out.append((doc, key, digest, listed, None, None, None))
+                if spans:
+                    out += [(doc, key, digest, None, e, t, m) for e, t, m in contexts(text, spans, window)]
+                if len(out) >= _ROWS:
+                    yield pd.DataFrame(out, columns=columns).astype({"mark": "Int64"})
+                    out = []
+            yield pd.DataFrame(out, columns=columns).astype({"mark": "Int64"})
+
+    columns = ["doc_id", "row", "digest", "spans", "entity", "term", "mark"]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return ws.put(id_long(id_text(rows.withColumn("digest", F.xxhash64("text"))).mapInPandas(run, _SCAN)), "scan")
 
@@ -176,38 +173,37 @@ def revealing(docs: DataFrame, scanned: DataFrame, threshold: float, contexts_ne
     return ws.put(pairs.where(F.col("disclosure") >= threshold).select("entity", "term", "disclosure"), "revealing")
 
 
-_PLACES = "doc_id string, digest bigint, entity string, term string, places array<struct<a:bigint,b:bigint>>"
+_PLACES = "id string, digest bigint, term string, places array<struct<a:bigint,b:bigint>>"
 
 
 def held(docs: DataFrame, shown: DataFrame) -> DataFrame:
-    """(id, digest, entity, term, places): the places of the terms of ``shown`` (entity, term) in the whole text of every
-    document that holds the entity. Fixed-size maps keep most others out; a few pass and need a join with ``shown``."""
-    sc = docs.sparkSession.sparkContext
-    terms = sc.broadcast(bitmap(shown.select("term").distinct()))
-    pairs = sc.broadcast(bitmap(shown.select(F.concat_ws("|", "entity", "term"))))
+    """(id, digest, term, places): the places of the terms of ``shown`` in the whole text of every document with an
+    entity, one row per term, however many entities it has. A map sized by its terms keeps most others out."""
+    terms = docs.sparkSession.sparkContext.broadcast(bitmap(shown.select("term").distinct()))
 
     def run(batches):
         for batch in batches:
-            for at in range(0, len(batch), 2000):
-                out = []
-                for doc, text, digest in zip(*(batch[c].iloc[at:at + 2000] for c in ("doc_id", "text", "digest"))):
-                    spans = base_spans(text)
-                    if not spans:
-                        continue
-                    places: dict[str, list[dict[str, int]]] = {}
-                    for a, b, t in _terms(text, spans):
-                        places.setdefault(t, []).append({"a": a, "b": b})
-                    own = list(places)
-                    own = list(itertools.compress(own, marked(terms.value, word_hashes(own).view(np.int64))))
-                    for e in sorted({entity(text, k, a, b) for a, k, b in spans}):
-                        fits = marked(pairs.value, word_hashes([f"{e}|{t}" for t in own]).view(np.int64))
-                        out += [(doc, digest, e, t, places[t]) for t in itertools.compress(own, fits)]
-                yield pd.DataFrame(out, columns=["doc_id", "digest", "entity", "term", "places"]).astype({"digest": "int64"})
-
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")).alias("doc_id"),
-                       F.col("text").cast("string").alias("text"))
-    found = rows.withColumn("digest", F.xxhash64("text")).mapInPandas(run, _PLACES)
-    return found.withColumnRenamed("doc_id", "id")
+            out = []
+            for doc, text, digest in zip(batch["id"], batch["text"], batch["digest"]):
+                spans = base_spans(text)
+                places: dict[str, list[dict[str, int]]] = {}
+                for a, b, t in _terms(text, spans) if spans else ():
+                    places.setdefault(t, []).append({"a": a, "b": b})
+                own = list(places)
+                out += [(doc, digest, t, places[t]) for t in itertools.compress(
+                    own, marked(terms.value, word_hashes(own).view(np.int64)))]
+                if len(out) >= _ROWS:
+                    yield pd.DataFrame(out, columns=columns).astype({"digest": "int64"})
+                    out = []
+            yield pd.DataFrame(out, columns=columns).astype({"digest": "int64"})
+
+    columns = ["id", "digest", "term", "places"]
+    rows = docs.select(_key("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.withColumn("digest", F.xxhash64("text")).mapInPandas(run, _PLACES)
+
+
+def _key(doc_id: str) -> Column:
+    return F.coalesce(F.col(doc_id).cast("long").cast("string"), F.lit("")).alias("id")
 
 
 def _number(spans: str, kind: int) -> Column:
@@ -230,16 +226,17 @@ def find(docs: DataFrame, window: int = 5, threshold: float = 0.8, contexts_need
     ws = ws or Workspace(docs.sparkSession)
     scanned = scan(docs, window, ws)
     shown = revealing(docs, scanned, threshold, contexts_needed, ws)
-    rows = scanned.where("spans is not null").select("doc_id", "row", "digest", "spans")
-    if everywhere:  # another pass may number rows differently
-        key = ["id", "digest"]
-        rows = rows.withColumn("id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-        near = held(docs, shown).join(shown, ["entity", "term"])
-    else:
-        key = ["row"]
-        near = scanned.where("spans is null").join(shown, ["entity", "term"])
-    marks = near.select(*key, "disclosure", F.explode("places").alias("p")).groupBy(*key, "p").agg(
-        F.max("disclosure").alias("d"))
+    rows = scanned.where("spans is not null").select("doc_id", "row", "digest", "spans", _key("doc_id"))
+    key = ["id", "digest"]  # another pass may number rows differently
+    places = ws.put(held(docs, shown), "places")
+    # Terms to entities first: a term is rare where it reveals many, so few rows arise; then those the document holds.
+    near = scanned.where("spans is null").select(_key("doc_id"), "digest", "entity", "term")
+    beside = [*key, "entity"] if everywhere else [*key, "entity", "term"]
+    holds = near.where("term = ''" if everywhere else "term <> ''").select(*beside)
+    shows = places.select(*key, "term").distinct().join(shown, "term").join(holds, beside, "left_semi")
+    shows = shows.groupBy(*key, "term").agg(F.max("disclosure").alias("d"))
+    marks = places.join(shows, [*key, "term"]).select(*key, "d", F.explode("places").alias("p")).groupBy(*key, "p").agg(
+        F.max("d").alias("d"))
     marks = marks.groupBy(*key).agg(F.collect_list(F.struct(
         F.col("p.a").alias("a"), F.when(F.col("d") >= removal, 5).otherwise(4).alias("kind"),
         F.col("p.b").alias("b"))).alias("more"))  # one list per document, no longer than its text
