@@ -30,22 +30,41 @@ LONG = 15
 BINS = 1000
 
 
+def _with(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _ends(lengths: Column) -> Column:
+    """Running sums of an array, in blocks of about the square root of its size: a sum appends to its own block only,
+    since an append copies the array it extends."""
+    none = F.array().cast("array<bigint>")
+
+    def running(block):
+        return F.aggregate(block, F.array(F.lit(0).cast("bigint")), lambda acc, v: F.concat(
+            acc, F.array(F.element_at(acc, -1) + v)))  # one more than the block has: begins with 0
+
+    def whole(x):
+        step = F.ceil(F.sqrt(F.size(x))).cast("int")
+        firsts = F.sequence(F.lit(1), F.size(x), step)
+        blocks = F.transform(firsts, lambda i: running(F.slice(x, i, step)))
+        return _with(blocks, lambda bs: F.flatten(F.zip_with(
+            bs, running(F.transform(bs, lambda b: F.element_at(b, -1))),
+            lambda b, before: F.transform(F.slice(F.coalesce(b, none), 2, step), lambda v: v + before))))
+
+    return _with(lengths, lambda x: F.when(F.size(x) > 0, whole(x)).otherwise(none))
+
+
 def _found(text: Column, pattern: str) -> Column:
     """(a, b, hit) of the leftmost non-overlapping matches. Each match is taken with the gap before it, anchored at the
     end of the last one, so that lengths give places and a text is gone through once."""
     both = rf"\G((?s:.*?))({pattern})"
     parts = F.arrays_zip(F.regexp_extract_all(text, F.lit(both), F.lit(1)).alias("gap"),
                          F.regexp_extract_all(text, F.lit(both), F.lit(2)).alias("hit"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<a:bigint,b:bigint,hit:string>>").alias("out"))
-
-    def add(acc, p):
-        a = acc["at"] + F.length(p["gap"])
-        b = a + F.length(p["hit"])
-        return F.struct(b.cast("long").alias("at"), F.concat(acc["out"], F.array(F.struct(
-            a.cast("long").alias("a"), b.cast("long").alias("b"), p["hit"].alias("hit")))).alias("out"))
-
-    return F.when(text.rlike(pattern), F.aggregate(parts, start, add, lambda acc: acc["out"])).otherwise(
-        F.array().cast("array<struct<a:bigint,b:bigint,hit:string>>"))
+    spans = _with(parts, lambda ps: F.zip_with(
+        ps, _ends(F.transform(ps, lambda p: (F.length(p["gap"]) + F.length(p["hit"])).cast("bigint"))),
+        lambda p, b: F.struct((b - F.length(p["hit"])).alias("a"), b.alias("b"), p["hit"].alias("hit"))))
+    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast("array<struct<a:bigint,b:bigint,hit:string>>"))
 
 
 def base_spans(text: Column) -> Column:

@@ -5,6 +5,7 @@ import math
 import random
 import re
 import string
+import time
 
 import numpy as np
 import pytest
@@ -234,8 +235,39 @@ def test_revealing_terms_far_from_their_entity(spark, people, corpus, odd, empty
         assert len(near) == len(whole) and all(x[:2] == y[:2] and x[2] <= y[2] for x, y in zip(near, whole))
 
 
+def test_page_of_addresses(spark):
+    """50,000 addresses and as many terms in one text take work that grows with the text, not with their product."""
+    page = " ".join(f"name{i} u{i}@example.org" for i in range(50_000))
+    docs = spark.createDataFrame([(1, page), (2, "Quentin q@x.org writes"), (3, "then Quentin asks q@x.org"), (4, "so it goes")],
+                                 "doc_id bigint, text string")
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in sanitise.find(docs, everywhere=True).collect()}
+    assert time.perf_counter() - began < 60
+    assert got[1].n_email == 50_000 and "remove:0:7" in got[2].spans and "remove:5:12" in got[3].spans and not got[4].found
+
+
 # Secrets
 
+def test_running_sums(spark):
+    sizes = [0, 1, 2, 3, 4, 5, 8, 9, 10, 99, 100, 101, 1000]
+    rows = [(n, [(7 * i) % 5 for i in range(n)]) for n in sizes]
+    got = spark.createDataFrame(rows, "n int, x array<bigint>").select("n", secrets._ends(F.col("x")).alias("s")).collect()
+    assert {r.n: r.s for r in got} == {n: list(itertools.accumulate(x)) for n, x in rows}
+
+
+def test_long_text_of_candidates(spark):
+    """A text of 5 MB with 400,000 candidates; their places are those of a plain scan."""
+    rng = random.Random(13)
+    text = " ".join("".join(rng.choices("aB3x9Q", k=12)) for _ in range(400_000))
+    began = time.perf_counter()
+    docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    got = docs.select(secrets._found(F.col("text"), secrets.CANDIDATE).alias("s")).select(
+        F.size("s"), F.element_at("s", -1), F.expr("aggregate(s, 0L, (acc, v) -> acc + v.a)")).first()
+    assert time.perf_counter() - began < 60
+    hits = [m.span() for m in re.finditer(secrets.CANDIDATE, text)]
+    assert got[0] == len(hits) and (got[1].a, got[1].b) == hits[-1] and got[2] == sum(a for a, _ in hits)
+
+
 def brute_secrets(text):
     text, out = text or "", []
     for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):
