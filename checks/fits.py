@@ -265,6 +265,50 @@ def _(spark, d):
         "feature_id", "k", "round(v.lam, 6) as lam", "round(iota, 6) as iota", "round(v.phi, 6) as phi")
 
 
+def _mass_and_weights(threshold: float) -> list[str]:
+    """Mean weights after the step, and the groups that the safe pruning rule keeps of at least two."""
+    return [
+        "pw as materialized (select k, r_k, w/(sum(w) over () + 1e-10) as w from (select k, r_k, exp(ln(greatest(rho/(rho+tau), 1e-10)) + "
+        "coalesce(sum(ln(greatest(1 - rho/(rho+tau), 1e-10))) over (order by k rows between unbounded preceding and 1 preceding), 0)) as w "
+        "from tk join tm using (k)))",
+        f"pk as materialized (select *, w > {threshold} and r_k > 2 as pass, row_number() over (order by w desc, k) as pos from pw)",
+        "kept as materialized (select k as old, row_number() over (order by k) - 1 as k from pk where "
+        "case when (select count(*) from pk where pass) < 2 then pos <= 2 else pass end)",
+        "was as materialized (select feature_id, tz.k as old, lam, phi from tz join tp using (feature_id, k))",
+    ]
+
+
+def _after_burn_in(spark, d, **given):
+    data, fitted, params, models = _one_step(spark, d)
+    models[0].p.update(given)
+    models[0].n_iter = models[0].p["burn_in"]
+    return stochastic.BatchFit(data, models, params, stochastic.batch_memberships(data, fitted.params, fitted.models))
+
+
+def _profile_rows(fitted):
+    return fitted.params.selectExpr("feature_id", "posexplode(arrays_zip(lam, phi)) as (k, v)").selectExpr(
+        "feature_id", "k", "round(v.lam, 6) as lam", "round(v.phi, 6) as phi")
+
+
+@query("prune_safe", with_sql(_step_sql() + _mass_and_weights(0.3),
+                              "select feature_id, k, round(lam, 6) as lam, round(phi, 6) as phi from was join kept using (old)"))
+def _(spark, d):
+    fitted = _after_burn_in(spark, d, prune_threshold=0.3)
+    sizes = {0: ob.membership_parts(fitted.resp, K).first()["mass"]}
+    return _profile_rows(stochastic.prune_safe(fitted, sizes))
+
+
+@query("merge_weighted", with_sql(_step_sql() + _mass_and_weights(0.3) + [
+    "dots as materialized (select a.old as i, b.old as j, sum(a.lam*b.lam) as dot from was a join was b using (feature_id) group by 1, 2)",
+    "pair as materialized (select g.i, g.j from dots g join dots a on a.i = g.i and a.j = g.i join dots b on b.i = g.j and b.j = g.j "
+    "where g.i < g.j and g.dot/sqrt(a.dot*b.dot) > 0.5 order by g.dot/sqrt(a.dot*b.dot) desc, g.i, g.j limit 1)",
+    "joined as materialized (select k as old, coalesce((select i from pair where j = k), k) as head, w from pw)",
+    "parts as materialized (select old, dense_rank() over (order by head) - 1 as k, w/sum(w) over (partition by head) as c from joined)",
+], "select feature_id, k, round(sum(c*lam), 6) as lam, round(sum(c*phi), 6) as phi from was join parts using (old) group by 1, 2"))
+def _(spark, d):
+    return _profile_rows(stochastic.merge_weighted(_after_burn_in(spark, d), threshold=0.5))
+
+
 # --- starts, moves and full fits (no SQL: hashes, k-means, many rounds) --------------------
 
 
@@ -281,9 +325,24 @@ def _(spark, d):
     return out.selectExpr("sample_id", "array_position(r, 1D) - 1 as label")
 
 
-@query("init_random")
+@query("init_random", with_sql([q.SUPPLIER_BRAND], f"""
+  select model_id, sample_id, k, round(u / sum(u) over (partition by model_id, sample_id), 9) as r from (
+    select model_id, sample_id, k, {q.draw('sample_id', 'seed', 'k')} as u
+    from (select distinct sample_id from sb) cross join (values (0, 3, 1), (1, 5, 2)) as t(model_id, groups, seed),
+    (select unnest(range(5)) as k) where k < groups)"""))
+def _(spark, d):
+    drawn = initial.init_random(prepared(spark, d).samples, [initial.Start(0, 3, 1), initial.Start(1, 5, 2)])
+    return drawn.selectExpr("model_id", "sample_id", "posexplode(r) as (k, r)").withColumn("r", F.round("r", 9))
+
+
+@query("init_noise", with_sql([q.SUPPLIER_BRAND], f"""
+  select sample_id, k, round(u / sum(u) over (partition by sample_id), 9) as r from (
+    select sample_id, k, case when sample_id % 3 = k then 1 else 0 end + 0.01 * {q.draw('sample_id', '0', 'k', seed=7)} as u
+    from (select distinct sample_id from sb), (select unnest(range(3)) as k))"""))
 def _(spark, d):
-    return initial.init_random(prepared(spark, d).samples, [initial.Start(0, 3, 1), initial.Start(1, 5, 2)])
+    start = initial.init_from_labels(start_labels(prepared(spark, d)), K)
+    noisy = initial.add_noise(start, seed=7)
+    return noisy.selectExpr("sample_id", "posexplode(r) as (k, r)").withColumn("r", F.round("r", 9))
 
 
 @query("init_noisy_kmeans")

@@ -225,15 +225,29 @@ def _(spark, d):
     return prep.band_by_range(read(spark, d, "orders").select("o_orderkey"), "o_orderkey", bands, "none")
 
 
-@query("mask_cells")
+@query("mask_cells", with_sql([DT], f"select * from dt where {q.draw('sample_id', 'feature_id', seed=1)} >= 0.15"))
 def _(spark, d):
     return prep.mask_cells(doc_token(spark, d), 0.15, seed=1)
 
 
-@query("mini_batch")
+def _batch_sql(size: int, iteration: int, seed: int) -> str:
+    return with_sql([
+        f"places as materialized (select doc_id as sample_id, row_number() over (order by {q.draw('doc_id', seed=seed)}, doc_id) - 1 as place from documents)",
+        f"first as materialized (select count(*) as n, floor(count(*) * {q.draw(chr(39) + 'batch' + chr(39), str(iteration), seed=seed)}) as f from places)",
+    ], f"select sample_id from places cross join first where (place - f + n) % n < {size}")
+
+
+@query("mini_batch", _batch_sql(256, 3, 42))
+def _(spark, d):
+    samples = read(spark, d, "documents").select(F.col("doc_id").alias("sample_id"))
+    return prep.mini_batch(prep.shuffled_places(samples, 42, workspace(spark)), samples.count(), 256, iteration=3, seed=42)
+
+
+@query("shuffled_places", f"""
+  select doc_id as sample_id, row_number() over (order by {q.draw('doc_id', seed=7)}, doc_id) - 1 as place from documents""")
 def _(spark, d):
     samples = read(spark, d, "documents").select(F.col("doc_id").alias("sample_id"))
-    return prep.mini_batch(samples, 256, iteration=3, seed=42)
+    return prep.shuffled_places(samples, 7, workspace(spark))
 
 
 # --- numeric building blocks ------------------------------------------------------------
@@ -272,7 +286,8 @@ def _(spark, d):
         "l_orderkey", "l_linenumber", f"round({sp.sigmoid_clip('(l_discount - 0.05D) * l_extendedprice')}, 9) as p")
 
 
-@query("hash_uniform")
+@query("hash_uniform", f"""
+  select cast(floor({q.draw('l_orderkey', 'l_linenumber', seed=3)} * 10) as bigint) as tenth, count(*) as n from lineitem group by 1""")
 def _(spark, d):
     u = sp.hash_uniform("l_orderkey", "l_linenumber", seed=3)
     drawn = read(spark, d, "lineitem").selectExpr(f"floor({u} * 10) as tenth")

@@ -48,6 +48,11 @@ def sigmoid(x: str) -> str:
     return f"least(greatest(1.0/(1.0+exp(-least(greatest({x}, -500), 500))), {EPS}), 1.0 - {EPS})"
 
 
+def draw(*keys: str, seed: int = 0) -> str:
+    """A number in [0, 1) from the first 13 hexadecimal digits of the md5 of the keys."""
+    return f"(cast('0x' || substr(md5(concat_ws('|', {', '.join(keys)}, '{seed}')), 1, 13) as bigint) / 4503599627370496.0)"
+
+
 def statement(ctes: list[str], select: str) -> str:
     return "with " + ",\n".join(ctes) + "\n" + select
 

@@ -9,6 +9,7 @@ K-row arithmetic between jobs.
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -128,8 +129,18 @@ def normalised(df: DataFrame, a: str, out: str) -> DataFrame:
 
 
 def hash_uniform(*cols: str, seed: int = 0) -> str:
-    """A repeatable draw from [0, 1) per row: same keys and seed, same number."""
-    return f"((xxhash64({', '.join(cols)}, {int(seed)}L) & {(1 << 53) - 1}L) / {num(1 << 53)})"
+    """A repeatable draw from [0, 1) per row: same keys and seed, same number.
+
+    The first 52 bits of the md5 of the keys' text and the seed, so that any engine, and ``hash_uniform_value``,
+    draw the same. Null keys are left out of the text.
+    """
+    keys = ", ".join(f"cast({c} as string)" for c in cols)
+    return f"(cast(conv(substr(md5(concat_ws('|', {keys}, '{int(seed)}')), 1, 13), 16, 10) as bigint) / {num(1 << 52)})"
+
+
+def hash_uniform_value(*keys, seed: int = 0) -> float:
+    text = "|".join([*(str(k) for k in keys), str(int(seed))])
+    return int(hashlib.md5(text.encode(), usedforsecurity=False).hexdigest()[:13], 16) / (1 << 52)
 
 
 def beta_kl(a: str, b: str, a0: str, b0: str) -> str:

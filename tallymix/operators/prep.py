@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallymix.functions.special import hash_uniform, num
+from tallymix.functions.special import hash_uniform, hash_uniform_value, num
+from tallymix.workspace import Workspace
 
 
 def filter_features(counts: DataFrame, min_total: float) -> DataFrame:
@@ -107,7 +108,34 @@ def mask_cells(counts: DataFrame, rate: float, seed: int) -> DataFrame:
     return counts.where(f"{hash_uniform('sample_id', 'feature_id', seed=seed)} >= {num(rate)}")
 
 
-def mini_batch(samples: DataFrame, size: int, iteration: int, seed: int) -> DataFrame:
-    """``size`` samples without replacement, the same ones for the same iteration and seed."""
-    draw = F.expr(f"xxhash64(sample_id, {int(iteration)}, {int(seed)}L)")
-    return samples.select("sample_id").orderBy(draw, "sample_id").limit(size)
+def shuffled_places(samples: DataFrame, seed: int, ws: Workspace) -> DataFrame:
+    """(sample_id, place): a fixed random order of the samples, places from 0 without gaps.
+
+    One sort spread over ranges of the draw; a place is the row's number in its range plus the sizes of the ranges
+    before it.
+    """
+    rows = samples.select("sample_id", F.expr(hash_uniform("sample_id", seed=seed)).alias("_u"))
+    rows = rows.orderBy("_u", "sample_id").select("sample_id", F.monotonically_increasing_id().alias("_at"))
+    rows = ws.put(rows, "shuffled").selectExpr("sample_id", "shiftright(_at, 33) as _part", "_at & 8589934591L as _at")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    sizes = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return rows.join(F.broadcast(sizes), "_part").select("sample_id", (F.col("_before") + F.col("_at")).alias("place"))
+
+
+def batch_window(n: int, size: int, iteration: int, seed: int) -> list[tuple[int, int]]:
+    """The places [from, to) of one batch: ``size`` in a row from a drawn one on, past the end from the front."""
+    first, size = int(n * hash_uniform_value("batch", iteration, seed=seed)), min(size, n)
+    whole = [(first, min(first + size, n)), (0, first + size - n)]
+    return [(a, b) for a, b in whole if a < b]
+
+
+def in_window(window: list[tuple[int, int]], column: str = "place") -> str:
+    """The condition of a window, as comparisons that reach the files."""
+    return " or ".join(f"({column} >= {a}L and {column} < {b}L)" for a, b in window) or "false"
+
+
+def mini_batch(places: DataFrame, n: int, size: int, iteration: int, seed: int) -> DataFrame:
+    """``size`` of the ``n`` samples of ``shuffled_places`` without replacement, the same ones for the same iteration
+    and seed. Each sample is as likely as any other; neighbours of the order share batches more often."""
+    return places.where(in_window(batch_window(n, size, iteration, seed))).select("sample_id")

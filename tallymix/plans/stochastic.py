@@ -23,7 +23,7 @@ from tallymix.operators import weights as wt
 from tallymix.operators.cells import CountData, sums_by_feature, sums_by_sample
 from tallymix.operators.initial import Start, add_noise, init_kmeans
 from tallymix.operators.likelihood import unfold
-from tallymix.operators.prep import mini_batch
+from tallymix.operators.prep import batch_window, in_window, shuffled_places
 from tallymix.plans.specs import relative_changes, remap_concentration, step_size
 
 DEFAULTS = dict(
@@ -277,6 +277,48 @@ def _sizes(fit: BatchFit) -> dict[int, list[float]]:
     return {r["model_id"]: [v or 0.0 for v in r["mass"][: fit.models[r["model_id"]].k]] for r in rows}
 
 
+STRETCHES = 1000  # folders of the cells in random order, at most
+
+
+@dataclass
+class BatchOrder:
+    """The count table in a random order of its samples, cut into stretches with a folder each, so that a batch, a run
+    of places, reads its own one or two folders and no others."""
+
+    data: CountData
+    cells: DataFrame  # as in data, with place and stretch
+    samples: DataFrame
+    per: int  # samples of a stretch
+    size: int
+    seed: int
+
+    def batch(self, t: int) -> CountData:
+        """The samples of step ``t`` and their cells."""
+        window = batch_window(self.data.n_samples, self.size, t, self.seed)
+        own = sorted({s for a, b in window for s in range(a // self.per, (b - 1) // self.per + 1)})
+        mine = f"stretch in ({', '.join(map(str, own)) or 'null'}) and ({in_window(window)})"
+        samples = self.samples.where(mine).drop("place", "stretch")
+        empty = None if self.data.empty_samples is None else samples.where("nnz = 0").select("sample_id")
+        return replace(self.data, cells=self.cells.where(mine).select(self.data.cell_columns), samples=samples,
+                       n_samples=sum(b - a for a, b in window), empty_samples=empty)
+
+
+def lay_out_batches(data: CountData, size: int | None, seed: int) -> BatchOrder:
+    """Write the cells and samples once in random order; the parts written are even in cells, and a hot sample's
+    slices may lie in several."""
+    n, ws = data.n_samples, data.ws
+    size = min(size or 256, n)
+    per = max(size, -(-n // STRETCHES), 1)
+    places = ws.put(shuffled_places(data.samples, seed, ws).selectExpr("*", f"cast(place div {per} as int) as stretch"), "places")
+    cells = data.with_samples(data.cells, places)
+    parts = max(data.buckets, min(ws.spark.sparkContext.defaultParallelism, -(-n // per)))
+    slices = [c for c in data.sample_key if c != "sample_id"]
+    cells = cells.repartitionByRange(parts, "place", *slices).sortWithinPartitions("stretch", "place")
+    samples = data.samples.join(places, "sample_id").repartitionByRange("place").sortWithinPartitions("stretch", "place")
+    return BatchOrder(data, ws.put(cells, "ordered-cells", folders_by="stretch"),
+                      ws.put(samples, "ordered-samples", folders_by="stretch"), per, size, seed)
+
+
 def start_batch_fit(data: CountData, params: dict[int, dict], resp: DataFrame) -> BatchFit:
     """Profiles, background and sticks from starting memberships."""
     ws = data.ws
@@ -304,21 +346,16 @@ def fit_stochastic(data: CountData, params: dict[int, dict], resp: DataFrame | N
         starts = [Start(i, p["k_max"], seed + i) for i, p in params.items()]
         resp = add_noise(init_kmeans(data, starts, n_init=3, max_iter=100), seed)
     fit = start_batch_fit(data, params, resp)
-    size = min(next(iter(params.values()))["batch_size"] or 256, data.n_samples)
+    order = lay_out_batches(data, next(iter(params.values()))["batch_size"], seed)
     limit = max(p["max_iter"] for p in params.values())
     # models that have converged go on with the others; one job serves all
     for t in range(1, limit + 1):
-        ids = mini_batch(data.samples, size, t, seed)
-        drawn = ws.put(data.samples.join(F.broadcast(ids), "sample_id"), "batch")  # at most ``size`` rows
-        cells = ws.put(data.cells.join(F.broadcast(drawn.select("sample_id")), "sample_id", "left_semi"), "batch-cells")
-        empty = None if data.empty_samples is None else data.empty_samples.join(F.broadcast(ids), "sample_id", "left_semi")
-        batch = replace(data, cells=cells, samples=drawn, n_samples=size, empty_samples=empty)
         old = fit.params
-        new, stepped = batch_step(batch, fit.params, fit.models, data.n_samples, t)
+        new, stepped = batch_step(order.batch(t), fit.params, fit.models, data.n_samples, t)
         for m in stepped.values():
             m.n_iter = t
         fit = BatchFit(data, stepped, new, fit.resp)
-        ws.release(old, drawn, cells)
+        ws.release(old)
         if t % 30 == 0 and all(t > m.p["burn_in"] for m in fit.models.values()):
             fit = prune_safe(fit, _sizes(fit))
         if t % 20 == 0:
@@ -331,6 +368,7 @@ def fit_stochastic(data: CountData, params: dict[int, dict], resp: DataFrame | N
                 m.converged = len(values) >= 5 and all(c < m.p["tol"] for c in relative_changes(values, 3))
             if all(m.converged for m in fit.models.values()):
                 break
+    ws.release(order.cells, order.samples)
     return finish(fit)
 
 

@@ -46,11 +46,13 @@ class Workspace:
         self._count += 1
         return f"{self.root}/{self._count:05d}-{name}"
 
-    def put(self, df: DataFrame, name: str, bucket_by: list[str] | None = None, buckets: int = 1) -> DataFrame:
+    def put(self, df: DataFrame, name: str, bucket_by: list[str] | None = None, buckets: int = 1,
+            folders_by: str | None = None) -> DataFrame:
         """Write ``df`` and return a frame that reads the written table.
 
         ``bucket_by`` keeps the rows hash-partitioned on disk, so that later joins
-        on those columns move only the other side.
+        on those columns move only the other side. ``folders_by`` gives each value of a
+        column its own folder, so that a condition on it reads no others.
         """
         path = self.path(name)
         if bucket_by:
@@ -65,7 +67,7 @@ class Workspace:
             out = self.spark.table(table)
         else:
             table = None
-            df.write.mode("error").parquet(path)
+            df.write.mode("error").parquet(path, partitionBy=folders_by)
             out = self.spark.read.schema(df.schema).parquet(path)
         self._known[id(out)] = (out, path, table)
         return out

@@ -5,10 +5,12 @@ import math
 import numpy as np
 import pytest
 from dense import lgam, psi
+from pyspark.sql import functions as F
 
 from planted import as_counts, as_labels, planted
-from tallymix.functions.special import digamma_value
+from tallymix.functions.special import digamma_value, hash_uniform, hash_uniform_value
 from tallymix.operators import metrics as mt
+from tallymix.operators import prep
 from tallymix.operators.cells import prepare
 from tallymix.operators.initial import init_from_labels
 from tallymix.plans import base, search, stochastic
@@ -71,6 +73,35 @@ def test_stochastic_fit_and_merge(spark, small):
     assert got.count() == len(x)
 
 
+def test_a_batch_reads_its_own_files(spark):
+    """200 samples, one of them hot, batches of 20: a step reads at most two of the ten folders, wrapping included."""
+    x, _ = planted(n=200, s=30, draws=60)
+    x[17] += 5
+    x[23] = 0
+    samples = spark.range(200).withColumnRenamed("id", "sample_id")
+    data = prepare(as_counts(spark, x), Workspace(spark), samples=samples, slice_rows=25)
+    order = stochastic.lay_out_batches(data, 20, 3)
+    assert order.samples.count() == 200 and order.cells.count() == np.count_nonzero(x) and "s_slice" in order.cells.columns
+    for t in range(1, 15):
+        batch = order.batch(t)
+        own = {r["sample_id"] for r in batch.samples.collect()}
+        assert batch.n_samples == len(own) == 20
+        got = batch.cells.groupBy("sample_id").agg(F.count("*"), F.sum("x")).collect()
+        assert {r[0]: (r[1], r[2]) for r in got} == {i: (np.count_nonzero(x[i]), x[i].sum()) for i in own if x[i].any()}
+        folders = {p.split("stretch=")[1].split("/")[0] for (p,) in
+                   batch.cells.select(F.input_file_name()).distinct().collect()}
+        scan = batch.cells._jdf.queryExecution().executedPlan().toString()
+        pushed = scan.split("PartitionFilters: [")[1].split("]")[0], scan.split("PushedFilters: [")[1].split("]")[0]
+        assert len(folders) <= 3 and "stretch" in pushed[0] and "place" in pushed[1]
+        assert (23 in own) == (23 in {r["sample_id"] for r in batch.empty_samples.collect()})
+
+
+def test_draws_are_those_of_the_driver(spark):
+    rows = spark.range(300).selectExpr("id", f"{hash_uniform('id', 'id % 7', seed=4)} as u").collect()
+    assert all(r["u"] == hash_uniform_value(r["id"], r["id"] % 7, seed=4) for r in rows)
+    assert 0.45 < np.mean([r["u"] for r in rows]) < 0.55
+
+
 def test_merge_weighted_averages_and_respects_the_floor(spark, small):
     _, _, data = small
     p = stochastic.stochastic_params(k_max=3, min_clusters=2)

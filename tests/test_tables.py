@@ -115,5 +115,16 @@ def test_masks_and_batches_are_repeatable(spark):
     share = kept.count() / counts.count()
     assert 0.6 < share < 0.8
     samples = as_labels(spark, np.zeros(40))
-    a = prep.mini_batch(samples, 10, 1, 5).collect()
-    assert len(set(a)) == 10 and a == prep.mini_batch(samples, 10, 1, 5).collect() != prep.mini_batch(samples, 10, 2, 5).collect()
+    ws = Workspace(spark)
+    order = prep.shuffled_places(samples, 5, ws)
+    places = {r["sample_id"]: r["place"] for r in order.collect()}
+    assert sorted(places.values()) == list(range(40))
+    again = prep.shuffled_places(samples.repartition(7), 5, ws)
+    assert places == {r["sample_id"]: r["place"] for r in again.collect()}
+    assert places != {r["sample_id"]: r["place"] for r in prep.shuffled_places(samples, 6, ws).collect()}
+    draws = [sorted(prep.mini_batch(order, 40, 10, t, 5).collect()) for t in (1, 2, 1)]
+    assert len(set(draws[0])) == 10 and draws[0] == draws[2] != draws[1]
+    assert sorted(r[0] for t in (1,) for r in prep.mini_batch(order, 40, 99, t, 5).collect()) == list(range(40))
+    assert prep.shuffled_places(samples.limit(0), 5, ws).count() == 0 and prep.batch_window(0, 10, 1, 5) == []
+    met = {r[0] for t in range(60) for a, b in prep.batch_window(40, 10, t, 5) for r in places.items() if a <= r[1] < b}
+    assert len(met) == 40
