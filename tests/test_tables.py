@@ -16,7 +16,8 @@ from tallymix.workspace import Workspace
 SMALL = "/root/testdata/sf0.001"
 SAMPLE = ["counts_from_tokens", "read_counts_wide", "tree_tips", "annotate_tips", "elog_sticks", "sweep_dp_memberships",
           "sweep_py_selection", "sweep_ssl_excess_profiles", "predict_mfm", "stochastic_profiles", "label_agreement",
-          "mini_batch", "mask_cells", "init_random", "merge_weighted", "silhouette_exact", "running_best", "encode_labels", "signatures_per_sample", "metrics_row",
+          "mini_batch", "mask_cells", "init_random", "merge_weighted",
+          "silhouette_exact", "running_best", "encode_labels", "signatures_per_sample", "metrics_row",
           "fit_ssl_excess"]  # a whole fit: frozen level, averaging, pruning, its own stop
 
 
