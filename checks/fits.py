@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import time
+from functools import lru_cache
 
 from pyspark.sql import functions as F
 
 from checks import sql as q
-from checks.data import K, prepared, read, start_labels, swept, workspace
+from checks.data import K, _session, prepared, read, start_labels, swept, workspace
+from checks.first_order import FirstOrder
 from checks.queries import _ARI, _UE_NORM, _silhouette_ctes, _sweeps, query, with_sql
 from checks.recursive import WholeFit
 from tallymix.operators import initial, metrics, report
@@ -478,17 +480,83 @@ def _(spark, d):
     return stochastic.predict_stochastic(stochastic.fit_stochastic(data, {0: p}, start, seed=5)).select("sample_id", "label")
 
 
-@query("fit_base")
+@lru_cache(maxsize=None)
+def _first_order(app: str, d: str):
+    """One whole first-order fit at its default rounds with its history, shared by the queries on it."""
+    data = prepared(_session(), d)
+    path = data.ws.path("base-history")
+    return fit(data, "base", k=K, init=start_labels(data), history_path=path), path
+
+
+def _base(spark, d):
+    return _first_order(spark.sparkContext.applicationId, d)
+
+
+_BASE = FirstOrder(K, 100, counts=q.SUPPLIER_BRAND.replace("sb as", "cnt as", 1))
+_SPARSE = FirstOrder(K, 100)  # for the rows that hold no fit
+
+
+@query("fit_base", _BASE.select(
+    "select sample_id, k as label, round(r, 4) as r, round(log_norm, 2) as log_norm from "
+    "(select *, row_number() over (partition by sample_id order by r desc, k) as pos from r1) where pos = 1"))
 def _(spark, d):
-    out = base.fit_base(prepared(spark, d), k=3, max_iter=2, init="random")
-    return report.hard_labels(out.resp).select("sample_id", "label")
+    resp = _base(spark, d)[0].resp
+    return report.hard_labels(resp).join(resp, ["model_id", "sample_id"]).selectExpr(
+        "sample_id", "label", "round(array_max(r), 4) as r", "round(log_norm, 2) as log_norm")
 
 
-@query("base_selection")
+@query("base_profiles", _BASE.select(
+    "select g.id as feature_id, g.k, round(g.a, 4) as gamma, round(f.a, 4) as iota, round(1 + f.b, 4) as xi1, "
+    "round(1 + n - f.b, 4) as xi2 from fin g join fin f on f.id = g.id and f.kind = 'ftr' cross join dim where g.kind = 'gam'"))
 def _(spark, d):
-    data = prepared(spark, d)
-    out = base.fit_base(data, k=3, max_iter=1, init=initial.init_from_labels(start_labels(data), K))
-    return report.rank_features(base.mean_selection(out))
+    rows = _base(spark, d)[0].params.selectExpr("feature_id", "posexplode(gamma) as (k, gamma)", "iota", "xi1", "xi2")
+    return rows.select("feature_id", "k", *[F.round(c, 4).alias(c) for c in ("gamma", "iota", "xi1", "xi2")])
+
+
+@query("base_selection", _BASE.select(
+    "select feature_id, round(avg(f), 5) as mean_selection from sel1 group by 1"))
+def _(spark, d):
+    ranked = report.rank_features(base.mean_selection(_base(spark, d)[0]))
+    return ranked.withColumn("mean_selection", F.round("mean_selection", 5))
+
+
+@query("base_cell_selection", _BASE.select("select sample_id, feature_id, round(f, 4) as selection from sel1"))
+def _(spark, d):
+    cells = base.cell_selection(_base(spark, d)[0])
+    return cells.select("sample_id", "feature_id", F.round("selection", 4).alias("selection"))
+
+
+@query("base_history", _BASE.select(
+    "select iter, feature_id, selection, mass from (select t as iter, id as feature_id, round(avg(a), 4) as selection from his "
+    "where kind = 'sel' group by 1, 2) join (select t as iter, round(sum(a), 2) as mass from his where kind = 'r' and k = 0 group by 1) "
+    "using (iter)", every=10))
+def _(spark, d):
+    path = _base(spark, d)[1]
+    cells = spark.read.parquet(f"{path}/cell_selection").groupBy("iter", "feature_id").agg(F.round(F.avg("f"), 4).alias("selection"))
+    masses = spark.read.parquet(f"{path}/resp").groupBy("iter").agg(F.round(F.expr("sum(r[0])"), 2).alias("mass"))
+    return cells.join(masses, "iter")
+
+
+@query("base_first_selection", "with " + ",\n".join(_SPARSE._start()) +
+       "\nselect sample_id, feature_id, round(f, 9) as selection from sel0")
+def _(spark, d):
+    data = prepared(spark, d, "doc_letter")
+    first = base.start_selection(data, _base_tiles(spark, d), [0])
+    return first.select("sample_id", "feature_id", F.round("selection", 9).alias("selection"))
+
+
+@lru_cache(maxsize=None)
+def _tiles_of(app: str, d: str):
+    return base.make_tiles(prepared(_session(), d, "doc_letter"), 100, 8)
+
+
+def _base_tiles(spark, d):
+    return _tiles_of(spark.sparkContext.applicationId, d)
+
+
+@query("base_tiles", "with " + ",\n".join(_SPARSE._start()) + "\nselect sample_id, feature_id, x from dx")
+def _(spark, d):
+    return base.cells_of(_base_tiles(spark, d))
 
 
 @query("fit_stream")

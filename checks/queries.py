@@ -504,7 +504,36 @@ def _(spark, d):
     return _long_resp(swept(spark, d, "dp_thermal", 1, beta=0.01))
 
 
-@query("responsibilities_density")
+def _density_sql(beta: float, share: float, squarings: int = 12, terms: int = 16) -> str:
+    """Diagonal of exp(M) by a power series of M / 2^squarings, squared again; M has the ring of groups beside its diagonal.
+
+    M is shifted by its largest row sum, which cancels in the normalised diagonal.
+    """
+    s = _sweeps("dp_density", 0)
+    s.expectations()
+    s.loglik()
+    off = f"-{beta}*{share}"
+    ctes = s.ctes + [
+        "h as materialized (select sample_id, k, case when top > 1e-10 then h / top else h end as h from (select *, max(h) over (partition by sample_id) as top "
+        "from (select sample_id, k, -(l + lp.e) - min(-(l + lp.e)) over (partition by sample_id) as h from ll0 join lp0 lp using (k))))",
+        f"mat as materialized (select a.sample_id, a.k as i, b.k as j, case when a.k = b.k then greatest(-{beta}*(1-{share})*a.h, -500) "
+        f"else {off} end as v from h a join h b using (sample_id))",
+        "shift as materialized (select sample_id, max(v) as c from (select sample_id, i, sum(case when i = j then v else abs(v) end) as v from mat group by 1, 2) group by 1)",
+        f"x0 as materialized (select sample_id, i, j, (v - case when i = j then c else 0 end) / {2.0 ** squarings} as v from mat join shift using (sample_id))",
+        "t0 as materialized (select sample_id, i, j, case when i = j then 1.0::double else 0.0::double end as v from x0)",
+    ]
+    for n in range(1, terms + 1):
+        ctes.append(f"t{n} as materialized (select a.sample_id, a.i, b.j, sum(a.v*b.v)/{n} as v from t{n - 1} a join x0 b on a.sample_id = b.sample_id and a.j = b.i group by 1, 2, 3)")
+    everything = " union all ".join(f"select * from t{n}" for n in range(terms + 1))
+    ctes.append(f"q0 as materialized (select sample_id, i, j, sum(v) as v from ({everything}) group by 1, 2, 3)")
+    for n in range(1, squarings + 1):
+        ctes.append(f"q{n} as materialized (select a.sample_id, a.i, b.j, sum(a.v*b.v) as v from q{n - 1} a join q{n - 1} b on a.sample_id = b.sample_id and a.j = b.i group by 1, 2, 3)")
+    return q.statement(ctes, f"""
+      select sample_id, k, round(g / sum(g) over (partition by sample_id), 6) as r from (
+        select sample_id, i as k, greatest(v / sum(v) over (partition by sample_id), {q.EPS}) as g from q{squarings} where i = j)""")
+
+
+@query("responsibilities_density", _density_sql(30.0, 0.5))
 def _(spark, d):
     data, state = prepared(spark, d), swept(spark, d, "dp_density", 0)
     resp = mx.memberships(data, FITS["dp_density"], state, 30.0, 0.5)

@@ -2,29 +2,35 @@
 
 Its selection varies over zero cells too, so the work is samples x features x groups by
 nature. Samples are cut into chunks and features into blocks; one row holds one tile
-(a chunk meeting a block) with the nonzero cells inside. A kernel evaluates tiles and
-returns sums by sample or by feature. Selection is never stored: it follows from the
-previous memberships and profiles and is recomputed inside the tile.
+(a chunk meeting a block) with the nonzero cells inside, laid out by chunk. A kernel evaluates
+tiles and returns sums by sample or by feature. Selection is never stored: it follows from the
+previous memberships and profiles and is recomputed inside the tile. Between rounds there is
+one row per model and chunk (memberships of this round and the one before) and one per model
+and feature (profiles, and the scores the round before had used).
 """
 
 from __future__ import annotations
 
+import copy
 import math
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymix.functions.special import digamma, digamma_array, digamma_value, lgamma_array, num, with_softmax
+from tallymix.functions.special import (
+    digamma, digamma_array, digamma_value, hash_uniform, lgamma_array, num, with_softmax)
 from tallymix.operators import weights as wt
 from tallymix.operators.cells import CountData
-from tallymix.operators.initial import Start, init_kmeans, init_random
+from tallymix.operators.initial import Start, init_from_labels, init_kmeans, init_random
 from tallymix.operators.likelihood import unfold
 from tallymix.operators.profiles import with_models
 
 CHUNK, BLOCK = 256, 4096  # samples and features of one tile
+MAX_BUCKETS = 20_000
 
 
 @dataclass
@@ -37,14 +43,15 @@ class BaseModel:
     b: list[float] = field(default_factory=list)
     gamma_sum: list[float] = field(default_factory=list)
     iota_sum: float = 0.0
-    log_norm: float = 0.0
+    log_norm: float = 0.0  # mean log normaliser of the last memberships, the bound starts are compared by
+    n_iter: int = 0
 
 
 @dataclass
 class Tiles:
     """The static part: chunks of samples, blocks of features, nonzero cells per tile."""
 
-    cells: DataFrame  # chunk, block, s, p, x (arrays)
+    cells: DataFrame  # chunk, block, s, p, x (arrays), bucketed by chunk
     samples: DataFrame  # sample_id, chunk, pos, n_i
     features: DataFrame  # feature_id, block, pos
     chunks: int
@@ -71,11 +78,23 @@ def make_tiles(data: CountData, chunk: int = CHUNK, block: int = BLOCK) -> Tiles
     tiles = grid.join(packed, ["chunk", "block"], "left").selectExpr(
         "chunk", "block", *[f"coalesce(transform(c, v -> v.{n}), array()) as {n}" for n in ("s", "p", "x")]
     )
-    return Tiles(ws.put(tiles, "tiles"), samples, features, chunks, blocks)
+    buckets = min(chunks, max(8, math.ceil(chunks * blocks / 512)), MAX_BUCKETS)
+    laid_out = ws.put(tiles.repartition(buckets, "chunk"), "tiles", bucket_by=["chunk"], buckets=buckets)
+    return Tiles(laid_out, samples, features, chunks, blocks)
 
 
-def _score_table(data: CountData, params: DataFrame, models: dict[int, BaseModel]) -> DataFrame:
-    """Per feature: means m, slopes A of the groups and the background, prior log rates."""
+def cells_of(tiles: Tiles) -> DataFrame:
+    """The tiles as rows again, zero cells included: ``sample_id, feature_id, x``."""
+    pairs = tiles.samples.select("chunk", "pos", "sample_id").join(tiles.features.selectExpr("feature_id", "block", "pos as p"))
+    found = tiles.cells.selectExpr("chunk", "block", "inline(arrays_zip(s, p, x))").withColumnRenamed("s", "pos")
+    return pairs.join(found, ["chunk", "block", "pos", "p"], "left").selectExpr("sample_id", "feature_id", "coalesce(x, 0D) as x")
+
+
+_SCALARS, _ARRAYS = ("mb", "ab", "p1", "p2"), ("m", "a")
+
+
+def _scored(data: CountData, params: DataFrame, models: dict[int, BaseModel]) -> DataFrame:
+    """Per feature: means m, slopes a of the groups and the background, prior log rates; the scores before stay beside."""
     rows = [(i, [digamma_value(s) for s in m.gamma_sum], m.gamma_sum, digamma_value(m.iota_sum), float(m.iota_sum))
             for i, m in models.items()]
     table = data.spark.createDataFrame(
@@ -87,52 +106,46 @@ def _score_table(data: CountData, params: DataFrame, models: dict[int, BaseModel
         "mb", F.expr("iota / i_sum"))
     slope = f"transform(gamma, (v, k) -> get(m, k) * ({digamma('v')} - get(psi_g, k) - ln(get(m, k))))"
     return staged.selectExpr(
-        "model_id", "feature_id", "m", f"{slope} as a", "mb", f"mb * ({digamma('iota')} - psi_i - ln(mb)) as ab",
+        "model_id", "block", "pos", "feature_id", "m", f"{slope} as a", "mb",
+        f"mb * ({digamma('iota')} - psi_i - ln(mb)) as ab",
         f"{digamma('xi1')} - {digamma('xi1 + xi2')} as p1", f"{digamma('xi2')} - {digamma('xi1 + xi2')} as p2",
+        *[c for c in params.columns if c.endswith("_old")],
     )
 
 
-_SCALARS, _ARRAYS = ("mb", "ab", "p1", "p2"), ("m", "a")
-
-
-def _blocks(tiles: Tiles, scores: DataFrame, suffix: str = "") -> DataFrame:
+def _blocks(scores: DataFrame) -> DataFrame:
     """One row per (model, block) with the block's features as flat arrays."""
-    placed = scores.join(tiles.features, "feature_id")
-    packed = placed.groupBy("model_id", "block").agg(  # at most BLOCK features, up to hash spread
-        F.sort_array(F.collect_list(F.struct("pos", "feature_id", *_ARRAYS, *_SCALARS))).alias("f")
+    names = [c for c in scores.columns if c not in ("model_id", "block", "pos", "feature_id")]
+    packed = scores.groupBy("model_id", "block").agg(  # at most BLOCK features, up to hash spread
+        F.sort_array(F.collect_list(F.struct("pos", "feature_id", *names))).alias("f")
     )
+    wide = [n for n in names if n.removesuffix("_old") in _ARRAYS]
     return packed.selectExpr(
-        "model_id", "block", f"transform(f, v -> v.feature_id) as features{suffix}",
-        *[f"transform(f, v -> v.{n}) as {n}{suffix}" for n in _SCALARS],
-        *[f"flatten(transform(f, v -> v.{n})) as {n}{suffix}" for n in _ARRAYS],
-    )
+        "model_id", "block", "transform(f, v -> v.feature_id) as features",
+        *[f"{'flatten(' if n in wide else '('}transform(f, v -> v.{n})) as {n}" for n in names])
 
 
-def _chunks(tiles: Tiles, resp: dict[str, DataFrame]) -> DataFrame:
-    """One row per (model, chunk) with sample ids, totals and the given memberships as flat arrays."""
-    rows = None
-    for name, r in resp.items():
-        r = r.withColumnRenamed("r", name)
-        rows = r if rows is None else rows.join(r, ["model_id", "sample_id"])
-    placed = rows.join(tiles.samples, "sample_id")
-    packed = placed.groupBy("model_id", "chunk").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "sample_id", "n_i", *resp))).alias("s_")
-    )
+def _packed(rows: DataFrame, extra: tuple = ()) -> DataFrame:
+    """One row per (model, chunk): samples, totals, memberships now and before as flat arrays."""
+    names = ("sample_id", "n_i", "r", "r_before", *extra)
+    packed = rows.groupBy("model_id", "chunk").agg(  # at most CHUNK samples, up to hash spread
+        F.sort_array(F.collect_list(F.struct("pos", *names))).alias("s_"))
     return packed.selectExpr(
         "model_id", "chunk", "transform(s_, v -> v.sample_id) as samples", "transform(s_, v -> v.n_i) as n_i",
-        *[f"flatten(transform(s_, v -> v.{n})) as {n}" for n in resp],
-    )
+        "flatten(transform(s_, v -> v.r)) as r", "flatten(transform(s_, v -> v.r_before)) as r_before",
+        *[f"transform(s_, v -> v.{n}) as {n}" for n in extra])
 
 
-def _tile_rows(data: CountData, tiles: Tiles, chunks: DataFrame, blocks: DataFrame, width: int, n_models: int) -> DataFrame:
-    """Tiles with everything their kernel needs."""
-    rows = tiles.cells.join(chunks, "chunk")
-    if data.feature_rows_fit(4 * width + 8, n_models):
-        return rows.join(F.broadcast(blocks), ["model_id", "block"])
+def _tile_rows(data: CountData, tiles: Tiles, state: DataFrame, blocks: DataFrame, width: int, n_models: int) -> DataFrame:
+    """Tiles with everything their kernel needs; the cells stay where they lie."""
+    rows = tiles.cells.join(state, "chunk")
+    keys = ["model_id", "block"] if "model_id" in blocks.columns else ["block"]
+    if data.feature_rows_fit(width, n_models):
+        return rows.join(F.broadcast(blocks), keys)
     salts = max(1, tiles.chunks // 1024)  # many tiles share a block: repeat blocks, spread tiles
     spread = rows.withColumn("salt", F.expr(f"chunk % {salts}"))
     repeated = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return spread.join(repeated, ["model_id", "block", "salt"])
+    return spread.join(repeated, [*keys, "salt"])
 
 
 class _Tile:
@@ -166,58 +179,125 @@ class _Tile:
         return (yes + 1e-6) / (yes + no + 1e-6)
 
 
-def first_selection(seed: int, model_id: int, chunk: int, block: int, shape) -> np.ndarray:
+_WORD = 1 << 32
+
+
+def _draws(codes: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """A uniform draw per pair of a sample's and a feature's 32-bit code (an integer hash that SQL repeats)."""
+    h = (codes[:, None] + others[None, :]) % _WORD
+    for _ in range(2):
+        h = ((h >> 16) ^ h) * 0x45D9F3B % _WORD
+    return ((h >> 16) ^ h) / _WORD
+
+
+def first_selection(codes, first, second) -> np.ndarray:
     """Repeatable start: share of the first of two uniform draws."""
-    u = np.random.default_rng([seed, model_id, chunk, block]).random((2, *shape))
-    return u[0] / np.maximum(u[0] + u[1], 1e-300)
+    codes, first, second = (np.asarray(v, dtype=np.int64) for v in (codes, first, second))
+    u, v = _draws(codes, first), _draws(codes, second)
+    return u / np.maximum(u + v, 1e-300)
+
+
+def _code(*keys: str, seed: int) -> str:
+    return f"cast({hash_uniform(*keys, seed=seed)} * {_WORD}D as bigint)"
+
+
+def _first_blocks(tiles: Tiles, seed: int) -> DataFrame:
+    """One row per block: its features and their two codes."""
+    coded = tiles.features.selectExpr("block", "pos", "feature_id", f"{_code('feature_id', '0', seed=seed)} as t0",
+                                      f"{_code('feature_id', '1', seed=seed)} as t1")
+    packed = coded.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("pos", "feature_id", "t0", "t1"))).alias("f"))
+    return packed.selectExpr("block", "transform(f, v -> v.feature_id) as features",
+                             "transform(f, v -> v.t0) as t0", "transform(f, v -> v.t1) as t1")
+
+
+def _first_state(tiles: Tiles, resp: DataFrame, seed: int) -> DataFrame:
+    """Packed starting memberships with the samples' codes for the first selection."""
+    rows = resp.join(tiles.samples, "sample_id").selectExpr(
+        "model_id", "chunk", "pos", "sample_id", "n_i", "r", "r as r_before",
+        f"{_code('model_id', 'sample_id', seed=seed)} as code")
+    return _packed(rows, ("code",))
+
+
+def start_selection(data: CountData, tiles: Tiles, models: list[int], seed: int = 42) -> DataFrame:
+    """The random first selection of every cell: ``model_id, sample_id, feature_id, selection``."""
+    sample_type, feature_type = _types(data)
+    state = _first_state(tiles, with_models(data.samples.selectExpr("sample_id", "array(1D) as r"), models), seed)
+
+    def run(batches):
+        for row in _rows(batches):
+            sel = first_selection(row["code"], row["t0"], row["t1"])
+            yield _cell_frame(row, sel)
+
+    rows = _tile_rows(data, tiles, state, _first_blocks(tiles, seed), 2, 1)
+    return rows.mapInPandas(
+        run, f"model_id int, sample_id {sample_type}, feature_id {feature_type}, selection double")
+
+
+def _rows(batches):
+    for pdf in batches:
+        for _, row in pdf.iterrows():
+            yield row
+
+
+def _cell_frame(row, sel: np.ndarray) -> pd.DataFrame:
+    n, s = sel.shape
+    return pd.DataFrame({"model_id": row["model_id"], "sample_id": np.repeat(row["samples"], s),
+                         "feature_id": np.tile(row["features"], n), "selection": sel.ravel()})
+
 
+def _sample_kernel(first: bool):
+    """Log-likelihoods per sample of a tile, from the selection that the round before left."""
 
-def _kernel(phase: str, seed: int, first: bool):
     def run(batches):
-        for pdf in batches:
-            for _, row in pdf.iterrows():
-                tile, n = _Tile(row), len(row["n_i"])
-                gains, r1 = tile.gains(), np.asarray(row["r1"], float).reshape(n, -1)
-                if phase == "sample":
-                    shape = (n, len(tile.mb))
-                    if first:
-                        sel = first_selection(seed, row["model_id"], row["chunk"], row["block"], shape)
-                    else:
-                        sel = _Tile(row, "_old").selection(np.asarray(row["r2"], float).reshape(n, -1))
-                    lg, ps, _, _ = gains
-                    ll = tile.d[:, None] * (sel @ tile.a)
-                    np.add.at(ll, tile.s, sel[tile.s, tile.p][:, None] * (lg + tile.a[tile.p] * ps))
-                    yield pd.DataFrame({"model_id": row["model_id"], "sample_id": row["samples"], "ll": list(ll)})
-                    continue
-                sel = tile.selection(r1, gains)
-                if phase == "cells":
-                    yield pd.DataFrame({
-                        "model_id": row["model_id"], "sample_id": np.repeat(row["samples"], len(tile.mb)),
-                        "feature_id": np.tile(row["features"], n), "selection": sel.ravel()})
-                    continue
-                r = np.asarray(row["r0"], float).reshape(n, -1)
-                _, ps, _, psb = gains
-                g = (sel * tile.d[:, None]).T @ r
-                np.add.at(g, tile.p, r[tile.s] * sel[tile.s, tile.p][:, None] * ps)
-                out = 1.0 - sel
-                i = (out * tile.d[:, None]).sum(0)
-                np.add.at(i, tile.p, out[tile.s, tile.p] * psb)
-                yield pd.DataFrame({
-                    "model_id": row["model_id"], "feature_id": row["features"], "sel": sel.sum(0), "g": list(g), "i": i})
+        for row in _rows(batches):
+            tile, n = _Tile(row), len(row["n_i"])
+            r = np.asarray(row["r"], float).reshape(n, -1)
+            if first:
+                sel = first_selection(row["code"], row["t0"], row["t1"])
+            else:
+                sel = _Tile(row, "_old").selection(np.asarray(row["r_before"], float).reshape(n, -1))
+            lg, ps, _, _ = tile.gains()
+            ll = tile.d[:, None] * (sel @ tile.a) - (sel.sum(1) * lgamma_array(tile.n_i + 1.0))[:, None]
+            np.add.at(ll, tile.s, sel[tile.s, tile.p][:, None] * (lg + tile.a[tile.p] * ps))
+            yield pd.DataFrame({"model_id": row["model_id"], "chunk": row["chunk"], "pos": np.arange(n, dtype=np.int32),
+                                "sample_id": row["samples"], "n_i": tile.n_i, "r": list(r), "ll": list(ll)})
 
     return run
 
 
+def _feature_kernel(batches):
+    """Sums per feature of a tile: selection, profile gains weighted by the new memberships, background gains."""
+    for row in _rows(batches):
+        tile, n = _Tile(row), len(row["n_i"])
+        gains = tile.gains()
+        sel = tile.selection(np.asarray(row["r_before"], float).reshape(n, -1), gains)
+        r = np.asarray(row["r"], float).reshape(n, -1)
+        _, ps, _, psb = gains
+        g = (sel * tile.d[:, None]).T @ r
+        np.add.at(g, tile.p, r[tile.s] * sel[tile.s, tile.p][:, None] * ps)
+        out = 1.0 - sel
+        i = (out * tile.d[:, None]).sum(0)
+        np.add.at(i, tile.p, out[tile.s, tile.p] * psb)
+        yield pd.DataFrame({"model_id": row["model_id"], "feature_id": row["features"], "sel": sel.sum(0), "g": list(g), "i": i})
+
+
+def _cell_kernel(batches):
+    for row in _rows(batches):
+        yield _cell_frame(row, _Tile(row).selection(np.asarray(row["r_before"], float).reshape(len(row["n_i"]), -1)))
+
+
 @dataclass
 class BaseFit:
     data: CountData
     tiles: Tiles
     models: dict[int, BaseModel]
-    params: DataFrame  # model_id, feature_id, gamma, iota, xi1, xi2
-    resp: DataFrame
-    last_params: DataFrame  # those the current selection follows from
-    last_resp: DataFrame
-    last_models: dict[int, BaseModel]
+    params: DataFrame  # model_id, block, pos, feature_id, gamma, iota, xi1, xi2 and the scores before
+    state: DataFrame  # packed memberships: the last ones, and those the last selection follows from
+
+    @property
+    def resp(self) -> DataFrame:
+        """``model_id, sample_id, r, log_norm`` of the last memberships."""
+        return _unpacked(self.state, self.models)
 
 
 def _types(data: CountData) -> tuple[str, str]:
@@ -225,6 +305,12 @@ def _types(data: CountData) -> tuple[str, str]:
             data.features.schema["feature_id"].dataType.simpleString())
 
 
+def _unpacked(state: DataFrame, models: dict[int, BaseModel]) -> DataFrame:
+    k = max(m.k for m in models.values())
+    rows = state.selectExpr("model_id", "r as _r", "log_norm as _l", "posexplode(samples) as (_i, sample_id)")
+    return rows.selectExpr("model_id", "sample_id", f"slice(_r, _i * {k} + 1, {k}) as r", "get(_l, _i) as log_norm")
+
+
 def _read_sums(params: DataFrame, models: dict[int, BaseModel]) -> None:
     width = max(m.k for m in models.values())
     flat = params.selectExpr("model_id", "iota", *unfold("gamma", "g", width))
@@ -234,133 +320,156 @@ def _read_sums(params: DataFrame, models: dict[int, BaseModel]) -> None:
         m.iota_sum, m.gamma_sum = r["iota"], [r[f"g{k}"] for k in range(m.k)]
 
 
-def _weights(resp: DataFrame, models: dict[int, BaseModel]) -> None:
-    width = max(m.k for m in models.values())
-    flat = resp.selectExpr("model_id", *unfold("r", "r", width))
-    for row in flat.groupBy("model_id").agg(*[F.expr(f"sum(r{k}) as r{k}") for k in range(width)]).collect():
+def _read_weights(state: DataFrame, models: dict[int, BaseModel]) -> None:
+    """Stick parameters from the masses; the mean log normaliser where the table has it."""
+    k = max(m.k for m in models.values())
+    at = "aggregate(sequence(0, size(samples) - 1), 0D, (acc, i) -> acc + get(r, i * {0} + {1}))"
+    logs = "aggregate(log_norm, 0D, (acc, v) -> acc + v)" if "log_norm" in state.columns else "0D"
+    flat = state.selectExpr("model_id", "size(samples) as n", f"{logs} as l", *[f"{at.format(k, j)} as r{j}" for j in range(k)])
+    names = ["n", "l", *[f"r{j}" for j in range(k)]]
+    for row in flat.groupBy("model_id").agg(*[F.expr(f"sum({n}) as {n}") for n in names]).collect():
         m = models[row["model_id"]]
-        mass = [row[f"r{k}"] + 10 * np.finfo(float).eps for k in range(m.k)]
+        mass = [row[f"r{j}"] + 10 * np.finfo(float).eps for j in range(m.k)]
         m.a, m.b = wt.update("dp", mass, {"nu": m.prior})
+        m.log_norm = row["l"] / row["n"]
+
+
+def _memberships(data: CountData, tiles: Tiles, models: dict[int, BaseModel], state: DataFrame, scores: DataFrame,
+                 first: DataFrame | None) -> DataFrame:
+    """The next packed state, from the selection before this round."""
+    k = max(m.k for m in models.values())
+    blocks = _blocks(scores)
+    if first is not None:
+        blocks = blocks.join(first.drop("features"), "block")
+    rows = _tile_rows(data, tiles, state, blocks, 4 * k + 8, len(models))
+    sample_type, _ = _types(data)
+    parts = rows.mapInPandas(
+        _sample_kernel(first is not None),
+        f"model_id int, chunk int, pos int, sample_id {sample_type}, n_i double, r array<double>, ll array<double>")
+    keys = ["model_id", "chunk", "pos", "sample_id", "n_i"]
+    sums = parts.selectExpr(*keys, *unfold("r", "b", k), *unfold("ll", "l", k)).groupBy(*keys).agg(
+        *[F.expr(f"max(b{j}) as b{j}") for j in range(k)], *[F.expr(f"sum(l{j}) as l{j}") for j in range(k)])
+    table = F.broadcast(data.spark.createDataFrame(
+        pd.DataFrame([(i, wt.elog(m.a, m.b)) for i, m in models.items()], columns=["model_id", "elog_pi"]),
+        "model_id int, elog_pi array<double>"))
+    logit = f"zip_with(elog_pi, array({', '.join(f'l{j}' for j in range(k))}), (e, v) -> e + v)"
+    staged = sums.join(table, "model_id").selectExpr(
+        *keys, f"array({', '.join(f'b{j}' for j in range(k))}) as r_before", f"{logit} as logit")
+    return _packed(with_softmax(staged, "logit", "r", None, "log_norm"), ("log_norm",))
 
 
 def fit_base(data: CountData, k: int = 1, max_iter: int = 100, init: str | DataFrame = "kmeans", seed: int = 42,
              n_init: int = 1, weight_prior: float | None = None, select_prior: float = 1.0,
-             floor: float | None = 1e-10, tiles: Tiles | None = None) -> BaseFit:
+             floor: float | None = 1e-10, tiles: Tiles | None = None, history_path: str | None = None,
+             history_every: int = 10) -> BaseFit:
     """Fixed number of rounds of the first-order model; each start is a model of its own.
 
-    ``floor`` keeps the concentrations positive, which the plain update does not ensure.
+    ``init`` is ``kmeans``, ``random``, memberships, or labels ``(sample_id, label)``, which every start then shares; the
+    random first selection differs between starts. ``floor`` keeps the concentrations positive, which the plain
+    update does not ensure. ``history_path`` keeps memberships and the selection of every cell of every
+    ``history_every``-th round (samples x features rows each).
     """
-    import copy
-
     ws = data.ws
     tiles = tiles or make_tiles(data)
     models = {i: BaseModel(i, k, 1.0 / k if weight_prior is None else weight_prior, select_prior) for i in range(n_init)}
     starts = [Start(i, k, seed + i) for i in models]
     if isinstance(init, DataFrame):
-        resp = init
+        resp = init if "r" in init.columns else reduce(DataFrame.unionByName, [init_from_labels(init, k, i) for i in models])
     elif init == "kmeans":
         resp = init_kmeans(data, starts, n_init=1, log1p=False)
     else:
         resp = init_random(data.samples, starts)
-    resp = ws.put(resp.select("model_id", "sample_id", "r"), "resp")
-    _weights(resp, models)
+    state = ws.put(_first_state(tiles, resp.select("model_id", "sample_id", "r"), seed), "chunks")
+    _read_weights(state, models)
     # the random first selection enters the rates through its sums, one pass over the tiles
-    sample_type, feature_type = _types(data)
-    sel0 = _first_sums(data, tiles, resp, models, seed, feature_type)
-    n = num(data.n_samples)
+    n, ones = num(data.n_samples), ", ".join(["1D"] * k)
+    rates = (f"{num(select_prior)} + sel as xi1", f"{num(select_prior)} + {n} - sel as xi2")
+    first = ws.put(_first_blocks(tiles, seed), "first")
     params = ws.put(
-        with_models(data.features.select("feature_id"), sorted(models)).join(sel0, ["model_id", "feature_id"]).selectExpr(
-            "model_id", "feature_id", f"transform(sequence(0, {k - 1}), i -> 1D) as gamma", "1D as iota",
-            f"{num(select_prior)} + sel as xi1", f"{num(select_prior)} + {n} - sel as xi2"), "params")
+        tiles.features.join(_first_sums(data, tiles, state, first), "feature_id").selectExpr(
+            "model_id", "block", "pos", "feature_id", f"array({ones}) as gamma", "1D as iota", *rates), "params")
     _read_sums(params, models)
-    last = (params, resp, copy.deepcopy(models))
     for t in range(1, max_iter + 1):
-        scores = _score_table(data, params, models)
-        old_scores = _score_table(data, last[0], last[2]) if t > 1 else None
-        new_resp = ws.put(_memberships(data, tiles, models, resp, scores, last[1], old_scores, seed), "resp")
-        chunks = _chunks(tiles, {"r0": new_resp.select("model_id", "sample_id", "r"), "r1": resp.select("model_id", "sample_id", "r")})
-        rows = _tile_rows(data, tiles, chunks, _blocks(tiles, scores), k, len(models))
+        scores = _scored(data, params, models)
+        new_state = ws.put(_memberships(data, tiles, models, state, scores, first if t == 1 else None), "chunks")
+        blocks = _blocks(scores)
+        rows = _tile_rows(data, tiles, new_state, blocks, 4 * k + 8, len(models))
         parts = rows.mapInPandas(
-            _kernel("feature", seed, False), f"model_id int, feature_id {feature_type}, sel double, g array<double>, i double")
+            _feature_kernel, f"model_id int, feature_id {_types(data)[1]}, sel double, g array<double>, i double")
         flat = parts.selectExpr("model_id", "feature_id", "sel", "i", *unfold("g", "g", k))
         sums = flat.groupBy("model_id", "feature_id").agg(
             F.expr("sum(sel) as sel"), F.expr("sum(i) as i"), *[F.expr(f"sum(g{j}) as g{j}") for j in range(k)])
         listed = ", ".join(f"g{j}" for j in range(k))
         low = (lambda e: f"greatest({e}, {num(floor)})") if floor else (lambda e: e)
-        updated = scores.select("model_id", "feature_id", "m", "mb").join(sums, ["model_id", "feature_id"])
+        used = [*_ARRAYS, *_SCALARS]
+        updated = scores.select("model_id", "block", "pos", "feature_id", *used).join(sums, ["model_id", "feature_id"])
         new_params = ws.put(
             updated.selectExpr(
-                "model_id", "feature_id", f"zip_with(m, array({listed}), (v, g) -> {low('1D + v * g')}) as gamma",
-                f"{low('1D + mb * i')} as iota", f"{num(select_prior)} + sel as xi1", f"{num(select_prior)} + {n} - sel as xi2"),
+                "model_id", "block", "pos", "feature_id",
+                f"zip_with(m, array({listed}), (v, g) -> {low('1D + v * g')}) as gamma", f"{low('1D + mb * i')} as iota",
+                *rates, *[f"{c} as {c}_old" for c in used]),
             "params")
-        last = (params, resp, models)
+        if history_path and t % history_every == 0:
+            _save_round(data, tiles, new_state, blocks, models, history_path, t)
+        ws.release(state, params)
         models = copy.deepcopy(models)
-        params, resp = new_params, new_resp
-        _weights(resp, models)
+        state, params = new_state, new_params
+        _read_weights(state, models)
         _read_sums(params, models)
-        for r in resp.groupBy("model_id").agg(F.avg("log_norm").alias("v")).collect():
-            models[r["model_id"]].log_norm = r["v"]
+        for m in models.values():
+            m.n_iter = t
     # one more membership step, as the rounds end with the profiles
-    scores, old_scores = _score_table(data, params, models), _score_table(data, last[0], last[2])
     final = ws.put(
-        _memberships(data, tiles, models, resp, scores, last[1], old_scores if max_iter else None, seed), "resp")
-    return BaseFit(data, tiles, models, params, final, params, resp, models)
+        _memberships(data, tiles, models, state, _scored(data, params, models), None if max_iter else first), "chunks")
+    for r in _unpacked(final, models).groupBy("model_id").agg(F.avg("log_norm").alias("v")).collect():
+        models[r["model_id"]].log_norm = r["v"]
+    ws.release(state, first)
+    return BaseFit(data, tiles, models, params, final)
 
 
-def _first_sums(data, tiles, resp, models, seed, feature_type) -> DataFrame:
+def _first_sums(data: CountData, tiles: Tiles, state: DataFrame, first: DataFrame) -> DataFrame:
     """Sums by feature of the random first selection."""
-    blocks = tiles.features.groupBy("block").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "feature_id"))).alias("f")
-    ).selectExpr("block", "transform(f, v -> v.feature_id) as features")
-    chunks = tiles.samples.groupBy("chunk").agg(F.count("*").alias("n"))
-    rows = with_models(tiles.cells.select("chunk", "block").join(chunks, "chunk").join(blocks, "block"), sorted(models))
-
     def run(batches):
-        for pdf in batches:
-            for _, row in pdf.iterrows():
-                sel = first_selection(seed, row["model_id"], row["chunk"], row["block"], (row["n"], len(row["features"])))
-                yield pd.DataFrame({"model_id": row["model_id"], "feature_id": row["features"], "sel": sel.sum(0)})
+        for row in _rows(batches):
+            sel = first_selection(row["code"], row["t0"], row["t1"])
+            yield pd.DataFrame({"model_id": row["model_id"], "feature_id": row["features"], "sel": sel.sum(0)})
 
-    parts = rows.mapInPandas(run, f"model_id int, feature_id {feature_type}, sel double")
+    rows = _tile_rows(data, tiles, state, first, 2, 1)
+    parts = rows.mapInPandas(run, f"model_id int, feature_id {_types(data)[1]}, sel double")
     return parts.groupBy("model_id", "feature_id").agg(F.sum("sel").alias("sel"))
 
 
-def _memberships(data, tiles, models, resp, scores, last_resp, old_scores, seed) -> DataFrame:
-    """``model_id, sample_id, r, log_norm`` from the selection before this round."""
-    k = max(m.k for m in models.values())
-    first = old_scores is None
-    given = {"r1": resp.select("model_id", "sample_id", "r")}
-    blocks = _blocks(tiles, scores)
-    if not first:
-        given["r2"] = last_resp.select("model_id", "sample_id", "r")
-        blocks = blocks.join(_blocks(tiles, old_scores, "_old"), ["model_id", "block"])
-    rows = _tile_rows(data, tiles, _chunks(tiles, given), blocks, 2 * k, len(models))
-    sample_type, _ = _types(data)
-    parts = rows.mapInPandas(_kernel("sample", seed, first), f"model_id int, sample_id {sample_type}, ll array<double>")
-    sums = parts.selectExpr("model_id", "sample_id", *unfold("ll", "l", k)).groupBy("model_id", "sample_id").agg(
-        *[F.expr(f"sum(l{j}) as l{j}") for j in range(k)])
-    table = F.broadcast(data.spark.createDataFrame(
-        pd.DataFrame([(i, wt.elog(m.a, m.b)) for i, m in models.items()], columns=["model_id", "elog_pi"]),
-        "model_id int, elog_pi array<double>"))
-    logit = f"zip_with(elog_pi, array({', '.join(f'l{j}' for j in range(k))}), (e, v) -> e + v)"
-    staged = sums.join(table, "model_id").selectExpr("model_id", "sample_id", f"{logit} as logit")
-    return with_softmax(staged, "logit", "r", None, "log_norm").select("model_id", "sample_id", "r", "log_norm")
+def _cells(data: CountData, tiles: Tiles, state: DataFrame, blocks: DataFrame, models: dict[int, BaseModel]) -> DataFrame:
+    sample_type, feature_type = _types(data)
+    rows = _tile_rows(data, tiles, state, blocks, 4 * max(m.k for m in models.values()) + 8, len(models))
+    return rows.mapInPandas(
+        _cell_kernel, f"model_id int, sample_id {sample_type}, feature_id {feature_type}, selection double")
 
 
-def mean_selection(fit: BaseFit, select_prior: float = 1.0) -> DataFrame:
-    """Mean selection per feature after the last round: ``model_id, feature_id, selection``."""
-    n = num(fit.data.n_samples)
-    return fit.params.selectExpr("model_id", "feature_id", f"(xi1 - {num(select_prior)}) / {n} as selection")
+def _save_round(data, tiles, state, blocks, models, path: str, t: int) -> None:
+    """Append memberships and selection of one round below ``path``."""
+    resp = _unpacked(state, models).select("model_id", "sample_id", "r", F.lit(t).alias("iter"))
+    resp.write.mode("append").partitionBy("iter").parquet(f"{path}/resp")
+    cells = _cells(data, tiles, state, blocks, models).withColumnRenamed("selection", "f").withColumn("iter", F.lit(t))
+    cells.write.mode("append").partitionBy("iter").parquet(f"{path}/cell_selection")
 
 
 def cell_selection(fit: BaseFit) -> DataFrame:
     """Selection of every (sample, feature) after the last step; samples x features rows."""
-    sample_type, feature_type = _types(fit.data)
-    scores = _score_table(fit.data, fit.last_params, fit.last_models)
-    chunks = _chunks(fit.tiles, {"r1": fit.last_resp.select("model_id", "sample_id", "r")})
-    k = max(m.k for m in fit.models.values())
-    rows = _tile_rows(fit.data, fit.tiles, chunks, _blocks(fit.tiles, scores), k, len(fit.models))
-    return rows.mapInPandas(
-        _kernel("cells", 0, False), f"model_id int, sample_id {sample_type}, feature_id {feature_type}, selection double")
+    return _cells(fit.data, fit.tiles, fit.state, _blocks(_scored(fit.data, fit.params, fit.models)), fit.models)
+
+
+def mean_selection(fit: BaseFit) -> DataFrame:
+    """Mean selection per feature after the last step: ``model_id, feature_id, selection``."""
+    rows = _tile_rows(fit.data, fit.tiles, fit.state, _blocks(_scored(fit.data, fit.params, fit.models)),
+                      4 * max(m.k for m in fit.models.values()) + 8, len(fit.models))
+    parts = rows.mapInPandas(
+        _feature_kernel, f"model_id int, feature_id {_types(fit.data)[1]}, sel double, g array<double>, i double")
+    return parts.groupBy("model_id", "feature_id").agg((F.sum("sel") / F.lit(float(fit.data.n_samples))).alias("selection"))
 
 
+def best_start(fit: BaseFit) -> BaseFit:
+    """The fit reduced to the start with the largest mean log normaliser (ties: lowest id)."""
+    best = max(sorted(fit.models), key=lambda i: (fit.models[i].log_norm, -i))
+    mine = F.col("model_id") == best
+    return BaseFit(fit.data, fit.tiles, {best: fit.models[best]}, fit.params.where(mine), fit.state.where(mine))

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 
 from tallymix.operators.cells import CountData, prepare
 from tallymix.operators.initial import Start, init_from_labels, init_kmeans, init_random
+from tallymix.plans.base import BaseFit, best_start, fit_base
 from tallymix.plans.mixture import Fit, fit_conjugate
 from tallymix.plans.moves import best_model, fit_with_moves
 from tallymix.plans.specs import FITS, Spec
+from tallymix.plans.stochastic import BatchFit, best_batch_fit, fit_stochastic, stochastic_params
 from tallymix.workspace import Workspace
 
 
@@ -45,20 +47,33 @@ def fit_models(data: CountData, spec: Spec, params: dict[int, dict], seeds: dict
 
 def fit(counts: DataFrame | CountData, model: str = "dp", init="kmeans", seed: int = 42, n_init: int = 10,
         n_restarts: int | None = None, per_sample: bool | None = None, kmeans_iter: int | None = None,
-        history_path: str | None = None, **given) -> Fit:
+        history_path: str | None = None, **given) -> Fit | BaseFit | BatchFit:
     """Fit one model; with restarts, all starts share the jobs and the best objective wins.
 
-    ``model`` is a key of ``FITS``; ``given`` overrides its defaults. ``per_sample``
-    switches selection between one value per cell and one per feature where the fit has both.
-    ``history_path`` keeps memberships and selection of every tenth round; fits with moves refuse it.
+    ``model`` is a key of ``FITS``, ``base`` (first-order, ``given`` goes to ``fit_base``) or ``stochastic``
+    (mini-batches); ``given`` overrides its defaults. ``per_sample`` switches selection between one value per cell and
+    one per feature where the fit has both. ``history_path`` keeps memberships and selection of every tenth round;
+    fits with moves and mini-batches refuse it.
     """
+    if model in ("base", "stochastic") and per_sample is not None:
+        raise ValueError(f"{model} has one selection mode")
+    if history_path and (model == "stochastic" or model in FITS and FITS[model].moves):
+        raise ValueError(f"{model} keeps no tables per round")
+    if model == "base":
+        out = fit_base(as_data(counts), init=init, seed=seed, n_init=n_restarts or 1, history_path=history_path, **given)
+        return best_start(out)
+    if model == "stochastic":
+        data, p = as_data(counts), stochastic_params(**given)
+        params = {i: dict(p) for i in range(n_restarts or 1)}
+        starts = [Start(i, p["k_max"], seed + 1000 * i) for i in params]
+        plain = isinstance(init, str) and init == "kmeans"  # its own start: noisy k-means
+        resp = None if plain else starting_memberships(data, starts, init, n_init, kmeans_iter or 100)
+        return best_batch_fit(fit_stochastic(data, params, resp, seed))
     spec = FITS[model]
     if per_sample is not None:
         if spec.weights == "dp" or spec.moves:
             raise ValueError(f"{model} has one selection mode")
         spec = spec.per_sample(per_sample)
-    if history_path and spec.moves:
-        raise ValueError(f"{model} keeps no tables per round")
     data = as_data(counts)
     p = spec.params(**given)
     restarts = n_restarts or p.get("n_restarts", 1)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
@@ -16,7 +17,7 @@ from tallymix.operators import report
 from tallymix.operators.cells import CountData
 from tallymix.operators.initial import Start
 from tallymix.plans.fit import fit_models, starting_memberships
-from tallymix.plans.specs import FITS
+from tallymix.plans.specs import FITS, Spec
 from tallymix.plans.stochastic import fit_stochastic, predict_stochastic, stochastic_params
 
 # Default search ranges per model (parameter, kind of draw, low, high).
@@ -82,14 +83,84 @@ TRIALS = ("trial_id int, seed_no int, config string, seed bigint, ari double, nm
           "plogp double, objective double, k_est int, elapsed double, error string")
 
 
+@dataclass
+class Scores:
+    ari: float | None = None
+    nmi: float | None = None
+    proxy: float | None = None
+    plogp: float | None = None
+    objective: float | None = None
+    k_est: int = -1
+    elapsed: float = 0.0
+    error: str | None = None
+
+
+def isolated(job: Callable[[list[int]], dict], ids: list[int]) -> tuple[dict, dict[int, str]]:
+    """Results of ``job`` on all ids, and the errors of those it fails on even alone.
+
+    A job that fails is run again on each half of its ids, so one bad id costs the others a few more jobs.
+    """
+    if not ids:
+        return {}, {}
+    try:
+        return job(ids), {}
+    except Exception as e:  # whatever ends the job is the reason on record
+        if len(ids) == 1:
+            return {}, {ids[0]: f"{type(e).__name__}: {e}"[:2000]}
+    half = len(ids) // 2
+    found, errors = isolated(job, ids[:half])
+    more, further = isolated(job, ids[half:])
+    return found | more, errors | further
+
+
+def _fit_and_score(data: CountData, spec: Spec | None, params: dict[int, dict], seeds: dict[int, int],
+                   labels: DataFrame | None, init, n_init: int) -> dict[int, Scores]:
+    """One multi-model job (``spec`` None: mini-batches) and the scores of its models."""
+    started, failed = time.time(), {}
+    if spec is None:
+        starts = [Start(i, p["k_max"], seeds[i]) for i, p in params.items()]
+        resp = starting_memberships(data, starts, init, n_init, 100)
+        fitted = fit_stochastic(data, params, resp, seed=min(seeds.values()))
+        predicted, objective = predict_stochastic(fitted), {i: None for i in fitted.models}
+        width, resp = fitted.width, fitted.resp
+    else:
+        fitted = fit_models(data, spec, params, seeds, init, n_init)
+        failed = fitted.failed
+        predicted, objective = report.predict(fitted), {i: m.elbo for i, m in fitted.models.items()}
+        width, resp = fitted.state.width, fitted.state.resp
+    out = {i: Scores(error=failed.get(i)) for i in params}
+    for i, m in fitted.models.items():
+        out[i].k_est, out[i].objective = m.k, (m.history[-1][1] if m.history else objective[i])
+    if labels is not None:
+        pairs = data.ws.put(
+            predicted.join(labels.selectExpr("sample_id", "label as truth"), "sample_id")
+            .groupBy("model_id", F.col("truth").alias("a"), F.col("label").alias("b")).agg(F.count("*").alias("n")),
+            "pairs")
+        for r in mt.ari_from_contingency(pairs, ["model_id"]).collect():
+            out[r[0]].ari = r[1]
+        for r in mt.nmi_from_contingency(pairs, ["model_id"]).collect():
+            out[r[0]].nmi = r[1]
+        data.ws.release(pairs)
+    for r in mt.quality_proxy(resp, width).collect():
+        out[r["model_id"]].proxy = r["quality"]
+    for i, v in report_plogp(resp, width).items():
+        out[i].plogp = v
+    work = {i: max(1, fitted.models[i].n_iter if i in fitted.models else 1) * p["k_max"] for i, p in params.items()}
+    seconds = time.time() - started
+    for i in out:
+        out[i].elapsed = seconds * work[i] / sum(work.values())
+    return out
+
+
 def run_trials(data: CountData, configs: DataFrame, model: str, labels: DataFrame | None = None, n_seeds: int = 1,
                init="kmeans", n_init: int = 10, per_sample: bool = False, **fixed) -> DataFrame:
     """Fit every configuration (times seeds) as one multi-model job and score it.
 
     With ``labels(sample_id, label)`` the score is agreement, else the label-free quality
-    proxy. A configuration that is invalid or leaves the finite numbers gets -1 and the reason.
+    proxy. A configuration that is invalid, leaves the finite numbers or ends its job gets -1 and the reason;
+    the others are fitted without it. ``elapsed`` is a trial's part of its job's seconds, by rounds times groups.
     """
-    spark, started = data.spark, time.time()
+    spark = data.spark
     rows = [r.asDict() for r in configs.collect()]  # one row per trial
     todo, errors, meta = {}, {}, {}
     spec = None if model == "stochastic" else FITS[model]
@@ -105,41 +176,21 @@ def run_trials(data: CountData, configs: DataFrame, model: str, labels: DataFram
                 todo[i] = stochastic_params(**given) if spec is None else spec.params(**given)
             except ValueError as e:
                 errors[i] = str(e)
-    seeds = {i: meta[i][3] for i in todo}
-    if not todo:
-        raise ValueError(f"no valid configuration: {errors}")
-    if spec is None:
-        starts = [Start(i, p["k_max"], seeds[i]) for i, p in todo.items()]
-        resp = starting_memberships(data, starts, init, n_init, 100)
-        fitted = fit_stochastic(data, todo, resp, seed=min(seeds.values()))
-        predicted, k_est = predict_stochastic(fitted), {i: m.k for i, m in fitted.models.items()}
-        objective = {i: (m.history[-1][1] if m.history else None) for i, m in fitted.models.items()}
-        width, resp = fitted.width, fitted.resp
-    else:
-        fitted = fit_models(data, spec, todo, seeds, init, n_init)
-        errors.update(fitted.failed)
-        predicted, k_est = report.predict(fitted), {i: m.k for i, m in fitted.models.items()}
-        objective = {i: (m.history[-1][1] if m.history else m.elbo) for i, m in fitted.models.items()}
-        width, resp = fitted.state.width, fitted.state.resp
-    ari, nmi = {}, {}
-    if labels is not None:
-        pairs = data.ws.put(
-            predicted.join(labels.selectExpr("sample_id", "label as truth"), "sample_id")
-            .groupBy("model_id", F.col("truth").alias("a"), F.col("label").alias("b")).agg(F.count("*").alias("n")),
-            "pairs")
-        ari = {r[0]: r[1] for r in mt.ari_from_contingency(pairs, ["model_id"]).collect()}
-        nmi = {r[0]: r[1] for r in mt.nmi_from_contingency(pairs, ["model_id"]).collect()}
-    proxy = {r["model_id"]: r["quality"] for r in mt.quality_proxy(resp, width).collect()}
-    plogp = report_plogp(resp, width)
-    share = (time.time() - started) / max(len(meta), 1)
+
+    def fit_and_score(ids: list[int]) -> dict[int, Scores]:
+        params, seeds = {i: todo[i] for i in ids}, {i: meta[i][3] for i in ids}
+        return _fit_and_score(data, spec, params, seeds, labels, init, n_init)
+
+    scores, failed = isolated(fit_and_score, sorted(todo))
+    errors.update(failed)
+    errors.update({i: s.error for i, s in scores.items() if s.error})
     out = []
     for i, (trial, s, config, seed) in meta.items():
-        bad = i in errors
-        out.append((
-            trial, s, config, seed, -1.0 if bad else ari.get(i), -1.0 if bad else nmi.get(i),
-            -1.0 if bad else proxy.get(i), None if bad else plogp.get(i), None if bad else objective.get(i),
-            -1 if bad else k_est.get(i, -1), share, errors.get(i),
-        ))
+        got = scores.get(i, Scores())
+        if i in errors:
+            out.append((trial, s, config, seed, -1.0, -1.0, -1.0, None, None, -1, got.elapsed, errors[i]))
+        else:
+            out.append((trial, s, config, seed, got.ari, got.nmi, got.proxy, got.plogp, got.objective, got.k_est, got.elapsed, None))
     columns = [c.strip().split(" ")[0] for c in TRIALS.split(",")]
     return spark.createDataFrame(pd.DataFrame(out, columns=columns).astype(object).where(lambda d: d.notna(), None), TRIALS)
 

@@ -384,3 +384,14 @@ def predict_stochastic(fit: BatchFit, data: CountData | None = None) -> DataFram
     rows = batch_memberships(data or fit.data, fit.params, fit.models)
     return rows.select("model_id", "sample_id", lk.hard_label().alias("label"))
 
+
+
+def best_batch_fit(fit: BatchFit) -> BatchFit:
+    """The fit reduced to the model with the largest evidence of all samples (ties: lowest id)."""
+    if len(fit.models) == 1:
+        return fit
+    found = {r["model_id"]: r["evidence"] for r in ob.evidence(
+        batch_memberships(fit.data, fit.params, fit.models), "log_norm").collect()}
+    best = max(sorted(found), key=lambda i: (found[i], -i))
+    mine = F.col("model_id") == best
+    return BatchFit(fit.data, {best: fit.models[best]}, fit.params.where(mine), fit.resp.where(mine))

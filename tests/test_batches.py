@@ -14,6 +14,7 @@ from tallymix.operators import prep
 from tallymix.operators.cells import prepare
 from tallymix.operators.initial import init_from_labels
 from tallymix.plans import base, search, stochastic
+from tallymix.plans.fit import fit
 from tallymix.streaming import stream
 from tallymix.workspace import Workspace
 
@@ -142,20 +143,16 @@ def test_stream_replay_changes_nothing(spark, tmp_path):
 
 
 def _dense_base(x, labels, k, rounds, sel):
-    """The first-order model on whole matrices, from a given first selection."""
+    """The first-order model on whole matrices, from a given first selection; ends with one more expectation."""
     n, s = x.shape
     r, g, i = np.eye(k)[labels], np.ones((k, s)), np.ones(s)
-    d = psi(1.0) - psi(x.sum(1) + 1)
-    prior = 1.0 / k
+    total = x.sum(1)
+    d = psi(1.0) - psi(total + 1)
 
-    def weights(r):
+    def expectation():
         mass = r.sum(0) + 10 * np.finfo(float).eps
-        after = mass[::-1].cumsum()[::-1] - mass
-        return 1 + mass, prior + after
-
-    xi1, xi2 = 1 + sel.sum(0), 1 + (1 - sel).sum(0)
-    a, b = weights(r)
-    for _ in range(rounds):
+        a, b = 1 + mass, 1.0 / k + mass[::-1].cumsum()[::-1] - mass
+        xi1, xi2 = 1 + sel.sum(0), 1 + (1 - sel).sum(0)
         m = g / g.sum(1, keepdims=True)
         slope = m * (psi(g) - psi(g.sum(1, keepdims=True)) - np.log(m))
         mb = i / i.sum()
@@ -165,18 +162,28 @@ def _dense_base(x, labels, k, rounds, sel):
         z, yes = np.zeros((n, k)), np.zeros((n, s))
         for c in range(k):
             part = d[:, None] * slope[c] + lgam(x + m[c]) - lgam(m[c]) + slope[c] * (psi(x + m[c]) - psi(m[c]))
-            z[:, c] = (sel * part).sum(1) + lp[c]
+            z[:, c] = (sel * part).sum(1) - sel.sum(1) * lgam(total + 1) + lp[c]
             yes += r[:, c:c + 1] * part
         yes += psi(xi1) - psi(xi1 + xi2)
         no = d[:, None] * sb + lgam(x + mb) - lgam(mb) + sb * (psi(x + mb) - psi(mb)) + psi(xi2) - psi(xi1 + xi2)
-        sel = (np.exp(yes) + 1e-6) / (np.exp(yes) + np.exp(no) + 1e-6)
-        z -= z.max(1, keepdims=True)
-        r = np.exp(z) / np.exp(z).sum(1, keepdims=True)
-        a, b = weights(r)
-        xi1, xi2 = 1 + sel.sum(0), 1 + (1 - sel).sum(0)
+        fresh = (np.exp(yes) + 1e-6) / (np.exp(yes) + np.exp(no) + 1e-6)
+        top = z.max(1, keepdims=True)
+        norm = np.exp(z - top).sum(1, keepdims=True)
+        return np.exp(z - top) / norm, fresh, (top + np.log(norm))[:, 0], m, mb
+
+    for _ in range(rounds):
+        r, sel, _, m, mb = expectation()
         g = np.maximum(1 + np.stack([m[c] * (r[:, c:c + 1] * sel * (d[:, None] + psi(x + m[c]) - psi(m[c]))).sum(0) for c in range(k)]), 1e-10)
         i = np.maximum(1 + mb * ((1 - sel) * (d[:, None] + psi(x + mb) - psi(mb))).sum(0), 1e-10)
-    return r, sel, g, i
+    last, final, log_norm, _, _ = expectation()
+    return last, final, g, i, log_norm
+
+
+def _matrix(rows, n, s):
+    out = np.full((n, s), np.nan)
+    for row in rows:
+        out[row["sample_id"], int(row["feature_id"][1:])] = row["selection"]
+    return out
 
 
 @pytest.mark.parametrize("tile", [(256, 4096), (16, 8)])
@@ -185,22 +192,87 @@ def test_base_model_matches_dense(spark, sliced, tile):
     n, s = x.shape
     labels = np.arange(n) % 3
     tiles = base.make_tiles(data, *tile)
-    sel = np.zeros((n, s))
-    names = {f"f{j:03d}": j for j in range(s)}
-    samples, features = tiles.samples.toPandas(), tiles.features.toPandas()
-    for c in range(tiles.chunks):
-        for b in range(tiles.blocks):
-            rows = samples[samples["chunk"] == c].sort_values("pos")["sample_id"].to_numpy()
-            cols = [names[f] for f in features[features["block"] == b].sort_values("pos")["feature_id"]]
-            sel[np.ix_(rows, cols)] = base.first_selection(7, 0, c, b, (len(rows), len(cols)))
-    fitted = base.fit_base(data, 3, max_iter=2, init=init_from_labels(as_labels(spark, labels), 3), seed=7, tiles=tiles)
-    r, want, g, i = _dense_base(x, labels, 3, 2, sel)
+    first = _matrix(base.start_selection(data, tiles, [0], 7).collect(), n, s)
+    fitted = base.fit_base(data, 3, max_iter=2, init=as_labels(spark, labels), seed=7, tiles=tiles)
+    r, want, g, i, log_norm = _dense_base(x, labels, 3, 2, first)
     rows = {q["feature_id"]: q for q in fitted.params.collect()}
+    names = [f"f{j:03d}" for j in range(s)]
     np.testing.assert_allclose([rows[f]["iota"] for f in names], i, rtol=1e-6)
     np.testing.assert_allclose(np.array([rows[f]["gamma"] for f in names]).T, g, rtol=1e-6)
     means = {q["feature_id"]: q["selection"] for q in base.mean_selection(fitted).collect()}
     np.testing.assert_allclose([means[f] for f in names], want.mean(0), atol=1e-8)
-    assert base.cell_selection(fitted).count() == n * s
+    np.testing.assert_allclose(_matrix(base.cell_selection(fitted).collect(), n, s), want, atol=1e-8)
+    resp = {q["sample_id"]: q for q in fitted.resp.collect()}
+    np.testing.assert_allclose([resp[v]["r"] for v in range(n)], r, atol=1e-8)
+    np.testing.assert_allclose([resp[v]["log_norm"] for v in range(n)], log_norm, rtol=1e-8)
+    assert fitted.models[0].log_norm == pytest.approx(log_norm.mean(), rel=1e-8) and fitted.models[0].n_iter == 2
+
+
+def test_tiles_hold_every_cell_once_and_keep_their_place(spark, sliced):
+    x, _, data = sliced
+    tiles = base.make_tiles(data, 16, 8)
+    cells = base.cells_of(tiles).withColumnRenamed("x", "selection").collect()
+    assert len(cells) == x.size and (_matrix(cells, *x.shape) == x).all()
+    state = base._first_state(tiles, data.samples.selectExpr("0 as model_id", "sample_id", "array(1D) as r"), 1)
+    rows = base._tile_rows(data, tiles, state.hint("shuffle_hash"), base._first_blocks(tiles, 1), 2, 1)
+    plan = rows._jdf.queryExecution().sparkPlan().toString()
+    assert "Bucketed: true" in plan
+
+
+def test_base_entry_keeps_the_best_start_and_a_history(spark, small, tmp_path):
+    x, labels, data = small
+    path = str(tmp_path / "history")
+    best = fit(data, "base", init=as_labels(spark, labels), n_restarts=3, k=3, max_iter=2, history_every=1, history_path=path)
+    every = base.fit_base(data, 3, 2, as_labels(spark, labels), n_init=3)
+    norms = {i: m.log_norm for i, m in every.models.items()}
+    (i, m), = best.models.items()
+    assert len(set(norms.values())) == 3 and norms[i] == max(norms.values()) and m.log_norm == norms[i]
+    assert {r["model_id"] for r in best.resp.select("model_id").distinct().collect()} == {i}
+    cells = spark.read.parquet(f"{path}/cell_selection").groupBy("iter", "model_id").count().collect()
+    assert {r["iter"] for r in cells} == {1, 2} and {r["count"] for r in cells} == {x.size}
+    assert spark.read.parquet(f"{path}/resp").count() == 2 * 3 * len(x)
+    with pytest.raises(ValueError):
+        fit(data, "base", per_sample=True)
+
+
+def test_stochastic_entry_keeps_one_of_its_restarts(spark, small):
+    x, labels, data = small
+    out = fit(data, "stochastic", init="random", n_restarts=2, k_max=3, max_iter=2, batch_size=20)
+    assert len(out.models) == 1 and out.resp.count() == len(x)
+    assert {r["model_id"] for r in out.params.select("model_id").distinct().collect()} == set(out.models)
+    with pytest.raises(ValueError):
+        fit(data, "stochastic", history_path="unused")
+
+
+def test_a_failing_trial_leaves_the_others_alone(spark, small, monkeypatch):
+    _, labels, data = small
+    truth = as_labels(spark, labels)
+    real = search.fit_models
+
+    def breaks(data, spec, params, seeds, *rest):
+        if any(p["nu"] > 1 for p in params.values()):
+            raise RuntimeError("lost")
+        return real(data, spec, params, seeds, *rest)
+
+    monkeypatch.setattr(search, "fit_models", breaks)
+    configs = spark.createDataFrame([(0, 5, 3, 0.5), (1, 6, 3, 1.5), (2, 7, 3, 0.2)], "trial_id int, seed bigint, k_max int, nu double")
+    runs = {r["trial_id"]: r for r in search.run_trials(data, configs, "dp", truth, init=truth, max_iter=2).collect()}
+    assert runs[1]["ari"] == -1.0 and runs[1]["error"] == "RuntimeError: lost" and runs[1]["k_est"] == -1
+    assert all(runs[i]["error"] is None and runs[i]["ari"] > 0.9 and runs[i]["elapsed"] > 0 for i in (0, 2))
+
+
+def test_isolated_asks_each_failing_id_alone():
+    asked = []
+
+    def job(ids):
+        asked.append(tuple(ids))
+        if {3, 6} & set(ids):
+            raise ValueError("bad")
+        return {i: i * i for i in ids}
+
+    found, errors = search.isolated(job, list(range(8)))
+    assert found == {i: i * i for i in range(8) if i not in (3, 6)} and set(errors) == {3, 6} and (3,) in asked
+    assert search.isolated(job, []) == ({}, {})
 
 
 def test_sampled_configurations_stay_in_range(spark):
