@@ -15,6 +15,7 @@ from tallymix.llm import tokens
 from tallymix.llm.common import id_long, id_text, KEY_BITS, order_key
 from tallymix.workspace import Workspace
 
+PARTS = 1 << 16  # parts of an id in which quanta are counted
 TOKENS = "key bigint, doc_id bigint, source string, n bigint, ids binary"
 PIECES = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, "
           "offset bigint, source string")
@@ -68,19 +69,33 @@ def queue_positions(rows: DataFrame, seed: int, targets: Mapping[str, float] | N
         "key", "n", "missing", "name", "share", start.alias("queue_start"))
 
 
-def schedule(queues: DataFrame, length: int, segment: int) -> DataFrame:
+def turns(queues: DataFrame, length: int, least: int) -> DataFrame:
+    """Adds ``quantum`` (what a source earns a round, in parts of an id), ``every`` and ``phase`` (it sends in the rounds r
+    with (r + phase) % every = 0): a source that earns fewer than ``least`` ids a round waits until it has as many, and
+    such sources take their turns in different rounds."""
+    quantum = F.greatest(F.lit(1), F.floor(length * F.col("share") * F.lit(float(PARTS)))).cast("long")
+    rows = queues.withColumn("quantum", quantum)
+    rows = rows.withColumn("every", F.expr(f"({least * PARTS} + quantum - 1) div quantum"))
+    return rows.withColumn("phase", F.expr("pmod(xxhash64(missing, name), every)"))
+
+
+def schedule(queues: DataFrame, length: int, least: int) -> DataFrame:
     """Pieces (key, start, size, sequence_id, offset) of all queues.
 
-    Documents are cut into packets of ``segment`` ids. In each round a source earns ``length * share`` ids and sends
-    packets while they fit what it has earned and not yet spent; the rest is carried on. As every queue holds its
-    documents from the start, the round of a packet that ends at id e of its queue is ceil(e / (length * share)),
-    on whatever partition it lies. Packets in order of rounds, end to end, are cut into sequences.
+    In each round a source earns ``length * share`` ids; at its turn it sends all whole ids that it has earned and not
+    yet sent, cutting documents where they end, and carries the rest on. As every queue holds its
+    documents from the start, turn j of a source ends at id floor((j * every - phase) * quantum) of its queue, on
+    whatever partition that lies. Packets in order of rounds, end to end, are cut into sequences.
     """
-    packets = queues.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / segment))).alias("packet"))
-    packets = packets.withColumn("start", F.col("packet") * segment)
-    packets = packets.withColumn("size", F.least(F.lit(segment), F.col("n") - F.col("start")))
-    packets = packets.withColumn("at", F.col("queue_start") + F.col("start"))
-    packets = packets.withColumn("round", F.ceil((F.col("at") + F.col("size")) / (length * F.col("share"))))
+    rows = turns(queues, length, least)
+    turn = (f"((({{0}}) * {PARTS} + quantum - 1) div quantum + phase + every - 1) div every")  # the turn that sends an id
+    until = f"((turn - {{0}}) * every - phase) * quantum div {PARTS}"
+    first, final = turn.format("queue_start + 1"), turn.format("queue_start + n")
+    packets = rows.withColumn("turn", F.expr(f"explode(sequence({first}, {final}))"))
+    packets = packets.withColumn("at", F.expr(f"greatest(queue_start, {until.format(1)})"))
+    packets = packets.withColumn("size", F.expr(f"least(queue_start + n, {until.format(0)}) - at"))
+    packets = packets.withColumn("start", F.col("at") - F.col("queue_start"))
+    packets = packets.withColumn("round", F.expr("turn * every - phase"))
     packets = packets.withColumn("block", F.floor(F.col("round") / 64))
     # Totals of 64 rounds, then of 4096 such blocks: the last window has one row per 2**18 sequences.
     blocks = packets.groupBy("block").agg(F.sum("size").alias("total")).withColumn("top", F.floor(F.col("block") / 4096))
@@ -101,7 +116,7 @@ def schedule(queues: DataFrame, length: int, segment: int) -> DataFrame:
                          "sequence_id", (low - F.col("sequence_id") * length).alias("offset"))
 
 
-def pack(docs: DataFrame, length: int = 2048, segment: int = 512, targets: Mapping[str, float] | None = None,
+def pack(docs: DataFrame, length: int = 2048, least: int = 32, targets: Mapping[str, float] | None = None,
          seed: int = 11, tokenizer: str | None = None, end_id: int = 1, with_ids: bool = False,
          memo_words: int = tokens.MEMO_WORDS, ws: Workspace | None = None) -> DataFrame:
     """Packs ``docs`` (doc_id, text, source) into sequences of ``length`` ids, each filled to the sources' shares.
@@ -109,6 +124,7 @@ def pack(docs: DataFrame, length: int = 2048, segment: int = 512, targets: Mappi
     One row per piece: doc_id, start (its document's ids before it), length, ids_crc32 (of its ids as little-endian
     32-bit numbers), doc_tokens, sequence_id, offset, source; with ``with_ids`` also the ids. A text is encoded whole
     (null: empty) and followed by ``end_id``; each id lies in one piece. Only the last sequence is not full.
+    A sequence holds what each source is due in it, but that sources due fewer than ``least`` ids come in every so many.
 
     ``targets``: relative amounts by source, filled while their queues last; None: the sources' own shares. Null and
     '' are sources of their own. Repeated rows are packed each on its own. An empty table gives no pieces. Other
@@ -120,7 +136,7 @@ def pack(docs: DataFrame, length: int = 2048, segment: int = 512, targets: Mappi
     wide = "<u2" if max(tokens.vocabulary(tokenizer), end_id + 1) <= 1 << 16 else "<u4"
     table = token_table(docs, ws, tokenizer, end_id, memo_words)
     queues = ws.put(queue_positions(table, seed, targets), "queues")
-    pieces = schedule(queues, length, segment)
+    pieces = schedule(queues, length, least)
     by_row = pieces.groupBy("key").agg(
         F.array_sort(F.collect_list(F.struct("start", "size", "sequence_id", "offset"))).alias("p"))
     joined = table.join(by_row, "key").select(
