@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymix.functions.special import EPS, digamma, lgamma, normalised, num, with_softmax
+from tallymix.functions.special import EPS, digamma, lgamma, normalised, num
 
 
 def at(array: str, k: int) -> str:
@@ -93,9 +93,21 @@ def responsibilities(rows: DataFrame, width: int, floor: float | None = EPS, log
                      tempered: bool = True) -> DataFrame:
     """Memberships ``r`` from ``ll0..`` joined to ``k_live, elog_pi, beta``."""
     scale = "beta * " if tempered else ""
-    staged = rows.withColumn("_ll", F.expr(fold("ll", width)))
-    staged = staged.withColumn("_logit", F.expr(f"zip_with(_ll, elog_pi, (l, e) -> {scale}(e + l))"))
-    return with_softmax(staged, "_logit", "r", floor, log_norm).drop("_ll", "_logit")
+    each = range(width)
+    listed = ", ".join(f"_v{k}" for k in each)
+    # plain columns for generated code; groups beyond a model's own are null and drop out of sums
+    staged = rows.selectExpr("*", *[f"if({k} < k_live, {scale}({at('elog_pi', k)} + ll{k}), null) as _v{k}" for k in each])
+    staged = staged.selectExpr("*", f"greatest({listed}, cast(null as double)) as _top")
+    staged = staged.selectExpr("*", *[f"exp(_v{k} - _top) as _e{k}" for k in each])
+    staged = staged.selectExpr("*", f"{total([f'_e{k}' for k in each])} as _s")
+    kept = [*rows.columns, *([f"_top + ln(_s) as {log_norm}"] if log_norm else [])]
+    if floor is None:
+        return staged.selectExpr(*kept, f"slice(array({', '.join(f'_e{k} / _s' for k in each)}), 1, k_live) as r")
+    staged = staged.selectExpr(*kept, *[f"if({k} < k_live, greatest(_e{k} / _s, {num(floor)}), null) as _u{k}" for k in each])
+    staged = staged.selectExpr("*", f"{total([f'_u{k}' for k in each])} as _n")
+    return staged.selectExpr(
+        *rows.columns, *([log_norm] if log_norm else []),
+        f"slice(array({', '.join(f'_u{k} / _n' for k in each)}), 1, k_live) as r")
 
 
 def blend(rows: DataFrame, r: str, anchor: str, share: str, out: str = "r") -> DataFrame:

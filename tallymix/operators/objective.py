@@ -20,9 +20,10 @@ def plogp(r: str = "r") -> str:
 
 def membership_parts(resp: DataFrame, width: int) -> DataFrame:
     """Per model: sum of r ln r and the mass of each group."""
-    staged = resp.selectExpr("model_id", f"{plogp()} as p", *unfold("r", "r", width))
+    staged = resp.selectExpr("model_id", *unfold("r", "r", width))
+    entropy = " + ".join(f"coalesce(r{k} * ln(greatest(r{k}, {num(EPS)})), 0D)" for k in range(width))
     sums = staged.groupBy("model_id").agg(
-        F.sum("p").alias("plogp"), *[F.expr(f"sum(r{k}) as m{k}") for k in range(width)]
+        F.expr(f"sum({entropy}) as plogp"), *[F.expr(f"sum(r{k}) as m{k}") for k in range(width)]
     )
     return sums.selectExpr("model_id", "plogp", f"array({', '.join(f'm{k}' for k in range(width))}) as mass")
 

@@ -8,6 +8,7 @@ from dense import Dense, floored_softmax
 
 from planted import as_counts, as_labels, planted
 from tallymix.operators import likelihood as lk
+from tallymix.operators import objective as ob
 from tallymix.operators.cells import prepare
 from tallymix.operators.initial import init_from_labels
 from tallymix.plans import mixture as mx
@@ -173,3 +174,23 @@ def test_pruning_follows_the_rule(spark, small):
 def test_kept_groups_floor_prefers_low_numbers_on_ties():
     assert mx.kept_groups([0.2, 0.2, 0.6], [1, 1, 1], 0.9, 0.5, 2) == [0, 2]
     assert floored_softmax(np.zeros((1, 2))).sum() == pytest.approx(1.0)
+
+
+def test_memberships_run_as_generated_code(spark):
+    """No function over arrays per sample; models of different size, floors and masses as stated."""
+    rows = spark.createDataFrame(
+        [(0, 1, 3, [-1.0, -2.0, -0.5], 0.5, 1.0, 2.0, -900.0), (1, 2, 2, [-0.1, -3.0], 1.0, 4.0, 1.0, None)],
+        "model_id int, sample_id int, k_live int, elog_pi array<double>, beta double, ll0 double, ll1 double, ll2 double")
+    out = lk.responsibilities(rows, 3, log_norm="log_norm")
+    assert "lambda" not in out._jdf.queryExecution().executedPlan().toString()
+    plogp = ob.membership_parts(out, 3)
+    assert "lambda" not in plogp._jdf.queryExecution().executedPlan().toString()
+    got = {r["model_id"]: r for r in out.collect()}
+    parts = {r["model_id"]: r for r in plogp.collect()}
+    for i, logit in ((0, 0.5 * np.array([0.0, 0.0, -900.5])), (1, np.array([3.9, -2.0]))):
+        e = np.exp(logit - logit.max())
+        r = np.maximum(e / e.sum(), 1e-10)
+        r = r / r.sum()
+        assert got[i]["r"] == pytest.approx(list(r), rel=1e-12)
+        assert got[i]["log_norm"] == pytest.approx(logit.max() + np.log(e.sum()))
+        assert parts[i]["plogp"] == pytest.approx((r * np.log(r)).sum())
