@@ -199,10 +199,12 @@ _TIPS = [DT, "lang as (select doc_id as sample_id, lang from documents)",
 
 
 def _annotated(spark, d):
-    counts = doc_token(spark, d)
-    spoken = counts.join(_languages(spark, d), "sample_id")
-    tips = counts.select(F.col("feature_id").alias("tip")).distinct()
-    return prep.annotate_tips(tips, spoken.where("label = 'de'"), spoken.where("label = 'fr'"))
+    # one pass over the counts: both sets hold features only, so their marks are found per feature
+    spoken = doc_token(spark, d).join(_languages(spark, d), "sample_id", "left")
+    marks = spoken.groupBy(F.col("feature_id")).agg(
+        F.expr("bool_or(label = 'de')").alias("de"), F.expr("bool_or(label = 'fr')").alias("fr"))
+    marks = workspace(spark).put(marks, "tip-marks")  # one row per feature
+    return prep.annotate_tips(marks.selectExpr("feature_id as tip"), marks.where("de"), marks.where("fr"))
 
 
 @query("annotate_tips", with_sql(_TIPS, "select tip, symbol from m"))
