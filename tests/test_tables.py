@@ -2,9 +2,11 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from checks import queries as registered
 from checks.compare import difference, oracle
 from planted import as_counts, as_labels, planted
 from tallymix.operators import prep
@@ -98,6 +100,29 @@ def test_a_pass_moves_no_cells(spark, small):
     assert "Bucketed: true" in plan and above_scan.count("Exchange") == 1  # that of the partial sums
 
 
+def test_a_bucketed_write_opens_writers_instead_of_sorting(spark, monkeypatch):
+    name, seen = "spark.sql.maxConcurrentOutputFileWriters", []
+    before, rows = spark.conf.get(name), spark.range(64).selectExpr("id % 5 as key", "id").repartition(4, "key")
+    save = DataFrameWriter.saveAsTable
+    monkeypatch.setattr(DataFrameWriter, "saveAsTable",
+                        lambda self, *a, **k: seen.append(int(spark.conf.get(name))) or save(self, *a, **k))
+    out = Workspace(spark).put(rows, "by-key", bucket_by=["key"], buckets=4)
+    assert seen and seen[0] > 0 and spark.conf.get(name) == before
+    assert sorted(out.collect()) == sorted(rows.collect())
+
+
+def test_tip_marks_need_one_pass_over_the_counts(spark, tmp_path, monkeypatch):
+    """The counts are read once; what the annotation joins afterwards holds one row per feature."""
+    (spark.createDataFrame([(1, "de", "haus Tor"), (2, "fr", "tor mer"), (3, None, "sea"), (3, "fr", None), (None, "de", "lost")],
+                           "doc_id bigint, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet"))
+    calls, counted = [], registered.doc_token
+    monkeypatch.setattr(registered, "doc_token", lambda *a: calls.append(a) or counted(*a))
+    out = registered._annotated(spark, str(tmp_path))
+    assert len(calls) == 1 and "documents.parquet" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert "text" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in out.collect()} == {("haus", "+"), ("tor", "*"), ("mer", "*"), ("sea", "*"), ("lost", "")}
+
+
 def test_codes_of_many_labels(spark):
     labels = spark.createDataFrame([(i, f"l{(i * 7919) % 997}") for i in range(2000)], "sample_id bigint, label string")
     codes = {}
