@@ -78,7 +78,8 @@ def make_tiles(data: CountData, chunk: int = CHUNK, block: int = BLOCK) -> Tiles
     tiles = grid.join(packed, ["chunk", "block"], "left").selectExpr(
         "chunk", "block", *[f"coalesce(transform(c, v -> v.{n}), array()) as {n}" for n in ("s", "p", "x")]
     )
-    buckets = min(chunks, max(8, math.ceil(chunks * blocks / 512)), MAX_BUCKETS)
+    parallel = ws.spark.sparkContext.defaultParallelism  # every core gets tiles, whatever the size
+    buckets = min(chunks, max(8, parallel, math.ceil(chunks * blocks / 512)), MAX_BUCKETS)
     laid_out = ws.put(tiles.repartition(buckets, "chunk"), "tiles", bucket_by=["chunk"], buckets=buckets)
     return Tiles(laid_out, samples, features, chunks, blocks)
 
@@ -138,7 +139,8 @@ def _packed(rows: DataFrame, extra: tuple = ()) -> DataFrame:
 
 def _tile_rows(data: CountData, tiles: Tiles, state: DataFrame, blocks: DataFrame, width: int, n_models: int) -> DataFrame:
     """Tiles with everything their kernel needs; the cells stay where they lie."""
-    rows = tiles.cells.join(state, "chunk")
+    # never a broadcast: one row per chunk holds all memberships, which grow with the samples
+    rows = tiles.cells.join(state.hint("shuffle_hash"), "chunk")
     keys = ["model_id", "block"] if "model_id" in blocks.columns else ["block"]
     if data.feature_rows_fit(width, n_models):
         return rows.join(F.broadcast(blocks), keys)
@@ -163,10 +165,12 @@ class _Tile:
 
     def gains(self):
         """lgamma and digamma differences at the nonzero cells, per group and for the background."""
-        m, x = self.m[self.p], self.x[:, None]
-        lg, ps = lgamma_array(x + m) - lgamma_array(m), digamma_array(x + m) - digamma_array(m)
-        mb = self.mb[self.p]
-        return lg, ps, lgamma_array(self.x + mb) - lgamma_array(mb), digamma_array(self.x + mb) - digamma_array(mb)
+        p, x = self.p, self.x[:, None]
+        m, mb = self.m[p], self.mb[p]  # the terms of a feature alone are evaluated once per feature, not once per cell
+        lg = lgamma_array(x + m) - lgamma_array(self.m)[p]
+        ps = digamma_array(x + m) - digamma_array(self.m)[p]
+        return (lg, ps, lgamma_array(self.x + mb) - lgamma_array(self.mb)[p],
+                digamma_array(self.x + mb) - digamma_array(self.mb)[p])
 
     def selection(self, r: np.ndarray, gains=None) -> np.ndarray:
         lg, ps, lgb, psb = gains or self.gains()

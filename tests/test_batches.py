@@ -219,6 +219,18 @@ def test_tiles_hold_every_cell_once_and_keep_their_place(spark, sliced):
     assert "Bucketed: true" in plan
 
 
+def test_memberships_of_tiles_are_never_broadcast(spark, sliced):
+    """They grow with the samples, so the driver doesn't carry them, however small a file they make."""
+    _, _, data = sliced
+    tiles = base.make_tiles(data, 16, 8)
+    resp = data.samples.selectExpr("cast(0 as int) as model_id", "sample_id", "array(0.5D, 0.5D) as r")
+    state = data.ws.put(base._first_state(tiles, resp, 1), "chunks")
+    rows = base._tile_rows(data, tiles, state, base._first_blocks(tiles, 1), 2, 1)
+    joins = [j for j in rows._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in j and "[chunk#" in j]
+    assert joins and not any("Broadcast" in j for j in joins)
+    assert rows.count() == tiles.chunks * tiles.blocks
+
+
 def test_base_entry_keeps_the_best_start_and_a_history(spark, small, tmp_path):
     x, labels, data = small
     path = str(tmp_path / "history")
