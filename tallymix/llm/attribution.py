@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -63,12 +65,12 @@ def attribute(docs: DataFrame, sections: Column, rule: str = "most", tokenizer:
 
     def run(batches):
         for batch in batches:
+            encoded = tokens.encode_spans(batch["text"], tokenizer)
             for at in range(0, len(batch), 1000):
                 part = batch.iloc[at:at + 1000]
                 out = []
-                encoded = tokens.encode_spans(part["text"], tokenizer)
                 for doc, names, lows, highs, (ids, starts, ends) in zip(
-                        part["doc_id"], part["names"], part["lows"], part["highs"], encoded):
+                        part["doc_id"], part["names"], part["lows"], part["highs"], islice(encoded, len(part))):
                     owner, inside = shares(starts, ends, lows, highs, rule)
                     cross = (owner >= 0) & (inside < ends - starts)
                     own = np.bincount(owner[owner >= 0], minlength=len(lows))

@@ -10,8 +10,12 @@ import json
 import os
 import struct
 from functools import lru_cache
+from itertools import compress, repeat
+from operator import is_
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from tallymix.llm.common import LOWER
 
@@ -84,11 +88,12 @@ _SIGNS = ".,;:!?%$&*#|"
 
 
 class WordMemo(dict):
-    """word -> ids as little-endian 32-bit bytes; with spans, (ids, starts, ends) of that form."""
+    """word -> ids as little-endian 32-bit bytes; with spans, (id, start, end) of each token in that form."""
 
     def __init__(self, path: str, spans: bool = False):
         self.path, self.spans = path, spans
         self.limit = SPAN_WORDS if spans else MEMO_WORDS
+        self.width = 12 if spans else 4  # bytes a token
 
     def learn(self, words: set[str]) -> None:
         """Letters and the signs after them are tokenized apart and letters in lower case, so words that differ only
@@ -99,24 +104,20 @@ class WordMemo(dict):
         marked = _word_ends(self.path) is not None
         for w in words:
             core = w.rstrip(_SIGNS)
-            if marked and core.isalpha():
-                tail = w[len(core):]
-                if w.isascii():
-                    core = core.lower()
-                joined.append((w, core, tail))
-                plain.add(core)
-                if tail:
-                    single.add(tail)
-            else:
+            if not (marked and core.isalpha()):
                 single.add(w)
-        plain = [w for w in plain if w not in self]
-        if _letters_reach_model(self.path):
-            model = _tokenizer(self.path).model
-            for w in filter(str.isascii, plain):
-                found = model.tokenize(w)
-                ids = struct.pack(f"<{len(found)}I", *[t.id for t in found])
-                self[w] = self._value(ids, [t.offsets for t in found] if self.spans else None)
-            plain = [w for w in plain if not w.isascii()]
+                continue
+            low = core.lower() if w.isascii() else core
+            if low != w:
+                joined.append((w, low, w[len(core):]))
+                if low in self:
+                    continue
+            plain.add(low)
+        single.update({tail for _, _, tail in joined if tail})
+        letters = _letters_reach_model(self.path)
+        if letters:
+            self._learn_ascii([w for w in plain if w.isascii()])
+        plain = [w for w in plain if not (letters and w.isascii())]
         for i in range(0, len(plain), 500):
             self._learn_letters(plain[i:i + 500])
         single = [w for w in single if w not in self]
@@ -124,26 +125,42 @@ class WordMemo(dict):
         for i in range(0, len(single), 20_000):
             part = single[i:i + 20_000]
             for w, e in zip(part, (tok.encode_batch if self.spans else tok.encode_batch_fast)(part, add_special_tokens=False)):
-                self[w] = self._value(np.array(e.ids, "<u4").tobytes(), e.offsets if self.spans else None)
-        for w, core, tail in joined:
-            if w in self:
-                continue
-            first = self[core]
-            if not tail:
-                self[w] = first
-            elif not self.spans:
-                self[w] = first + self[tail]
-            else:
-                last = [first[0] + self[tail][0]]
-                last += [a + (np.frombuffer(b, "<i4") + len(core)).astype("<i4").tobytes()
-                         for a, b in zip(first[1:], self[tail][1:])]
-                self[w] = tuple(last)
-
-    def _value(self, ids: bytes, offsets, base: int = 0):
+                self[w] = self._rows(e.ids, e.offsets if self.spans else None)
+        self._join(joined)
+
+    def _rows(self, ids, offsets, base: int = 0) -> bytes:
         if not self.spans:
-            return ids
-        at = np.array(offsets, "<i4").reshape(-1, 2) - base
-        return ids, at[:, 0].astype("<i4").tobytes(), at[:, 1].astype("<i4").tobytes()
+            return np.array(ids, "<u4").tobytes()
+        rows = np.empty((len(ids), 3), "<i4")
+        rows[:, 0] = ids
+        rows[:, 1:] = np.array(offsets, "<i4").reshape(-1, 2) - base
+        return rows.tobytes()
+
+    def _join(self, joined: list[tuple[str, str, str]]) -> None:
+        """Words from their letters in lower case and the signs after them, whose spans begin where the letters end."""
+        if not self.spans:
+            for w, low, tail in joined:
+                self[w] = self[low] + self[tail] if tail else self[low]
+            return
+        tails = [self[tail] if tail else b"" for _, _, tail in joined]
+        sizes = np.fromiter(map(len, tails), np.int64, len(tails))
+        rows = np.frombuffer(b"".join(tails), "<i4").reshape(-1, 3).copy()
+        rows[:, 1:] += np.repeat([len(low) for _, low, _ in joined], sizes // 12).astype("<i4")[:, None]
+        raw, at = rows.tobytes(), 0
+        for (w, low, _), size in zip(joined, sizes.tolist()):
+            self[w] = self[low] + raw[at:at + size]
+            at += size
+
+    def _learn_ascii(self, part: list[str]) -> None:
+        tokenize = _tokenizer(self.path).model.tokenize
+        if self.spans:
+            for w in part:
+                found = [x for t in tokenize(w) for x in (t.id, *t.offsets)]
+                self[w] = struct.pack(f"<{len(found)}i", *found)
+        else:
+            for w in part:
+                found = [t.id for t in tokenize(w)]
+                self[w] = struct.pack(f"<{len(found)}I", *found)
 
     def _learn_letters(self, part: list[str]) -> None:
         """Words of letters only are one unit each: encoded in one go, parted after each token that ends a unit."""
@@ -154,12 +171,17 @@ class WordMemo(dict):
         if len(ends) != len(part):
             for w in part:
                 one = tok.encode(w, add_special_tokens=False)
-                self[w] = self._value(np.array(one.ids, "<u4").tobytes(), one.offsets)
+                self[w] = self._rows(one.ids, one.offsets)
             return
-        offsets, low, base = (e.offsets if self.spans else None), 0, 0
-        for w, high in zip(part, ends.tolist()):
-            self[w] = self._value(ids[low:high].tobytes(), offsets[low:high] if offsets else None, base)
-            low, base = high, base + len(w) + 1
+        base = 0
+        if self.spans:
+            starts = np.zeros(len(part), np.int64)
+            np.cumsum([len(w) + 1 for w in part[:-1]], out=starts[1:])
+            base = np.repeat(starts, np.diff(ends, prepend=0))[:, None]
+        raw, low = self._rows(ids, e.offsets if self.spans else None, base), 0
+        for w, high in zip(part, (ends * self.width).tolist()):
+            self[w] = raw[low:high]
+            low = high
 
 
 @lru_cache(maxsize=4)
@@ -167,20 +189,40 @@ def _memo(path: str, spans: bool) -> WordMemo:
     return WordMemo(path, spans)
 
 
-def _split(text: str | None) -> list[str]:
-    return text.replace("\n", " ").split(" ") if text else []
-
-
-def _look_up(memo: WordMemo, texts: list[str | None]):
-    """Yields (words, their values) of each text; words not known yet are learnt together."""
-    split = [_split(t) for t in texts]
-    known = [list(map(memo.get, ws)) for ws in split]
-    gaps = [[i for i, v in enumerate(values) if v is None] for values in known]
-    memo.learn({ws[i] for ws, at in zip(split, gaps) for i in at})
-    for ws, values, at in zip(split, known, gaps):
-        for i in at:
-            values[i] = memo[ws[i]]
-        yield ws, values
+def _words(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct blank-separated words of the texts and their lengths, the number of each text's words in that list,
+    and where in these numbers each text begins. Columns are split and numbered, so a distinct word is one Python object."""
+    column = pc.replace_substring(pa.array([t or "" for t in texts], pa.large_string()), "\n", " ")
+    split = pc.split_pattern(column, " ")
+    coded = split.values.dictionary_encode()
+    own = coded.dictionary
+    sizes = pc.utf8_length(own).to_numpy(zero_copy_only=False).astype(np.int64)
+    joined = pc.binary_join(pa.ListArray.from_arrays([0, len(own)], own), pa.scalar(" ", own.type))[0].as_py()
+    return joined.split(" "), sizes, coded.indices.to_numpy(), split.offsets.to_numpy()
+
+
+def _look_up(memo: WordMemo, ws: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of all tokens of the words, end to end, and the number of tokens of each; unknown words are learnt together."""
+    values = list(map(memo.get, ws))
+    gaps = list(compress(range(len(ws)), map(is_, values, repeat(None))))
+    memo.learn({ws[i] for i in gaps})
+    for i in gaps:
+        values[i] = memo[ws[i]]
+    rows = np.frombuffer(b"".join(values), "<i4").reshape(-1, memo.width // 4)
+    return rows, np.fromiter(map(len, values), np.int64, len(values)) // memo.width
+
+
+def _in_place(codes: np.ndarray, rows: np.ndarray, counts: np.ndarray, step: int = 1 << 18):
+    """The rows of the words numbered ``codes``, in order, and where those of each word begin."""
+    firsts = np.cumsum(counts) - counts
+    begins = np.zeros(len(codes) + 1, np.int64)
+    np.cumsum(counts[codes], out=begins[1:])
+    out = np.empty((begins[-1], rows.shape[1]), rows.dtype)
+    for at in range(0, len(codes), step):
+        own, to = codes[at:at + step], begins[at:at + step + 1]
+        places = np.repeat(firsts[own] - to[:-1], np.diff(to)) + np.arange(to[0], to[-1])
+        np.take(rows, places, axis=0, out=out[to[0]:to[-1]])
+    return out, begins
 
 
 def groups(texts, chars: int = 4_000_000):
@@ -208,8 +250,11 @@ def encode(texts, path: str, end_id: int | None = None, memo_words: int = MEMO_W
     memo = _memo(path, False)
     memo.limit = memo_words
     for part in groups(texts):
-        for ws, known in _look_up(memo, part):
-            yield b"".join(known) + end
+        ws, _, codes, begins = _words(part)
+        rows, at = _in_place(codes, *_look_up(memo, ws))
+        raw, at = memoryview(rows).cast("B"), (at[begins] * memo.width).tolist()
+        for low, high in zip(at, at[1:]):
+            yield bytes(raw[low:high]) + end
 
 
 def encode_spans(texts, path: str):
@@ -223,13 +268,9 @@ def encode_spans(texts, path: str):
         return
     memo = _memo(path, True)
     for part in groups(texts):
-        for ws, found in _look_up(memo, part):
-            if not ws:
-                yield np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
-                continue
-            ids, starts, ends = (b"".join(x) for x in zip(*found))
-            at = np.zeros(len(ws), np.int64)
-            np.cumsum([len(w) + 1 for w in ws[:-1]], out=at[1:])
-            base = np.repeat(at, [len(x[0]) >> 2 for x in found])
-            yield (np.frombuffer(ids, "<u4"), np.frombuffer(starts, "<i4") + base,
-                   np.frombuffer(ends, "<i4") + base)
+        ws, sizes, codes, begins = _words(part)
+        rows, at = _in_place(codes, *_look_up(memo, ws))
+        for low, high in zip(begins.tolist(), begins[1:].tolist()):
+            own, to = sizes[codes[low:high]] + 1, at[low:high + 1]
+            base, found = np.repeat(np.cumsum(own) - own, np.diff(to)), rows[to[0]:to[-1]]
+            yield found[:, 0].astype(np.uint32), found[:, 1] + base, found[:, 2] + base

@@ -36,6 +36,40 @@ def test_memo_gives_the_ids_and_spans_of_whole_texts(corpus):
         assert list(zip(starts.tolist(), ends.tolist())) == e.offsets
 
 
+class CountedMemo(tokens.WordMemo):
+    def __init__(self, *args):
+        super().__init__(*args)
+        self.asked = 0
+
+    def get(self, *args):
+        self.asked += 1
+        return super().get(*args)
+
+
+@pytest.mark.parametrize("spans", [False, True])
+def test_a_word_is_looked_up_once_however_often_it_stands_in_the_texts(monkeypatch, spans):
+    memo = CountedMemo(PATH, spans)
+    monkeypatch.setattr(tokens, "_memo", lambda path, spans: memo)
+    texts = ["one two,\nONE  Two, été", None, "", "two, one"] * 200
+    got = list((tokens.encode_spans if spans else tokens.encode)(texts, PATH))
+    assert memo.asked <= len({w for t in texts if t for w in t.replace("\n", " ").split(" ")})
+    for t, found in zip(texts, got, strict=True):
+        e = tokens._tokenizer(PATH).encode(t or "", add_special_tokens=False)
+        if spans:
+            assert (found[0].tolist(), list(zip(found[1].tolist(), found[2].tolist()))) == (e.ids, e.offsets)
+        else:
+            assert np.frombuffer(found, "<u4").tolist() == e.ids
+
+
+def test_stretches_of_words_in_place():
+    rows, counts = np.arange(12, dtype="<i4").reshape(6, 2), np.array([2, 0, 1, 3])
+    codes = np.array([3, 1, 0, 0, 2, 3, 1])
+    want, ends = [[6, 7], [8, 9], [10, 11], *[[0, 1], [2, 3]] * 2, [4, 5], [6, 7], [8, 9], [10, 11]], [0, 3, 3, 5, 7, 8, 11, 11]
+    for step in (1, 2, 5, 100):
+        got, begins = tokens._in_place(codes, rows, counts, step)
+        assert (got.tolist(), begins.tolist()) == (want, ends)
+
+
 def test_a_tokenizer_that_keeps_blanks_gets_whole_texts():
     path = tokens.public_path("byte_bpe_50k.json")
     assert not tokens._drops_blanks(path)
