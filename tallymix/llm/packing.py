@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Mapping
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -30,9 +31,10 @@ def token_table(docs: DataFrame, ws: Workspace, tokenizer: str, end_id: int,
     def run(batches):
         number, row = TaskContext.get().partitionId(), 0
         for batch in batches:
+            encoded = tokens.encode(batch["text"], tokenizer, end_id, memo_words)
             for at in range(0, len(batch), 1000):
                 part = batch.iloc[at:at + 1000]
-                ids = [np.frombuffer(b, "<u4") for b in tokens.encode(part["text"], tokenizer, end_id, memo_words)]
+                ids = [np.frombuffer(b, "<u4") for b in islice(encoded, len(part))]
                 yield pd.DataFrame({
                     "key": np.arange(row, row + len(part)) + (number << 40), "doc_id": part["doc_id"].values,
                     "source": part["source"].values, "n": [len(x) for x in ids],
