@@ -225,7 +225,7 @@ def _in_place(codes: np.ndarray, rows: np.ndarray, counts: np.ndarray, step: int
     return out, begins
 
 
-def groups(texts, chars: int = 4_000_000):
+def groups(texts, chars: int = 1_000_000):
     """Lists of texts of about that many characters, so that the words of one list fit in memory."""
     part, size = [], 0
     for t in texts:
