@@ -252,9 +252,9 @@ def encode(texts, path: str, end_id: int | None = None, memo_words: int = MEMO_W
     for part in groups(texts):
         ws, _, codes, begins = _words(part)
         rows, at = _in_place(codes, *_look_up(memo, ws))
-        raw, at = memoryview(rows).cast("B"), (at[begins] * memo.width).tolist()
+        raw, at = rows.reshape(-1).view(np.uint8), (at[begins] * memo.width).tolist()
         for low, high in zip(at, at[1:]):
-            yield bytes(raw[low:high]) + end
+            yield raw[low:high].tobytes() + end
 
 
 def encode_spans(texts, path: str):

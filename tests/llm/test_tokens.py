@@ -61,6 +61,11 @@ def test_a_word_is_looked_up_once_however_often_it_stands_in_the_texts(monkeypat
             assert np.frombuffer(found, "<u4").tolist() == e.ids
 
 
+def test_texts_without_any_token():
+    assert list(tokens.encode(["", None, " \n"], PATH)) == [b""] * 3
+    assert [[len(x) for x in found] for found in tokens.encode_spans(["", None, " \n"], PATH)] == [[0] * 3] * 3
+
+
 def test_stretches_of_words_in_place():
     rows, counts = np.arange(12, dtype="<i4").reshape(6, 2), np.array([2, 0, 1, 3])
     codes = np.array([3, 1, 0, 0, 2, 3, 1])
