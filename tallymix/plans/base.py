@@ -7,6 +7,9 @@ tiles and returns sums by sample or by feature. Selection is never stored: it fo
 previous memberships and profiles and is recomputed inside the tile. Between rounds there is
 one row per model and chunk (memberships of this round and the one before) and one per model
 and feature (profiles, and the scores the round before had used).
+
+Where one block holds all features, a tile has all that its samples need: a round is then one
+pass, and the numbers of the block's features stay on the driver between rounds.
 """
 
 from __future__ import annotations
@@ -182,6 +185,23 @@ class _Tile:
             yes, no = np.nan_to_num(np.exp(yes), posinf=1.0), np.nan_to_num(np.exp(no), posinf=1.0)
         return (yes + 1e-6) / (yes + no + 1e-6)
 
+    def loglik(self, sel: np.ndarray, gains) -> np.ndarray:
+        """The tile's part of every sample's log-likelihood per group."""
+        lg, ps, _, _ = gains
+        ll = self.d[:, None] * (sel @ self.a) - (sel.sum(1) * lgamma_array(self.n_i + 1.0))[:, None]
+        np.add.at(ll, self.s, sel[self.s, self.p][:, None] * (lg + self.a[self.p] * ps))
+        return ll
+
+    def feature_sums(self, sel: np.ndarray, r: np.ndarray, gains) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sums over the tile's samples: selection, profile gains weighted by the memberships, background gains."""
+        _, ps, _, psb = gains
+        g = (sel * self.d[:, None]).T @ r
+        np.add.at(g, self.p, r[self.s] * sel[self.s, self.p][:, None] * ps)
+        out = 1.0 - sel
+        i = (out * self.d[:, None]).sum(0)
+        np.add.at(i, self.p, out[self.s, self.p] * psb)
+        return sel.sum(0), g, i
+
 
 _WORD = 1 << 32
 
@@ -260,9 +280,7 @@ def _sample_kernel(first: bool):
                 sel = first_selection(row["code"], row["t0"], row["t1"])
             else:
                 sel = _Tile(row, "_old").selection(np.asarray(row["r_before"], float).reshape(n, -1))
-            lg, ps, _, _ = tile.gains()
-            ll = tile.d[:, None] * (sel @ tile.a) - (sel.sum(1) * lgamma_array(tile.n_i + 1.0))[:, None]
-            np.add.at(ll, tile.s, sel[tile.s, tile.p][:, None] * (lg + tile.a[tile.p] * ps))
+            ll = tile.loglik(sel, tile.gains())
             yield pd.DataFrame({"model_id": row["model_id"], "chunk": row["chunk"], "pos": np.arange(n, dtype=np.int32),
                                 "sample_id": row["samples"], "n_i": tile.n_i, "r": list(r), "ll": list(ll)})
 
@@ -276,13 +294,8 @@ def _feature_kernel(batches):
         gains = tile.gains()
         sel = tile.selection(np.asarray(row["r_before"], float).reshape(n, -1), gains)
         r = np.asarray(row["r"], float).reshape(n, -1)
-        _, ps, _, psb = gains
-        g = (sel * tile.d[:, None]).T @ r
-        np.add.at(g, tile.p, r[tile.s] * sel[tile.s, tile.p][:, None] * ps)
-        out = 1.0 - sel
-        i = (out * tile.d[:, None]).sum(0)
-        np.add.at(i, tile.p, out[tile.s, tile.p] * psb)
-        yield pd.DataFrame({"model_id": row["model_id"], "feature_id": row["features"], "sel": sel.sum(0), "g": list(g), "i": i})
+        total, g, i = tile.feature_sums(sel, r, gains)
+        yield pd.DataFrame({"model_id": row["model_id"], "feature_id": row["features"], "sel": total, "g": list(g), "i": i})
 
 
 def _cell_kernel(batches):
@@ -290,6 +303,40 @@ def _cell_kernel(batches):
         yield _cell_frame(row, _Tile(row).selection(np.asarray(row["r_before"], float).reshape(len(row["n_i"]), -1)))
 
 
+def _round_kernel(numbers: dict[int, dict], elogs: dict[int, np.ndarray], first: dict | None):
+    """Both steps of a round over tiles that hold all features: the chunk's new memberships, then the task's sums.
+
+    ``sums`` of a model lists, one after the other: selection, background gains and profile gains by feature (in
+    the order of their places), mass by group, number of samples, sum of the log normalisers.
+    """
+    def run(batches):
+        sums: dict[int, np.ndarray] = {}
+        for row in _rows(batches):
+            model = int(row["model_id"])
+            given, n = {**row, **numbers[model]}, len(row["n_i"])
+            tile, before = _Tile(given), np.asarray(row["r"], float).reshape(n, -1)
+            if first is not None:
+                sel = first_selection(row["code"], first["t0"], first["t1"])
+            else:
+                sel = _Tile(given, "_old").selection(np.asarray(row["r_before"], float).reshape(n, -1))
+            gains = tile.gains()
+            logit = elogs[model] + tile.loglik(sel, gains)
+            top = logit.max(1, keepdims=True)
+            e = np.exp(logit - top)
+            total = e.sum(1, keepdims=True)
+            r, log_norm = e / total, (top + np.log(total))[:, 0]
+            chosen, g, i = tile.feature_sums(tile.selection(before, gains), r, gains)
+            part = np.concatenate([chosen, i, g.ravel(), r.sum(0), [n, log_norm.sum()]])
+            sums[model] = sums[model] + part if model in sums else part
+            yield pd.DataFrame({"model_id": [model], "chunk": [row["chunk"]], "samples": [row["samples"]], "n_i": [tile.n_i],
+                                "r": [r.ravel()], "r_before": [before.ravel()], "log_norm": [log_norm], "sums": [None]})
+        for model, part in sums.items():
+            yield pd.DataFrame({"model_id": [model], "chunk": [None], "samples": [None], "n_i": [None], "r": [None],
+                                "r_before": [None], "log_norm": [None], "sums": [part]})
+
+    return run
+
+
 @dataclass
 class BaseFit:
     data: CountData
@@ -393,7 +440,15 @@ def fit_base(data: CountData, k: int = 1, max_iter: int = 100, init: str | DataF
         tiles.features.join(_first_sums(data, tiles, state, first), "feature_id").selectExpr(
             "model_id", "block", "pos", "feature_id", f"array({ones}) as gamma", "1D as iota", *rates), "params")
     _read_sums(params, models)
-    for t in range(1, max_iter + 1):
+    whole = tiles.blocks == 1 and data.n_features <= BLOCK and data.feature_rows_fit(4 * k + 8, n_init)
+    numbers = _numbers(params, models) if whole and max_iter else {}
+    written = state
+    if numbers and all(numbers.values()):
+        models, state, params, written = _whole_rounds(
+            data, tiles, models, state, params, numbers, first, max_iter, select_prior, floor, history_path, history_every)
+    else:
+        numbers = {}
+    for t in range(1, 1 if numbers else max_iter + 1):
         scores = _scored(data, params, models)
         new_state = ws.put(_memberships(data, tiles, models, state, scores, first if t == 1 else None), "chunks")
         blocks = _blocks(scores)
@@ -417,7 +472,7 @@ def fit_base(data: CountData, k: int = 1, max_iter: int = 100, init: str | DataF
             _save_round(data, tiles, new_state, blocks, models, history_path, t)
         ws.release(state, params)
         models = copy.deepcopy(models)
-        state, params = new_state, new_params
+        state, params, written = new_state, new_params, new_state
         _read_weights(state, models)
         _read_sums(params, models)
         for m in models.values():
@@ -427,10 +482,87 @@ def fit_base(data: CountData, k: int = 1, max_iter: int = 100, init: str | DataF
         _memberships(data, tiles, models, state, _scored(data, params, models), None if max_iter else first), "chunks")
     for r in _unpacked(final, models).groupBy("model_id").agg(F.avg("log_norm").alias("v")).collect():
         models[r["model_id"]].log_norm = r["v"]
-    ws.release(state, first)
+    ws.release(written, first)
     return BaseFit(data, tiles, models, params, final)
 
 
+def _numbers(params: DataFrame, models: dict[int, BaseModel]) -> dict[int, dict]:
+    """Per model, the parameters of a single block's features as arrays in the order of their places."""
+    out = {i: [] for i in models}
+    for row in params.select("model_id", "pos", "gamma", "iota", "xi1", "xi2").collect():  # at most BLOCK features
+        out[row["model_id"]].append(row[1:])
+    return {i: dict(zip(("pos", "gamma", "iota", "xi1", "xi2"), (np.array(c) for c in zip(*sorted(rows)))))
+            for i, rows in out.items()}
+
+
+def _scored_numbers(v: dict) -> dict:
+    """What ``_scored`` computes, from one model's arrays."""
+    psi, g_sum, i_sum = digamma_array, v["gamma"].sum(0), v["iota"].sum()
+    m, mb, both = v["gamma"] / g_sum, v["iota"] / i_sum, psi(v["xi1"] + v["xi2"])
+    return {"m": m, "a": m * (psi(v["gamma"]) - psi(g_sum) - np.log(m)), "mb": mb,
+            "ab": mb * (psi(v["iota"]) - psi(i_sum) - np.log(mb)), "p1": psi(v["xi1"]) - both, "p2": psi(v["xi2"]) - both}
+
+
+def _params_table(data: CountData, tiles: Tiles, numbers: dict[int, dict]) -> DataFrame:
+    """The arrays of a single block's features as the table of parameters."""
+    types = {"model_id": "int", "pos": "int"}
+    parts = []
+    for i, v in numbers.items():
+        part = pd.DataFrame({n: c.tolist() for n, c in v.items()})
+        part.insert(0, "model_id", i)
+        types |= {n: "array<double>" if c.ndim == 2 else "double" for n, c in v.items() if n != "pos"}
+        parts.append(part)
+    table = data.spark.createDataFrame(pd.concat(parts, ignore_index=True), ", ".join(f"{n} {t}" for n, t in types.items()))
+    rest = [n for n in types if n not in ("model_id", "pos")]
+    return tiles.features.join(F.broadcast(table), "pos").select("model_id", "block", "pos", "feature_id", *rest)
+
+
+def _whole_rounds(data: CountData, tiles: Tiles, models: dict[int, BaseModel], state: DataFrame, params: DataFrame,
+                  numbers: dict[int, dict], first: DataFrame, max_iter: int, select_prior: float, floor: float | None,
+                  history_path: str | None, history_every: int) -> tuple[dict[int, BaseModel], DataFrame, DataFrame, DataFrame]:
+    """All rounds where one block holds every feature: one pass over the tiles a round.
+
+    The features' sums, at most BLOCK rows of K + 2 numbers a model, come to the driver; memberships don't.
+    """
+    ws, (sample_type, _), n = data.ws, _types(data), data.n_samples
+    codes, written = first.select("t0", "t1").first().asDict(), state
+    schema = (f"model_id int, chunk int, samples array<{sample_type}>, n_i array<double>, r array<double>, "
+              "r_before array<double>, log_norm array<double>, sums array<double>")
+    for t in range(1, max_iter + 1):
+        scores = {i: _scored_numbers(v) for i, v in numbers.items()}
+        for i, v in numbers.items():
+            scores[i] |= {c: x for c, x in v.items() if c.endswith("_old")}
+        elogs = {i: np.array(wt.elog(m.a, m.b)) for i, m in models.items()}
+        rows = tiles.cells.join(state.hint("shuffle_hash"), "chunk")  # never a broadcast, as in _tile_rows
+        fresh = ws.put(rows.mapInPandas(_round_kernel(scores, elogs, codes if t == 1 else None), schema), "round")
+        new_state = fresh.where("chunk is not null").drop("sums")
+        if history_path and t % history_every == 0:
+            table = _params_table(data, tiles, numbers)
+            _save_round(data, tiles, new_state, _blocks(_scored(data, table, models)), models, history_path, t)
+        parts = fresh.where("chunk is null").selectExpr("model_id", "posexplode(sums) as (j, v)")
+        found = {i: {} for i in models}
+        for row in parts.groupBy("model_id", "j").agg(F.expr("sum(v) as v")).collect():
+            found[row["model_id"]][row["j"]] = row["v"]
+        models = copy.deepcopy(models)
+        for i, m in models.items():
+            v, used = numbers[i], scores[i]
+            size = len(v["pos"])
+            sums = np.array([found[i][j] for j in range(len(found[i]))])
+            sel, back, g, mass = np.split(sums, [size, 2 * size, (2 + m.k) * size])
+            gamma, iota = 1.0 + used["m"] * g.reshape(size, m.k), 1.0 + used["mb"] * back
+            if floor:
+                gamma, iota = np.maximum(gamma, floor), np.maximum(iota, floor)
+            numbers[i] = {"pos": v["pos"], "gamma": gamma, "iota": iota, "xi1": select_prior + sel, "xi2": select_prior + n - sel,
+                          **{f"{c}_old": used[c] for c in (*_ARRAYS, *_SCALARS)}}
+            m.a, m.b = wt.update("dp", [v + 10 * np.finfo(float).eps for v in mass[:m.k]], {"nu": m.prior})
+            m.log_norm, m.iota_sum, m.gamma_sum = mass[m.k + 1] / mass[m.k], iota.sum(), list(gamma.sum(0))
+            m.n_iter = t
+        ws.release(written)
+        state, written = new_state, fresh
+    ws.release(params)
+    return models, state, ws.put(_params_table(data, tiles, numbers), "params"), written
+
+
 def _first_sums(data: CountData, tiles: Tiles, state: DataFrame, first: DataFrame) -> DataFrame:
     """Sums by feature of the random first selection."""
     def run(batches):

@@ -1,6 +1,7 @@
 """Mini-batch fit, stream, first-order model, search."""
 
 import math
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -12,7 +13,7 @@ from tallymix.functions.special import digamma_value, hash_uniform, hash_uniform
 from tallymix.operators import metrics as mt
 from tallymix.operators import prep
 from tallymix.operators.cells import prepare
-from tallymix.operators.initial import init_from_labels
+from tallymix.operators.initial import Start, init_from_labels, init_random
 from tallymix.plans import base, search, stochastic
 from tallymix.plans.fit import fit
 from tallymix.streaming import stream
@@ -231,6 +232,37 @@ def test_memberships_of_tiles_are_never_broadcast(spark, sliced):
     assert rows.count() == tiles.chunks * tiles.blocks
 
 
+def test_a_round_over_one_block_is_one_pass(spark, small, monkeypatch, tmp_path):
+    """One table a round instead of two and two readings; the same numbers as the two steps over blocks."""
+    _, _, data = small
+    tiles, names, put = base.make_tiles(data), [], Workspace.put
+    init = init_random(data.samples, [Start(0, 3, 1), Start(1, 3, 2)])
+    monkeypatch.setattr(Workspace, "put", lambda self, df, name, **k: names.append(name) or put(self, df, name, **k))
+    fits, kept = [], []
+    for bound in (data.broadcast_bytes, 0):
+        path = str(tmp_path / f"history-{bound}")
+        fits.append(base.fit_base(replace(data, broadcast_bytes=bound), 3, 4, init, n_init=2, tiles=tiles,
+                                  history_path=path, history_every=2))
+        kept.append([sorted(map(tuple, spark.read.parquet(f"{path}/cell_selection").select(
+            "iter", "model_id", "sample_id", "feature_id", "f").collect())),
+            sorted(map(tuple, spark.read.parquet(f"{path}/resp").selectExpr(
+                "iter", "model_id", "sample_id", "r[0]", "r[1]", "r[2]").collect()))])
+        assert names.count("round") == 4 and names.count("chunks") == (2 if bound else 8)
+    for one, two in zip(*kept):
+        assert len(one) == len(two) > 0
+        for a, b in zip(one, two):
+            assert a[:3] == b[:3] and a[-1] == pytest.approx(b[-1], rel=1e-6, abs=1e-9)
+    columns = [f.params.columns for f in fits]
+    assert columns[0] == columns[1]
+    for a, b in zip(*(sorted(f.params.collect()) for f in fits)):
+        assert a[:4] == b[:4] and np.hstack(a[4:]) == pytest.approx(np.hstack(b[4:]), rel=1e-6, abs=1e-9)
+    for a, b in zip(*(sorted(f.resp.collect()) for f in fits)):
+        assert a[:2] == b[:2] and np.hstack(a[2:]) == pytest.approx(np.hstack(b[2:]), rel=1e-6, abs=1e-9)
+    for i, m in fits[0].models.items():
+        other = fits[1].models[i]
+        assert m.log_norm == pytest.approx(other.log_norm) and m.a == pytest.approx(other.a) and m.n_iter == other.n_iter == 4
+
+
 def test_base_entry_keeps_the_best_start_and_a_history(spark, small, tmp_path):
     x, labels, data = small
     path = str(tmp_path / "history")
