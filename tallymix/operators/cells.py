@@ -41,6 +41,7 @@ class CountData:
     heavy_features: DataFrame | None = None
     empty_samples: DataFrame | None = None  # samples without any count
     broadcast_bytes: int = BROADCAST_BYTES
+    packed: object = None  # the same cells by whole samples, once a fit has asked for them (operators.packed)
 
     @property
     def spark(self):
@@ -113,6 +114,7 @@ def prepare(
     Raises on missing, negative or non-finite counts.
     """
     cells = counts.select("sample_id", "feature_id", F.col("x").cast("double").alias("x")).where("x is null or x != 0")
+    cells = given = ws.put(cells, "counts")  # read twice below: what makes them runs once
     both = ws.put(
         cells.groupingSets([["sample_id"], ["feature_id"]], "sample_id", "feature_id").agg(
             F.grouping("sample_id").alias("by_feature"),
@@ -170,6 +172,7 @@ def prepare(
     buckets = min(buckets, MAX_BUCKETS)
     key = ["sample_id"] + (["s_slice"] if heavy_s is not None else [])
     laid_out = ws.put(cells.repartition(buckets, *key), "cells", bucket_by=key, buckets=buckets)
+    ws.release(given)
     return CountData(
         ws, laid_out, sample_stats, feature_stats, n_samples, width[0], nnz, total, buckets,
         heavy_s, heavy_f, empty, broadcast_bytes,

@@ -30,6 +30,7 @@ from tallymix.operators import weights as wt
 from tallymix.operators.cells import CountData
 from tallymix.operators.initial import Start, init_from_labels, init_kmeans, init_random
 from tallymix.operators.likelihood import unfold
+from tallymix.operators.packed import summed
 from tallymix.operators.profiles import with_models
 
 CHUNK, BLOCK = 256, 4096  # samples and features of one tile
@@ -539,16 +540,12 @@ def _whole_rounds(data: CountData, tiles: Tiles, models: dict[int, BaseModel], s
         if history_path and t % history_every == 0:
             table = _params_table(data, tiles, numbers)
             _save_round(data, tiles, new_state, _blocks(_scored(data, table, models)), models, history_path, t)
-        parts = fresh.where("chunk is null").selectExpr("model_id", "posexplode(sums) as (j, v)")
-        found = {i: {} for i in models}
-        for row in parts.groupBy("model_id", "j").agg(F.expr("sum(v) as v")).collect():
-            found[row["model_id"]][row["j"]] = row["v"]
+        found = summed(fresh.where("chunk is null"))
         models = copy.deepcopy(models)
         for i, m in models.items():
             v, used = numbers[i], scores[i]
             size = len(v["pos"])
-            sums = np.array([found[i][j] for j in range(len(found[i]))])
-            sel, back, g, mass = np.split(sums, [size, 2 * size, (2 + m.k) * size])
+            sel, back, g, mass = np.split(found[i], [size, 2 * size, (2 + m.k) * size])
             gamma, iota = 1.0 + used["m"] * g.reshape(size, m.k), 1.0 + used["mb"] * back
             if floor:
                 gamma, iota = np.maximum(gamma, floor), np.maximum(iota, floor)

@@ -9,6 +9,9 @@ One sweep is the same for every fit:
 
 Expected logs are those of the sweep's start throughout the sweep. All tables carry
 ``model_id``; independent models (restarts, search trials) share the same jobs.
+
+Where a whole sample lies in one row (``operators.packed``), 1. and the sums of 2. are one pass;
+the memberships of such a sweep are written only where something reads them.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ from tallymix.operators import selection as sl
 from tallymix.operators import weights as wt
 from tallymix.operators.cells import CountData, sums_by_feature, sums_by_sample
 from tallymix.operators.likelihood import unfold
+from tallymix.operators.packed import PackedCells, one_pass, packed_cells
 from tallymix.operators.profiles import per_model
 from tallymix.plans.specs import Spec, relative_changes, two_phase_anneal
 
@@ -75,7 +79,7 @@ class State:
 
     models: dict[int, Model]
     params: DataFrame  # model_id, feature_id, colsum, lam, iota, f (, f_sum)
-    resp: DataFrame  # model_id, sample_id, r
+    resp: DataFrame | None  # model_id, sample_id, r; None after a sweep in one pass
     cells: DataFrame | None = None  # per-sample selection: model_id, cell, x, f
 
     @property
@@ -88,7 +92,7 @@ class State:
         return State(
             {i: self.models[i] for i in ids},
             self.params.where(F.col("model_id").isin(ids)),
-            self.resp.where(F.col("model_id").isin(ids)),
+            None if self.resp is None else self.resp.where(F.col("model_id").isin(ids)),
             cells,
         )
 
@@ -262,12 +266,19 @@ def memberships(data: CountData, spec: Spec, state: State, beta: float = 1.0, de
 
 def sweep(data: CountData, spec: Spec, state: State, beta: float = 1.0, density: float = 0.0,
           anchor: DataFrame | None = None, gated: bool = True, averaging: bool = False,
-          want_objective: bool = True) -> State:
-    """One round of all updates; returns the new state."""
+          want_objective: bool = True, packed: PackedCells | None = None) -> State:
+    """One round of all updates; returns the new state, without memberships where ``packed`` is given."""
     ws = data.ws
     models = copy.deepcopy(state.models)
-    resp = ws.put(memberships(data, spec, state, beta, density, gated), "resp")
-    masses = read_masses(state, resp)
+    resp = sums = None
+    if packed is not None:
+        scores = feature_scores(spec, state, models_table(data, state.models, beta), gated)
+        passed = one_pass(packed, scores, {i: m.elog_pi for i, m in state.models.items()}, beta)
+        sums = packed.table({i: v[0] for i, v in passed.items()})
+        masses = {i: v[1:] for i, v in passed.items()}
+    else:
+        resp = ws.put(memberships(data, spec, state, beta, density, gated), "resp")
+        masses = read_masses(state, resp)
     for i, m in models.items():
         m.mass, m.plogp = masses[i]
     step_resp, step_mass = resp, {i: v[0] for i, v in masses.items()}
@@ -285,7 +296,9 @@ def sweep(data: CountData, spec: Spec, state: State, beta: float = 1.0, density:
     if spec.selection == "sample":
         params, cells = _update_per_sample(data, spec, state, table, step_resp, want_objective)
     else:
-        params, cells = _update_features(data, spec, state, table, step_resp, gated, averaging), None
+        if sums is None:
+            sums = pf.cluster_sums(data, step_resp, state.width)
+        params, cells = _update_features(data, spec, state, table, sums, gated, averaging), None
     new = State(models, params, resp, cells)
 
     for i, m in models.items():
@@ -314,11 +327,10 @@ def sweep(data: CountData, spec: Spec, state: State, beta: float = 1.0, density:
     return new
 
 
-def _update_features(data: CountData, spec: Spec, state: State, table: DataFrame, resp: DataFrame, gated: bool,
+def _update_features(data: CountData, spec: Spec, state: State, table: DataFrame, sums: DataFrame, gated: bool,
                      averaging: bool) -> DataFrame:
     """Selection per feature (or per group and feature), profiles and background."""
     n = num(data.n_samples)
-    sums = pf.cluster_sums(data, resp, state.width)
     keep = tuple(c for c in ("colsum", "f", "f_sum") if c in state.params.columns)
     logs = lk.elog_profiles(state.params, table.select("model_id", "psi_lam", "psi_iota"), keep=keep)
     rows = logs.join(sums, ["model_id", "feature_id"], "left").join(F.broadcast(table), "model_id")
@@ -582,8 +594,9 @@ def select_groups(state: State, keep: dict[int, list[int]]) -> State:
     return State(models, params.drop("keep"), resp, state.cells)
 
 
-def prune(data: CountData, spec: Spec, state: State, frozen_elog: dict[int, list[float]] | None = None) -> tuple[State, set[int]]:
-    """Drop groups that are light or small. Returns the new state and the models that changed."""
+def passing_groups(data: CountData, spec: Spec, state: State,
+                   frozen_elog: dict[int, list[float]] | None = None) -> tuple[dict[int, list[int]], set[int]]:
+    """The groups that stay per model, and the models that lose some."""
     keep, changed = {}, set()
     for i, m in state.models.items():
         elog = (frozen_elog or {}).get(i, m.elog_pi)
@@ -593,6 +606,12 @@ def prune(data: CountData, spec: Spec, state: State, frozen_elog: dict[int, list
             changed.add(i)
         else:
             keep[i] = list(range(m.k))
+    return keep, changed
+
+
+def prune(data: CountData, spec: Spec, state: State, frozen_elog: dict[int, list[float]] | None = None) -> tuple[State, set[int]]:
+    """Drop groups that are light or small. Returns the new state and the models that changed."""
+    keep, changed = passing_groups(data, spec, state, frozen_elog)
     if not changed:
         return state, changed
     new = select_groups(state, keep)
@@ -683,10 +702,16 @@ def fit_conjugate(data: CountData, spec: Spec, resp: DataFrame, params: dict[int
         frozen = {i: m.elog_pi for i, m in live.models.items()}
         scored = t % 10 == 0
         old = live
-        live = sweep(data, spec, live, beta, density, anchor, gated, averaging, want_objective=scored)
-        if old.resp is not anchor:
-            data.ws.release(old.resp)
-        data.ws.release(old.params, old.cells)
+        packed = None
+        if spec.selection != "sample" and density <= 1e-8:
+            packed = packed_cells(data, live.width, len(live.models))
+        live = sweep(data, spec, live, beta, density, anchor, gated, averaging, want_objective=scored, packed=packed)
+
+        def with_resp(state: State) -> State:
+            if state.resp is None:  # from the tables the sweep in one pass started from
+                state.resp = data.ws.put(memberships(data, spec, old.only(state.models), beta, density, gated), "resp")
+            return state
+
         lost = [i for i, m in live.models.items() if broken(m)]
         if lost:
             failed.update({i: f"non-finite values in round {t}" for i in lost})
@@ -698,8 +723,8 @@ def fit_conjugate(data: CountData, spec: Spec, resp: DataFrame, params: dict[int
         if spec.selection == "ssl_excess":
             window = window and gated and not averaging
         changed: set[int] = set()
-        if window:
-            live, changed = prune(data, spec, live, frozen)
+        if window and passing_groups(data, spec, live, frozen)[1]:
+            live, changed = prune(data, spec, with_resp(live), frozen)
         if scored:
             values = {i: m.elbo for i, m in live.models.items()}
             if changed:
@@ -707,7 +732,7 @@ def fit_conjugate(data: CountData, spec: Spec, resp: DataFrame, params: dict[int
             for i, m in live.models.items():
                 m.history.append((t, values[i], m.k))
         if history_path and t % history_every == 0:
-            save_round(live, history_path, t)
+            save_round(with_resp(live), history_path, t)
         finished = []
         for i, m in live.models.items():
             m.n_iter = t
@@ -715,6 +740,11 @@ def fit_conjugate(data: CountData, spec: Spec, resp: DataFrame, params: dict[int
                 m.converged = True
             if m.converged or t >= m.p["max_iter"]:
                 finished.append(i)
+        if finished:
+            live = with_resp(live)
+        if old.resp is not anchor:
+            data.ws.release(old.resp)
+        data.ws.release(old.params, old.cells)
         if finished:
             part = live.only(finished)
             if len(finished) < len(live.models):

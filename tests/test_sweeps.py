@@ -9,6 +9,7 @@ from dense import Dense, floored_softmax
 from planted import as_counts, as_labels, planted
 from tallymix.operators import likelihood as lk
 from tallymix.operators import objective as ob
+from tallymix.operators import packed as pk
 from tallymix.operators.cells import prepare
 from tallymix.operators.initial import init_from_labels
 from tallymix.plans import mixture as mx
@@ -194,3 +195,93 @@ def test_memberships_run_as_generated_code(spark):
         assert got[i]["r"] == pytest.approx(list(r), rel=1e-12)
         assert got[i]["log_norm"] == pytest.approx(logit.max() + np.log(e.sum()))
         assert parts[i]["plogp"] == pytest.approx((r * np.log(r)).sum())
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Samples and features without cells, cells without a sample or a feature, samples of very different length."""
+    x, _ = planted(n=60, s=30)
+    x[7], x[:, 11], x[20:40, 5:] = 0.0, 0.0, 0.0
+    rows = [(int(i), NAMES[j], float(x[i, j])) for i, j in zip(*np.nonzero(x))]
+    rows += [(None, "f003", 4.0), (None, "f004", 1.0), (61, None, 3.0), (12, None, 2.0), (None, None, 1.0)]
+    return prepare(
+        spark.createDataFrame(rows, "sample_id bigint, feature_id string, x double"), Workspace(spark),
+        samples=as_labels(spark, np.zeros(60)), features=spark.createDataFrame([(n,) for n in NAMES], "feature_id string"))
+
+
+@pytest.mark.parametrize("name", ["dp", "dp_cluster", "ssl", "ssl_excess"])
+def test_a_sweep_in_one_pass_gives_what_the_joins_give(spark, odd, name, monkeypatch):
+    monkeypatch.setattr(pk, "ROW_CELLS", 100)  # several rows and, with STEP_ROWS, several steps
+    monkeypatch.setattr(pk, "STEP_ROWS", 2)
+    odd.packed, spec = None, FITS[name]
+    params = {3: spec.params(k_max=2), 7: spec.params(k_max=5, f0=0.6)}
+    parts = [init_from_labels(odd.samples.selectExpr("sample_id", f"coalesce(sample_id % {p['k_max']}, 0) as label"), p["k_max"], i)
+             for i, p in params.items()]
+    joins = whole = mx.start_state(odd, spec, parts[0].unionByName(parts[1]), params)
+    packed = pk.packed_cells(odd, 5, 2)
+    assert packed.empty >= 1 and len(packed.ids) == 30 and packed.rows.count() > 3
+    for t in range(3):
+        joins = mx.sweep(odd, spec, joins, 0.5 + t / 4, gated=name != "ssl_excess" or t > 0)
+        whole = mx.sweep(odd, spec, whole, 0.5 + t / 4, gated=name != "ssl_excess" or t > 0, packed=packed)
+    assert whole.resp is None
+    for i, m in joins.models.items():
+        other = whole.models[i]
+        assert other.mass == pytest.approx(m.mass, rel=1e-9) and other.plogp == pytest.approx(m.plogp, rel=1e-9)
+        assert other.elbo == pytest.approx(m.elbo, rel=1e-9) and other.a == pytest.approx(m.a, rel=1e-9)
+    order = ("model_id", "feature_id")
+    for a, b in zip(joins.params.orderBy(*order).collect(), whole.params.orderBy(*order).collect(), strict=True):
+        assert a[:3] == b[:3] and np.hstack([*b[3:]]) == pytest.approx(np.hstack([*a[3:]]), rel=1e-8)
+
+
+def test_memberships_are_written_only_where_something_reads_them(spark, small, monkeypatch):
+    x, labels, data = small
+    spec, names, put = FITS["dp_thermal"], [], Workspace.put
+    params = {0: spec.params(k_max=5, max_iter=22, prune_start=10), 1: spec.params(k_max=3, max_iter=12)}
+    start = init_from_labels(as_labels(spark, np.arange(len(x)) % 5), 5).unionByName(
+        init_from_labels(as_labels(spark, np.arange(len(x)) % 3), 3, 1))
+    monkeypatch.setattr(Workspace, "put", lambda self, df, name, **k: names.append(name) or put(self, df, name, **k))
+    whole = mx.fit_conjugate(data, spec, start, params)
+    assert names.count("params") == 23 and names.count("resp") <= 8
+    monkeypatch.setattr(mx, "packed_cells", lambda *a: None)
+    joins = mx.fit_conjugate(data, spec, start, params)
+    for i, m in joins.models.items():
+        other = whole.models[i]
+        assert (other.k, other.n_iter, len(other.history)) == (m.k, m.n_iter, len(m.history)) and other.mass == pytest.approx(m.mass)
+        assert [h[1] for h in other.history] == pytest.approx([h[1] for h in m.history], rel=1e-9)
+    order = ("model_id", "sample_id")
+    for a, b in zip(joins.state.resp.orderBy(*order).collect(), whole.state.resp.orderBy(*order).collect(), strict=True):
+        assert a[:2] == b[:2] and b["r"] == pytest.approx(a["r"], rel=1e-6, abs=1e-9)
+
+
+def test_sums_of_samples_against_loops():
+    rng = np.random.default_rng(1)
+    for n, size in ((7, 3), (3, 400)):  # as a whole matrix and by cells
+        x = rng.integers(0, 3, (n, size)) * (rng.random((n, size)) < 0.1 if size > 9 else 1.0)
+        s, p = np.nonzero(x)
+        counted, c, e = np.arange(n) != 1, rng.normal(size=(size, 4)), rng.normal(size=4)
+        r = floored_softmax(0.7 * (e + x @ c))
+        got = pk.sample_sums(s, p, x[s, p], counted, {5: c}, {5: e}, 0.7)[5]
+        np.testing.assert_allclose(got[:size * 4].reshape(size, 4), (x * counted[:, None]).T @ r, atol=1e-9)
+        np.testing.assert_allclose(got[size * 4:-1], r.sum(0))
+        assert got[-1] == pytest.approx((r * np.log(r)).sum())
+
+
+def test_too_many_sums_or_cut_samples_go_on_in_joins(small, sliced, monkeypatch):
+    assert pk.packed_cells(sliced[2], 4, 1) is None
+    monkeypatch.setattr(pk, "PASS_NUMBERS", 100)
+    assert pk.packed_cells(small[2], 4, 1) is None
+
+
+def test_what_makes_the_counts_runs_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def passes(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    rows = spark.range(200).selectExpr("id % 20 as sample_id", "id % 7 as feature_id", "1D as x").groupBy(
+        "sample_id", "feature_id").agg({"x": "sum"}).withColumnRenamed("sum(x)", "x")
+    n = rows.count()
+    data = prepare(rows.mapInPandas(passes, rows.schema), Workspace(spark))
+    assert data.nnz == n and seen.value == n
