@@ -551,8 +551,9 @@ def _whole_rounds(data: CountData, tiles: Tiles, models: dict[int, BaseModel], s
                 gamma, iota = np.maximum(gamma, floor), np.maximum(iota, floor)
             numbers[i] = {"pos": v["pos"], "gamma": gamma, "iota": iota, "xi1": select_prior + sel, "xi2": select_prior + n - sel,
                           **{f"{c}_old": used[c] for c in (*_ARRAYS, *_SCALARS)}}
-            m.a, m.b = wt.update("dp", [v + 10 * np.finfo(float).eps for v in mass[:m.k]], {"nu": m.prior})
-            m.log_norm, m.iota_sum, m.gamma_sum = mass[m.k + 1] / mass[m.k], iota.sum(), list(gamma.sum(0))
+            *mass, members, logs = mass.tolist()  # plain floats: frames are also made where Arrow is off
+            m.a, m.b = wt.update("dp", [v + 10 * float(np.finfo(float).eps) for v in mass], {"nu": m.prior})
+            m.log_norm, m.iota_sum, m.gamma_sum = logs / members, float(iota.sum()), gamma.sum(0).tolist()
             m.n_iter = t
         ws.release(written)
         state, written = new_state, fresh

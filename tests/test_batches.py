@@ -263,6 +263,19 @@ def test_a_round_over_one_block_is_one_pass(spark, small, monkeypatch, tmp_path)
         assert m.log_norm == pytest.approx(other.log_norm) and m.a == pytest.approx(other.a) and m.n_iter == other.n_iter == 4
 
 
+def test_one_pass_fits_also_run_where_frames_are_made_without_arrow(spark, small, tmp_path):
+    _, labels, data = small
+    path, name = str(tmp_path / "history"), "spark.sql.execution.arrow.pyspark.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        fitted = base.fit_base(data, 3, 2, as_labels(spark, labels), history_path=path, history_every=2)
+        assert fitted.resp.count() == data.n_samples and spark.read.parquet(f"{path}/cell_selection").count() > 0
+        assert fit(data, "dp", init=as_labels(spark, labels), k_max=3, max_iter=2).state.resp.count() == data.n_samples
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_base_entry_keeps_the_best_start_and_a_history(spark, small, tmp_path):
     x, labels, data = small
     path = str(tmp_path / "history")
